@@ -13,8 +13,10 @@ from lodestone.llm.components import components
 from lodestone.llm.session import checkpointed
 from lodestone.llm.textcore import LOWER, Words, batches, column_bytes, flat_binary, mix, spans_hash, windows
 
-#: Partners that one verification task compares with a document at once, and documents on one side of a tile.
-PARTNERS, BLOCK = 128, 64
+#: Partners that one verification task compares with a document at once.
+PARTNERS = 128
+#: In a bucket compared whole: documents of a tile from its largest class, and from the others.
+LARGE_BLOCK, SMALL_BLOCK = 512, 128
 #: Shingles hashed at once, so that the working arrays stay in the processor's cache.
 _RUN = 1 << 15
 
@@ -156,8 +158,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Documents with equal word sequences are one from the start. In each bucket of a band every member
     is compared with the smallest one; buckets whose members then still lie in several classes are
-    compared whole, in tiles of at most 64 x 64 documents. No bucket is capped, no pair between
-    members is written unless it is a link that joins two classes.
+    compared whole, class against class, in tiles of at most 128 by 512 documents. No bucket is capped,
+    no pair between members is written unless it is a link that joins two classes.
 
     Null or empty texts have no shingles and are linked with nothing: each is its own class. A null
     id has a null class and stays. Rows that repeat an id count as copies. An empty table gives an
@@ -185,13 +187,25 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     # Buckets whose members lie in several classes: compare them whole, in tiles.
     placed = members.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("band", "doc", "size", F.coalesce("component", "doc").alias("component"))
-    open_buckets = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("size").alias("size"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("all")).where("low < high and size > 2")
-    open_buckets = open_buckets.groupBy("all", "size").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    rest = checkpointed(placed.join(open_buckets, "band").select("band", "doc", "component", "blocks", F.pmod(F.xxhash64("doc", F.lit(1)), "blocks").alias("block")))
+    parts = checkpointed(
+        placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("all"))
+        .groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("large"), F.max("n").alias("in_large"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("classes"), F.sum("all").alias("all"))
+        .where("classes > 1 and size > 2")
+    )
+    once = parts.groupBy("all", "size").agg(F.min("band").alias("band")).select("band")  # buckets with the same members
+    parts = parts.join(once, "band", "left_semi").select("band", "large", F.ceil(F.col("in_large") / LARGE_BLOCK).alias("n_large"), F.ceil((F.col("size") - F.col("in_large")) / SMALL_BLOCK).alias("n_small"))
+    rest = checkpointed(placed.join(parts, "band").withColumn("is_large", F.col("component") == F.col("large")))
     if not rest.isEmpty():
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        tile = F.struct(F.col("band").alias("first"), F.least("block", "other").alias("salt"), F.greatest("block", "other").alias("other")).alias("tile")
-        side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side")
+        # Tiles (i, j) of other classes among themselves, i <= j, and (i, -1 - k) of others with the largest class.
+        block = F.pmod(F.xxhash64("doc", F.lit(1)), F.when(F.col("is_large"), F.col("n_large")).otherwise(F.col("n_small")))
+        smalls = F.sequence(F.lit(0).cast("long"), F.col("n_small") - 1)
+        larges = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_large") - 1), lambda k: -1 - k)
+        rest = rest.withColumn("block", F.when(F.col("is_large"), -1 - block).otherwise(block))
+        rest = rest.withColumn("other", F.explode(F.when(F.col("is_large"), smalls).otherwise(F.concat(smalls, larges))))
+        with_large = F.least("block", "other") < 0
+        low, high = F.least("block", "other"), F.greatest("block", "other")
+        tile = F.struct(F.col("band").alias("first"), F.when(with_large, high).otherwise(low).alias("salt"), F.when(with_large, low).otherwise(high).alias("other")).alias("tile")
+        side = F.when(F.col("block") == F.col("other"), 2).when(with_large, F.when(F.col("is_large"), 1).otherwise(0)).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side")
         more = checkpointed(_links(rest.select(tile, side, "doc", "component"), sets, percent))
         if not more.isEmpty():
             found = components(links.union(more))
