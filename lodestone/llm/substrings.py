@@ -14,6 +14,8 @@ from lodestone.llm.textcore import Words, column_bytes, windows_at
 
 #: Characters of text in one chunk of documents, and in the windows of one bucket of hashes.
 CHUNK_CHARS, BUCKET_CHARS = 4_000_000, 8_000_000
+#: The smallest document of a chunk with a window, and whether others of the chunk have it too.
+_FIRST = np.dtype([("id", "<i8"), ("several", "u1")])
 _PAYLOAD = "bucket int, chunk long, hashes binary, firsts binary"
 
 
@@ -92,21 +94,22 @@ def _candidates(key: tuple, docs: pa.Table, replies: pa.Table | None, length: in
     order = np.argsort(values, kind="stable")
     v, o = values[order], owner[order]
     head = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
-    if last:
-        v = v[head]
-        return _payload(number, _bucket(v, n_buckets), v, chunk.ids[o[head]])
     several = np.maximum.reduceat(chunk.ids[o], head) > np.minimum.reduceat(chunk.ids[o], head) if len(v) else np.zeros(0, bool)
     v = v[head]
+    if last:
+        told = np.empty(len(v), _FIRST)
+        told["id"], told["several"] = chunk.ids[o[head]], several
+        return _payload(number, _bucket(v, n_buckets), v, told)
     return _payload(number, v >> np.uint64(32), (v & np.uint64(0xFFFFFFFF)).astype(np.uint32), several.astype(np.uint8))
 
 
 def _counted(last: bool):
-    """One bucket's windows of all chunks. Each chunk gets those of its windows that are repeated; at the last
-    level with the smallest document that has them."""
+    """One bucket's windows of all chunks. Each chunk gets those of its windows that are repeated. At the last level
+    it gets those that some document of it may lose, with the smallest document that has them."""
 
     def run(rows: pa.Table) -> pa.Table:
         hashes = _arrays(rows, "hashes", np.uint64 if last else np.uint32)
-        firsts = _arrays(rows, "firsts", np.int64 if last else np.uint8)
+        firsts = _arrays(rows, "firsts", _FIRST if last else np.uint8)
         every = np.concatenate(hashes)
         order = np.argsort(every, kind="stable")
         h, f = every[order], np.concatenate(firsts)[order]
@@ -115,8 +118,8 @@ def _counted(last: bool):
         place = np.empty(len(h), np.int64)
         place[order] = np.repeat(np.arange(len(head)), sizes)
         if last:
-            keep = np.ones(len(h), bool)
-            told = np.minimum.reduceat(f, head)[place]
+            told, own = np.minimum.reduceat(f["id"], head)[place], np.concatenate(firsts)
+            keep = (told < own["id"]) | (own["several"] > 0)
         else:
             keep = ((sizes > 1) | (np.maximum.reduceat(f, head) > 0))[place]
             told = np.zeros(len(h), np.uint8)
