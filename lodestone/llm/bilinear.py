@@ -141,6 +141,14 @@ def streams(vocabulary: Vocabulary, keys: np.ndarray, counts: np.ndarray) -> tup
     return tokens, at, contexts
 
 
+def add_rows(out: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
+    """out[index[i]] += rows[i] for all i, through a sort of the indices, which are below 256."""
+    order = np.argsort(index.astype(np.uint8), kind="stable")
+    ordered = index[order]
+    heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    out[ordered[heads]] += np.add.reduceat(rows[order], heads, axis=0)
+
+
 class LogBilinear:
     """score(w | context) = target[w] . sum_j scale[j] * context[c_j] + bias[w]."""
 
@@ -187,12 +195,11 @@ class LogBilinear:
             df = 1 / (1 + np.exp(-np.clip(fake, -30, 30)))
             grad[:] = 0
             dh = df @ q[noise] + dr[:, None] * q[w]
-            np.add.at(g["target"], w, dr[:, None] * h)
-            np.add.at(g["target"], noise, df.T @ h)
+            add_rows(g["target"], np.concatenate([w, noise]), np.concatenate([dr[:, None] * h, df.T @ h]))
             g["bias"][:] = np.bincount(w, dr, CLASSES) + np.bincount(noise, df.sum(axis=0), CLASSES)
             for j in range(CONTEXT):
                 g["scale"][j] = (dh * self.parts["context"][c[j]]).sum(axis=0)
-                np.add.at(g["context"], c[j], dh * self.parts["scale"][j])
+            add_rows(g["context"], c.ravel(), (dh[None] * self.parts["scale"][:, None]).reshape(-1, WIDTH))
             grad /= len(w)
             state["sum"] += grad * grad
             self.flat -= rate * grad / (np.sqrt(state["sum"]) + 1e-6)
