@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm.minhash import without_near_duplicates
 from lodestone.llm.mixing import sampled
@@ -32,7 +33,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words or more that a document with a smaller id has; n_chars follows the text."""
     ship(spark)
-    return deduplicated_documents(docs, window=50)
+    return deduplicated_documents(docs, window=50).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
