@@ -1,0 +1,240 @@
+"""The operators of the llm folder against brute-force versions, on fixtures with nulls, ties, repeats and clashing columns."""
+
+import hashlib
+import itertools
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from lodestone.llm import embeddings, html_text, language, minhash, mixing, packing, perplexity, substrings, unigram
+from lodestone.llm.bilinear import language_scores
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bands string, _id string, component_id string"
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = np.random.default_rng(1)
+    base = [" ".join(f"w{rng.integers(400)}" for _ in range(80)) for _ in range(30)]
+    texts = []
+    for i in range(90):
+        w = base[i % 30].split()
+        for k in rng.integers(0, 80, i % 6):
+            w[k] = f"x{i}{k}"
+        texts.append(" ".join(w) + ("\nSame line here\nSame line here" if i % 7 == 0 else ""))
+    texts += [None, "", "  \n\t", "One two", "one Two", "a b c d", "The é über ñandú 東京   x", "ha " * 300, "long " + "z" * 5000, base[0], base[0]]
+    out = [(i * 3 % 101, t, ["en", "fr", None][i % 3], ["s", "t", None, "s"][i % 4], 0, "x", "y", "z") for i, t in enumerate(texts)]
+    assert len({r[0] for r in out}) == len(out)
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def classes(ids, linked):
+    root = {i: i for i in ids}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(ids, 2):
+        if linked(a, b):
+            x, y = top(a), top(b)
+            root[max(x, y)] = min(x, y)
+    return {i: top(i) for i in ids}
+
+
+def test_minhash(spark, docs, rows, empty):
+    sets = {}
+    for i, t, *_ in rows:
+        w = words((t or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set()
+    want = classes(sorted(sets), lambda a, b: bool(sets[a] and sets[b]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs, shingle_words=4).collect()}
+    assert {i: r.component_id for i, r in got.items()} == want
+    assert all(r.n_shingles == len(sets[i]) and r.kept == (i == r.component_id) for i, r in got.items())
+    assert minhash.near_duplicates(empty).count() == 0
+    doubled = docs.union(docs)
+    left = minhash.without_near_duplicates(doubled, shingle_words=4)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted({v for v in want.values()})
+
+
+def test_substrings(docs, rows, empty):
+    first = {}
+    for i, t, *_ in sorted(rows):
+        w = words(t)
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    want = {}
+    for i, t, *_ in rows:
+        w = words(t)
+        gone = set()
+        for k in range(len(w) - 12):
+            if first[tuple(w[k : k + 13])] < i:
+                gone.update(range(k, k + 13))
+        want[i] = (len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
+    for base in (4, 13):
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.without_repeats(docs, base=base).collect()} == want
+    assert substrings.without_repeats(empty).count() == 0
+
+
+def test_quality(docs, rows, empty):
+    got = {r.doc_id: r for r in perplexity.judged(docs).collect()}
+    for i, t, *_ in rows:
+        w = words(t)
+        c = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        again = {j for k in range(len(w) - 7) if c[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(w), sum(map(len, w)), len(again), len(lines) - len(set(lines)))
+        assert r.n_symbols == len(re.findall(r"[#*$%&|<>]", t or ""))
+        assert r.base_failed == (len(w) < 20 or 100 * len(again) > 30 * len(w)) and not (r.base_failed and r.kept)
+    assert perplexity.judged(empty).count() == 0
+
+
+def test_kneser_ney_sums_to_one():
+    rng = np.random.default_rng(0)
+    text = rng.integers(1, 6, 3000).astype(np.uint8)
+    codes, _ = perplexity.gram_codes(text, np.array([0, 3000]), 3)
+    grams, n = np.unique(codes, return_counts=True)
+    model = perplexity.kneser_ney(grams, n, 3)
+    for context in (0, int(codes[50]) // perplexity.ALPHABET, 39 * 40 + 39):
+        p = 10 ** model.score(context % 1600 * 40 + np.arange(40)).astype(float)
+        assert abs(p.sum() - 1) < 1e-3
+
+
+def test_packing(docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    ids = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t, *_ in rows}
+    got = packing.packed(docs, path, sequence=64).collect()
+    for r in got:
+        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+    assert sum(r.length for r in got) == sum(map(len, ids.values()))
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert packing.packed(empty, path).count() == 0
+
+
+def test_mixing(spark, docs, empty):
+    small, large = mixing.mixed(docs, rounds=5).collect(), mixing.mixed(docs, rounds=5, driver_cells=0).collect()
+    assert {r.doc_id: round(r.rate, 9) for r in small} == {r.doc_id: round(r.rate, 9) for r in large}
+    tokens = sum(r.n_tokens for r in small)
+    assert abs(sum(r.rate * r.n_tokens for r in small) - 0.8 * tokens) < 1e-6 * tokens
+    for r in small:
+        assert r.kept == (int(hashlib.md5(f"{r.doc_id}:0".encode()).hexdigest()[:13], 16) / 16**13 < r.rate)
+    assert mixing.mixed(empty).count() == 0
+
+
+def test_raking_meets_marginals():
+    rng = np.random.default_rng(2)
+    codes = [np.repeat(np.arange(3), 4), np.tile(np.arange(4), 3)]
+    targets = [np.array([0.5, 0.3, 0.2]), np.array([0.1, 0.2, 0.3, 0.4])]
+    w = mixing.raked(codes, rng.random(12) + 0.1, targets, 60)
+    assert all(np.allclose(np.bincount(c, w), t) for c, t in zip(codes, targets, strict=True))
+
+
+def test_token_counts(docs, rows, empty):
+    from tokenizers import Tokenizer, models
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = Tokenizer(models.Unigram([("<unk>", 0.0), *unigram.vocabulary(path)], unk_id=0, byte_fallback=False))
+    want = {i: len(model.encode([unigram.SPACE + w for w in words(t)], is_pretokenized=True).ids) if words(t) else 0 for i, t, *_ in rows}
+    assert {r.doc_id: r.n_tokens for r in unigram.token_counts(docs, path).collect()} == want
+    assert unigram.token_counts(empty, path).count() == 0
+
+
+def test_viterbi_ties():
+    from tokenizers import Tokenizer, models
+
+    pieces = [("▁", -1.0), ("a", -1.0), ("aa", -2.0), ("▁a", -2.0), ("b", -1.0), ("ab", -2.0), ("aab", -3.0)]
+    model, own = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], unk_id=0, byte_fallback=False)), unigram.UnigramCounter(pieces)
+    for n in range(1, 6):
+        for word in map("".join, itertools.product("abz", repeat=n)):
+            assert own.count("▁" + word)[0] == len(model.encode(["▁" + word], is_pretokenized=True).ids), word
+
+
+def test_language_model(docs, rows, empty):
+    texts = {i: [*words((t or "").translate(LOWER)), None] for i, t, *_ in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
+    c = Counter(x for i, w in texts.items() if not held[i] for x in w)
+    n, v = sum(c.values()), len(c)
+    for r in language_scores(docs).collect():
+        w = texts[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(c[x] > 0 for x in w), n)
+        assert r.base_score == pytest.approx(sum(np.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
+        assert r.score < 0
+    assert language_scores(empty).count() == 0
+
+
+def test_language_id(spark, empty):
+    data = "/root/testdata/sf0.01/documents.parquet"
+    source = spark.read.parquet(data)
+    got = language.identified(source).join(source.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.98 * len(got)
+    odd = spark.createDataFrame([(1, None, "en"), (2, "12 !", "en"), (3, "hello there", "en"), (5, "x", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in language.identified(odd).collect()}[1] == "und"
+    assert language.identified(empty).count() == 0
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 16))
+    vectors = [(base[i % 40] + rng.normal(size=16) * 0.1 * (i % 5)).astype(np.float32).tolist() for i in range(200)]
+    rows = [(i * 7 % 211, v, None if i % 50 == 9 else i % 2) for i, v in enumerate(vectors)]
+    rows += [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] * 16, 1), (303, [None] * 16, 1), (304, [], 1), (305, [1.0], 1), (306, vectors[0], 0), (307, vectors[0], 0)]
+    good = {i: np.array(v, float) for i, v, label in rows if label is not None and v and None not in v and np.isfinite(v).all() and any(v)}
+    label = {i: x for i, _, x in rows}
+
+    def linked(a, b):
+        if a not in good or b not in good or label[a] != label[b] or len(good[a]) != len(good[b]):
+            return False
+        return good[a] @ good[b] / np.sqrt((good[a] @ good[a]) * (good[b] @ good[b])) >= 0.93
+
+    ids = sorted(label)
+    want, links = classes(ids, linked), {i: sum(linked(i, j) for j in ids if j != i) for i in ids}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = embeddings.near_duplicate_vectors(df, block=16).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (links[i], want[i], want[i] == i) for i in ids}
+    assert embeddings.near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+def test_html(spark):
+    page = (
+        '<html><head><title>T</title></head><body><nav class="menu"><ul><li><a href="/">Home</a></li><li><a href="/b">B</a></li></ul></nav><article><h1>Caf&eacute;  &amp; more</h1>'
+        "<p>First  words\n here, with some length to it.<p>Second one<br>goes on for a while.</article><div id=comments class=comments><div class=comment><p>Nice post!</p></div></div>"
+        "<footer>&copy; us</footer><script>x='<p>no</p>'</script></body></html>"
+    )
+    df = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "<p>"), (5, "x", "<div>" * 300 + "t")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.main_text(df).collect()}
+    assert got[1].text == "Café & more\n\nFirst words here, with some length to it.\n\nSecond one goes on for a while."
+    assert got[1].n_chars == len(got[1].text) and got[2].text == got[3].text == got[4].text == "" and got[5].n_chars in (0, 1)
+    assert html_text.main_text(df.limit(0)).count() == 0
