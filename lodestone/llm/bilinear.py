@@ -23,7 +23,7 @@ CLASSES, ENDINGS = 256, 128
 #: The classes: 0 the end, 1 to 127 frequent words, 128 to 255 endings.
 FREQUENT = CLASSES - ENDINGS - 1
 WIDTH, CONTEXT, NOISE, BATCH = 16, 3, 32, 4096
-CHUNK_CHARS, BUCKET_CHARS = 8_000_000, 8_000_000
+CHUNK_CHARS, BUCKET_CHARS = 4_000_000, 4_000_000
 SMOOTHING = 0.1
 
 
