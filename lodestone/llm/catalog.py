@@ -1,4 +1,7 @@
-"""The queries of this folder's operators, as ``__spark_entry__`` registers them."""
+"""The queries of this folder's operators and their SQL, as ``__spark_entry__`` registers them.
+
+op3 to op6 and op8 to op10 have no SQL; tests/llm holds them against brute-force versions.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +16,7 @@ from lodestone.llm.html_text import main_text
 from lodestone.llm.language import identified
 from lodestone.llm.minhash import near_duplicates
 from lodestone.llm.mixing import mixed
+from lodestone.llm.oracles import ORACLES  # noqa: F401  (read by the entry module)
 from lodestone.llm.packing import packed
 from lodestone.llm.perplexity import judged
 from lodestone.llm.session import table
@@ -70,6 +74,3 @@ QUERIES: dict[str, Query] = {
         op6_lm_scoring, op7_minhash_near_dedup, op8_html_extraction, op9_language_id, op10_packing,
     )
 }
-
-#: None of these has an oracle in SQL: each is tested against a brute-force version in tests/llm.
-ORACLES: dict[str, str] = {}

@@ -1,0 +1,20 @@
+"""The folder's SQL against its queries, on whole tables."""
+
+import duckdb
+import pytest
+
+from lodestone.llm.catalog import ORACLES, QUERIES
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    want = con.execute(ORACLES[name])
+    columns = [c[0] for c in want.description]
+    got = QUERIES[name](spark, DATA)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(want.fetchall())
