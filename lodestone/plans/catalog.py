@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import corpus, search, text
+from lodestone.plans import scalars
 from lodestone.sources.tables import table
 
 #: The query that the search plans ask.
@@ -164,3 +165,6 @@ ORACLES: dict[str, str] = {
     "source_summary": f'WITH {_LOG} SELECT state, count(*) AS resources, sum(n)::BIGINT AS records FROM live JOIN (SELECT natural_key, count(*) AS n FROM log GROUP BY 1) USING (natural_key) GROUP BY 1',
     "worklist_collect": f'WITH {_LOG} SELECT DISTINCT natural_key FROM log WHERE "at"::DATE = (SELECT max("at"::DATE) FROM log) AND natural_key NOT IN (SELECT natural_key FROM obs)',
 }
+
+QUERIES |= scalars.QUERIES
+ORACLES |= scalars.ORACLES
