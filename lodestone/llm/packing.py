@@ -23,6 +23,17 @@ REMEMBERED = 2_000_000
 _SEPARATOR = "\x01"
 
 
+def _marked(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
+    """The words of these byte spans with the separator, in spaces, between them."""
+    sizes = ends - starts
+    to = np.cumsum(sizes + 3) - (sizes + 3)
+    out = np.full(int(to[-1] + sizes[-1] + 3), ord(" "), np.uint8)
+    out[to + sizes + 1] = ord(_SEPARATOR)
+    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(to, sizes) + within] = raw[np.repeat(starts, sizes) + within]
+    return out[:-3].tobytes().decode("utf-8", "replace")
+
+
 class WordIds:
     """Token ids of words, remembered by the words' hashes.
 
@@ -43,22 +54,34 @@ class WordIds:
         self.hashes, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
-    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words with these byte spans: all ids, at which each word's begin, and how many it has."""
         encode = self.tokenizer.encode_batch_fast
-        plain = [i for i, w in enumerate(words) if self.mark is not None and _SEPARATOR not in w and "<|" not in w]
-        out: list[np.ndarray | None] = [None] * len(words)
+        # A word that holds the mark or may hold a special token is encoded by itself.
+        odd = np.flatnonzero((raw == ord(_SEPARATOR)) | ((raw == ord("<")) & (np.append(raw[1:], 0) == ord("|"))))
+        alone = np.searchsorted(odd, starts) < np.searchsorted(odd, ends)
+        if self.mark is None:
+            alone[:] = True
+        flat, begin, sizes, total = [], np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int32), 0
+        plain = np.flatnonzero(~alone)
         for k in range(0, len(plain), 4096):
             some = plain[k : k + 4096]
-            ids = np.array(encode([f" {_SEPARATOR} ".join(words[i] for i in some)], add_special_tokens=False)[0].ids, np.uint32)
-            parts = np.split(ids, np.flatnonzero(ids == self.mark))
-            if len(parts) == len(some):
-                for n, (i, part) in enumerate(zip(some, parts, strict=True)):
-                    out[i] = part[1:] if n else part
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, encode([words[i] for i in rest], add_special_tokens=False) if rest else [], strict=True):
-            out[i] = np.array(x.ids, np.uint32)
-        sizes = np.fromiter(map(len, out), np.int32, len(out))
-        return np.concatenate(out) if out else np.zeros(0, np.uint32), sizes
+            ids = np.array(encode([_marked(raw, starts[some], ends[some])], add_special_tokens=False)[0].ids, np.uint32)
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) + 1 != len(some):
+                alone[some] = True
+                continue
+            sizes[some] = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+            begin[some] = total + np.cumsum(sizes[some]) - sizes[some]
+            flat.append(np.delete(ids, marks))
+            total += len(flat[-1])
+        rest = np.flatnonzero(alone)
+        words = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+        for i, x in zip(rest.tolist(), encode(words, add_special_tokens=False) if words else [], strict=True):
+            begin[i], sizes[i] = total, len(x.ids)
+            flat.append(np.array(x.ids, np.uint32))
+            total += len(x.ids)
+        return np.concatenate(flat) if flat else np.zeros(0, np.uint32), begin, sizes
 
     def __call__(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after the other, and how many each word has."""
@@ -70,9 +93,8 @@ class WordIds:
         inside = at < len(self.hashes)
         new[inside] = self.hashes[at[inside]] != hashes[inside]
         if new.any():
-            data, (starts, ends) = words.raw.tobytes(), (words.starts[first[new]].tolist(), words.ends[first[new]].tolist())
-            ids, sizes = self._encoded([data[a:b].decode("utf-8", "replace") for a, b in zip(starts, ends, strict=True)])
-            begin = len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes
+            ids, begin, sizes = self._encoded(words.raw, words.starts[first[new]], words.ends[first[new]])
+            begin = begin + len(self.ids)
             self.ids = np.concatenate([self.ids, ids])
             put = at[new]
             self.hashes, self.starts, self.sizes = (np.insert(a, put, b) for a, b in ((self.hashes, hashes[new]), (self.starts, begin), (self.sizes, sizes)))
