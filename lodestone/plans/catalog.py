@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import corpus, search, text
-from lodestone.plans import scalars
+from lodestone.plans import literals, scalars, tables
 from lodestone.sources.tables import table
 
 #: The query that the search plans ask.
@@ -166,5 +166,5 @@ ORACLES: dict[str, str] = {
     "worklist_collect": f'WITH {_LOG} SELECT DISTINCT natural_key FROM log WHERE "at"::DATE = (SELECT max("at"::DATE) FROM log) AND natural_key NOT IN (SELECT natural_key FROM obs)',
 }
 
-QUERIES |= scalars.QUERIES
-ORACLES |= scalars.ORACLES
+QUERIES |= scalars.QUERIES | tables.QUERIES | literals.QUERIES
+ORACLES |= scalars.ORACLES | tables.oracles(_CHUNKS) | literals.ORACLES
