@@ -37,14 +37,21 @@ def version_history(log: DataFrame) -> DataFrame:
 
 
 def liveness_state(log: DataFrame) -> DataFrame:
-    """state, since when (by seq of the record that entered it), failures in a row of each address."""
-    order = Window.partitionBy("natural_key").orderBy("at", "seq")
-    rows = log.withColumn("entered", F.coalesce(F.lag("state").over(order) != F.col("state"), F.lit(True))).withColumn("n", F.row_number().over(order))
-    return rows.groupBy("natural_key").agg(
-        F.max_by("state", "n").alias("state"),
-        F.max(F.when(F.col("entered"), F.col("seq"))).alias("since_seq"),
-        (F.max("n") - F.coalesce(F.max(F.when(F.col("state") == "live", F.col("n"))), F.lit(0))).cast("long").alias("consecutive_failures"),
-    )
+    """state, since when (by seq of the record that entered it), failures in a row of each address.
+
+    No address is sorted: two rounds of partial aggregates find its newest record, the newest of another state and the
+    newest live one, and then what came after these. An address with a third of the log is split like any other.
+    """
+    place = F.struct("at", "seq")
+    by_state = log.groupBy("natural_key", "state").agg(F.max(place).alias("last"))
+    newest = by_state.groupBy("natural_key").agg(F.max_by("state", "last").alias("now"), F.max(F.when(F.col("state") == "live", F.col("last"))).alias("lived"))
+    other = by_state.join(newest, "natural_key").where("state <> now").groupBy("natural_key").agg(F.max("last").alias("left"))
+    marks = newest.join(other, "natural_key", "left").withColumnRenamed("now", "state")
+    rows = log.select("natural_key", place.alias("place")).join(marks, "natural_key")
+    entered = F.when(F.col("left").isNull() | (F.col("place") > F.col("left")), F.col("place"))
+    failed = F.col("lived").isNull() | (F.col("place") > F.col("lived"))
+    found = rows.groupBy("natural_key", "state").agg(F.min(entered).alias("entered"), F.count_if(failed).alias("consecutive_failures"))
+    return found.select("natural_key", "state", F.col("entered.seq").alias("since_seq"), "consecutive_failures")
 
 
 def discovery_delta(log: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import chunker, crumbs, index, search
+from lodestone.operators import captions, chunker, corpus, crumbs, index, search
+from lodestone.sources.log import scratch
 from lodestone.sources.tables import table
+from lodestone.streaming import log
 
 #: The source that is cleared, the address that is resolved.
 SOURCE, TARGET = "src1", "doc/1"
@@ -27,18 +29,18 @@ def _underivable(log: DataFrame) -> DataFrame:
 
 
 def worklist_extract(spark: SparkSession, folder: str) -> DataFrame:
-    log = _log(spark, folder)
-    return index.worklist_extract(log, _derived(log), _underivable(log))
+    rows = _log(spark, folder)
+    return index.worklist_extract(rows, _derived(rows), _underivable(rows))
 
 
 def extract_counters(spark: SparkSession, folder: str) -> DataFrame:
-    log = _log(spark, folder)
-    return index.extract_counters(log, _derived(log), _underivable(log))
+    rows = _log(spark, folder)
+    return index.extract_counters(rows, _derived(rows), _underivable(rows))
 
 
 def worklist_index(spark: SparkSession, folder: str) -> DataFrame:
-    log = _log(spark, folder)
-    return index.worklist_index(log, log.where("seq % 2 = 0").select("source", "resource", "derived_sha"))
+    rows = _log(spark, folder)
+    return index.worklist_index(rows, rows.where("seq % 2 = 0").select("source", "resource", "derived_sha"))
 
 
 def latest_derivations(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,10 +94,35 @@ def chunk_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return chunker.chunk_markdown(table(spark, folder, "documents")).select("doc_id", "ordinal", "chunk_hash")
 
 
+def bm25_stemmed(spark: SparkSession, folder: str) -> DataFrame:
+    return search.bm25_stemmed(search.chunks(table(spark, folder, "documents")), "the and-the")
+
+
+def _streamed(spark: SparkSession, folder: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    out = scratch(spark, "stream")
+    log.resumed(operator(corpus.observation_log(log.table_stream(spark, folder, "events"))), f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/rows").drop("batch")
+
+
+def liveness_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return log.latest(_streamed(spark, folder, log.liveness_stream))
+
+
+def change_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return _streamed(spark, folder, log.change_stream)
+
+
+def caption_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns of a conversation as cues of a track, eight seconds apart."""
+    start = F.col("turn") * 8000
+    cues = table(spark, folder, "conversations").select(F.col("conv_id").alias("track"), start.alias("start_ms"), (start + 40 * F.length("text")).alias("end_ms"), "text")
+    return captions.caption_paragraphs(cues)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (worklist_extract, extract_counters, worklist_index, latest_derivations, blob_verify, clear_source, index_report, hydrate_hits)
-} | {f.__name__: f for f in (resolve_target, download_page, list_sources, page_leads, page_crumbs, chunk_markdown)}
+} | {f.__name__: f for f in (resolve_target, download_page, list_sources, page_leads, page_crumbs, chunk_markdown, bm25_stemmed, liveness_stream, change_stream, caption_paragraphs)}
 
 _LOG = """log AS (SELECT source, 'doc/' || doc_id AS resource, sha256(text) AS blob_sha, sha256(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS derived_sha, doc_id AS seq FROM documents WHERE text IS NOT NULL),
 derived AS (SELECT DISTINCT blob_sha FROM log WHERE seq % 3 = 0), underivable AS (SELECT DISTINCT blob_sha FROM log WHERE seq % 3 = 1 AND source = 'src1')"""
