@@ -43,6 +43,10 @@ def _is(term: str):
     return lambda x: x == F.lit(term)
 
 
+def _minus(n: int):
+    return lambda x: x - n
+
+
 def bm25(placed: DataFrame, query: list[str]) -> DataFrame:
     """chunk_hash, score, rank of the chunks that hold every term of the query, best 100; term counts come from the whole index."""
     own = distinct_chunks(placed).select("chunk_hash", terms(F.col("chunk_text")).alias("terms"))
@@ -90,7 +94,7 @@ def bm25_stemmed(placed: DataFrame, query: str, depth: int = DEPTH) -> DataFrame
     def count(phrase: list[str]) -> Column:
         starts = F.col(f"at_{phrase[0]}")
         for i, w in enumerate(phrase[1:], 1):
-            starts = F.array_intersect(starts, F.transform(f"at_{w}", lambda x, i=i: x - i))
+            starts = F.array_intersect(starts, F.transform(f"at_{w}", _minus(i)))
         return F.size(starts)
 
     hits = places.select("chunk_hash", "dl", *[count(p).alias(f"tf{i}") for i, p in enumerate(phrases)])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import content
-from lodestone.operators import captions, crumbs, runs
+from lodestone.operators import addresses, captions, crumbs, runs
 
 PAGES = [
     ("https://a.gov/1", '<a href="https://b.org/x">1</a><a href="/y">2</a><a href="https://b.org/w?a=1&amp;b=2">3</a>'),
@@ -48,6 +48,19 @@ def crumbs_standing(spark: SparkSession, folder: str) -> DataFrame:
     return crumbs.listed(crumbs.standing(_tallied(spark.createDataFrame(PAGES, "url string, html string")), own, rulings)).select("host", "links", "pages", "standing")
 
 
+SITEMAPS = [
+    ("https://a.gov/sitemap.xml", "<sitemapindex xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'><sitemap><loc>https://a.gov/s1.xml</loc></sitemap><sitemap><loc>https://a.gov/sitemap.xml</loc></sitemap></sitemapindex>"),
+    ("https://a.gov/s1.xml", "<urlset><url><loc>https://a.gov/1</loc><lastmod>2026-01-02</lastmod></url><url><loc> https://a.gov/2 </loc></url></urlset>"),
+    ("https://a.gov/s2.xml", "<urlset><url><loc>https://a.gov/3</loc></url></urlset>"),
+    ("https://a.gov/s3.xml", "<html><body>not found"),
+]
+
+
+def sitemap_walk(spark: SparkSession, folder: str) -> DataFrame:
+    bodies = spark.createDataFrame(SITEMAPS, "url string, text string").select("url", F.col("text").cast("binary").alias("body"))
+    return addresses.sitemap_walk(bodies, spark.createDataFrame([SITEMAPS[0][:1]], "url string"))
+
+
 def cues(tracks: DataFrame) -> DataFrame:
     return tracks.select(F.explode(captions.json3_cues(F.col("body"))).alias("c")).select("c.start_ms", "c.end_ms", "c.text", captions.hms(F.col("c.start_ms")).alias("stamp"))
 
@@ -63,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         BODIES, "declared string, head string, url string", lambda b: b.select("declared", "head", "url", content.content_kind(F.col("declared"), F.col("head").cast("binary"), F.col("url")).alias("kind"))
     ),
     "refusal_class": _frame([(m,) for m in MESSAGES], "message string", lambda m: m.select("message", content.refusal_class(F.col("message")).alias("state"))),
+    "sitemap_walk": sitemap_walk,
     "json3_cues": _frame([(t,) for t in TRACKS], "body string", cues),
 }
 
@@ -103,5 +117,6 @@ ORACLES: dict[str, str] = {
     "schedule_health": f"WITH j AS (SELECT *, sum(CASE WHEN outcome = 'ok' THEN 1 ELSE 0 END) OVER (PARTITION BY schedule ORDER BY run_id DESC) AS good FROM {_JOURNAL}) SELECT schedule, arg_max(outcome, run_id) AS last_outcome, max(run_id) AS last_run, count_if(good = 0 AND outcome IN ('failed', 'partial')) AS consecutive_failures FROM j GROUP BY 1",
     "content_kind": f"""SELECT declared, head, url, CASE WHEN declared_type = 'application/json' AND contains(head, 'wireMagic') THEN 'captions' WHEN starts_with(declared_type, 'audio/') THEN 'audio' {_KINDS} WHEN starts_with(head, '%PDF-') THEN 'pdf' WHEN starts_with(head, '{{\\rtf') THEN 'document' WHEN starts_with(head, 'PK' || chr(3) || chr(4)) THEN 'zip-container' WHEN starts_with(head, 'OggS') THEN 'audio' WHEN starts_with(lower(ltrim(head)), '<!doctype html') THEN 'html' {_EXTENSIONS} ELSE 'other' END AS kind FROM (SELECT *, lower(trim(split_part(declared, ';', 1))) AS declared_type, lower(regexp_extract(url, '/[^/?#]*\\.([a-zA-Z]+)([?#]|$)', 1)) AS extension FROM {_values(BODIES, "declared, head, url")})""",
     "refusal_class": f"SELECT message, CASE WHEN {_words(content.REFUSED)} THEN 'blocked' WHEN {_words(content.ABSENT)} THEN 'gone' ELSE 'error' END AS state FROM {_values([(m,) for m in MESSAGES], 'message')}",
+    "sitemap_walk": "SELECT * FROM (VALUES ('https://a.gov/1', '2026-01-02'), ('https://a.gov/2', NULL)) t(url, lastmod)",
     "json3_cues": "SELECT * FROM (VALUES (1000::BIGINT, 1500::BIGINT, 'one two', '00:00:01'), (3723000::BIGINT, 3723000::BIGINT, 'x', '01:02:03')) t(start_ms, end_ms, text, stamp)",
 }

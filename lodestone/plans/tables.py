@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import captions, chunker, corpus, crumbs, index, search
+from lodestone.operators import addresses, captions, chunker, corpus, crumbs, embed, index, reader, search
 from lodestone.sources.log import scratch
 from lodestone.sources.tables import table
 from lodestone.streaming import log
@@ -119,10 +119,36 @@ def caption_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return captions.caption_paragraphs(cues)
 
 
+def extract_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return reader.extract_pages(table(spark, folder, "pages"))
+
+
+def extract_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages and characters by the reader that won, and how many an earlier reader had failed."""
+    read = extract_pages(spark, folder)
+    return read.groupBy("tool").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("text")).alias("chars"), F.count_if("fallback").alias("recovered_by_fallback"))
+
+
+def enclosures(spark: SparkSession, folder: str) -> DataFrame:
+    return addresses.enclosures(table(spark, folder, "pages"))
+
+
+def materialize_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return addresses.materialized_paths(table(spark, folder, "pages").select("url", F.lit("html").alias("kind")))
+
+
+def embed_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return embed.embedded(search.distinct_chunks(search.chunks(table(spark, folder, "documents"))), embed.HashingEmbedder)
+
+
+def embed_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return embed_chunks(spark, folder).agg(F.count(F.lit(1)).alias("chunks"), F.count("vector").alias("vectors"), F.count("reason").alias("refused"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (worklist_extract, extract_counters, worklist_index, latest_derivations, blob_verify, clear_source, index_report, hydrate_hits)
-} | {f.__name__: f for f in (resolve_target, download_page, list_sources, page_leads, page_crumbs, chunk_markdown, bm25_stemmed, liveness_stream, change_stream, caption_paragraphs)}
+} | {f.__name__: f for f in (resolve_target, download_page, list_sources, page_leads, page_crumbs, chunk_markdown, bm25_stemmed, liveness_stream, change_stream, caption_paragraphs)} | {f.__name__: f for f in (extract_pages, extract_report, enclosures, materialize_paths, embed_chunks, embed_coverage)}
 
 _LOG = """log AS (SELECT source, 'doc/' || doc_id AS resource, sha256(text) AS blob_sha, sha256(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS derived_sha, doc_id AS seq FROM documents WHERE text IS NOT NULL),
 derived AS (SELECT DISTINCT blob_sha FROM log WHERE seq % 3 = 0), underivable AS (SELECT DISTINCT blob_sha FROM log WHERE seq % 3 = 1 AND source = 'src1')"""
@@ -146,5 +172,6 @@ def oracles(chunks: str) -> dict[str, str]:
         "list_sources": "SELECT DISTINCT source FROM documents WHERE source IS NOT NULL",
         "page_leads": "SELECT page_id, len(regexp_extract_all(html, '(?i)<a\\s')) AS anchors, b::BIGINT AS script_bytes, b * 2 > strlen(html) AS mostly_script FROM (SELECT page_id, coalesce(html, '') AS html, coalesce(list_sum(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<script\\b[^>]*>(.*?)</script>', 1), lambda x: strlen(x))), 0) AS b FROM pages)",
         "page_crumbs": """WITH href AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href="(https?://[^"]*)"', 1)) AS h FROM pages), away AS (SELECT url, lower(regexp_extract(h, '^https?://([^/?#:]+)', 1)) AS host, CASE WHEN regexp_matches(h, '^https?://[^/?#]+/') THEN h ELSE regexp_replace(h, '^(https?://[^/?#]+)', '\\1/') END AS h FROM href WHERE regexp_extract(h, '^https?://([^/?#:]+)', 1) <> regexp_extract(url, '^https?://([^/?#:]+)', 1)), n AS (SELECT url, host, count(*) AS links, min(h) AS example FROM away GROUP BY 1, 2) SELECT * FROM n UNION ALL SELECT DISTINCT url, NULL, 0::BIGINT, NULL FROM pages WHERE url NOT IN (SELECT url FROM n)""",
+        "embed_coverage": f"WITH {chunks} SELECT count(DISTINCT chunk_hash) AS chunks, count(DISTINCT chunk_hash) AS vectors, 0::BIGINT AS refused FROM chunk",
         "chunk_markdown": f"WITH {chunks} SELECT doc_id, ordinal, chunk_hash FROM chunk",
     }

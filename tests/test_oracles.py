@@ -23,7 +23,7 @@ def rows(columns, found):
     return sorted(columns), sorted((tuple(r[i] for i in order) for r in found), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
@@ -31,3 +31,10 @@ def test_equals_sql(spark, duck, name):
     want = rows([c[0] for c in cur.description], cur.fetchall())
     assert got[0] == want[0]
     assert [tuple(x.replace(tzinfo=None) if hasattr(x, "tzinfo") else x for x in r) for r in got[1]] == want[1]
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_runs_without_sql(spark, name):
+    """Queries that SQL doesn't express return rows of a stable schema; tests/test_operators.py holds what they return."""
+    df = QUERIES[name](spark, DATA)
+    assert df.count() >= 0 and df.schema == QUERIES[name](spark, DATA).schema
