@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_CHARS, LEAST_DOCS = 12, 5
@@ -24,6 +24,38 @@ def boilerplate_strip(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("lines", F.lit(0)).alias("lines_dropped"), F.coalesce("chars", F.lit(0)).alias("chars_dropped"))
 
 
+def boilerplate_text(documents: DataFrame) -> DataFrame:
+    """doc_id, text, marks: each document (doc_id is unique) without its source's boilerplate lines, and where what is left came from.
+
+    A mark (kept_from, source_from) begins each run of kept lines; `origin` reads them. Every other character stays as it is.
+    A document of boilerplate alone has an empty text and no marks; a null text stays null.
+    """
+    line = F.regexp_replace("raw", r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", "")
+    parts = F.split("text", "\n", -1)
+    rows = documents.where("text is not null").select("source", "doc_id", (F.size(parts) - 1).alias("last"), F.posexplode(parts).alias("n", "raw"))
+    rows = rows.select("source", "doc_id", "n", line.alias("line"), F.when(F.col("n") < F.col("last"), F.concat("raw", F.lit("\n"))).otherwise(F.col("raw")).alias("raw"))
+    marked = rows.join(boilerplate_lines(documents).select("source", "line", F.lit(True).alias("drop")), ["source", "line"], "left").withColumn("kept", F.col("drop").isNull())
+    order = Window.partitionBy("doc_id").orderBy("n")
+    size = F.length("raw")
+    placed = marked.select(
+        "doc_id", "n", "raw", "kept",
+        (F.sum(size).over(order) - size).alias("source_from"),
+        (F.sum(F.when(F.col("kept"), size).otherwise(0)).over(order) - size).alias("kept_from"),
+        (~F.coalesce(F.lag("kept").over(order), F.lit(False))).alias("fresh"),
+    ).where("kept")
+    mark = F.when(F.col("fresh"), F.struct("kept_from", "source_from"))
+    texts = placed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "raw"))).alias("lines"), F.sort_array(F.collect_list(mark)).alias("marks"))
+    joined = texts.select("doc_id", F.array_join(F.transform("lines", lambda x: x["raw"]), "").alias("kept_text"), "marks")
+    empty = F.when(F.col("text").isNotNull(), F.lit(""))
+    return documents.select("doc_id", "text").join(joined, "doc_id", "left").select("doc_id", F.coalesce("kept_text", empty).alias("text"), F.coalesce("marks", F.array().cast("array<struct<kept_from:bigint,source_from:bigint>>")).alias("marks"))
+
+
+def origin(marks: Column, offset: Column) -> Column:
+    """The offset in the source of an offset in the stripped text; null before the first mark."""
+    at = F.try_element_at(F.filter(marks, lambda m: m["kept_from"] <= offset), F.lit(-1))
+    return at["source_from"] + offset - at["kept_from"]
+
+
 def blob_identity(documents: DataFrame) -> DataFrame:
     """The hash of the bytes, and that of the text with white space collapsed and trimmed."""
     folded = F.regexp_replace(F.regexp_replace("text", r"[ \t\n\r\f]+", " "), "^ | $", "")

@@ -167,5 +167,5 @@ ORACLES: dict[str, str] = {
 }
 
 QUERIES |= scalars.QUERIES | tables.QUERIES | literals.QUERIES
-ORACLES |= scalars.ORACLES | tables.oracles(_CHUNKS) | literals.ORACLES
+ORACLES |= scalars.ORACLES | tables.oracles(_CHUNKS, _LINES) | literals.ORACLES
 ORACLES |= {"liveness_stream": ORACLES["liveness_state"], "change_stream": ORACLES["change_events"]}

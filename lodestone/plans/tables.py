@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import addresses, captions, chunker, corpus, crumbs, embed, index, reader, search
+from lodestone.operators import addresses, captions, chunker, corpus, crumbs, embed, index, reader, search, text
 from lodestone.sources.log import scratch
 from lodestone.sources.tables import table
 from lodestone.streaming import log
@@ -119,6 +119,13 @@ def caption_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return captions.caption_paragraphs(cues)
 
 
+def boilerplate_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Hash of each stripped text, and where its last character but 100 came from."""
+    stripped = text.boilerplate_text(table(spark, folder, "documents"))
+    at = F.greatest(F.length("text") - 100, F.lit(0)).cast("long")
+    return stripped.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("stripped_sha"), text.origin(F.col("marks"), at).alias("origin"))
+
+
 def extract_pages(spark: SparkSession, folder: str) -> DataFrame:
     return reader.extract_pages(table(spark, folder, "pages"))
 
@@ -148,13 +155,13 @@ def embed_coverage(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (worklist_extract, extract_counters, worklist_index, latest_derivations, blob_verify, clear_source, index_report, hydrate_hits)
-} | {f.__name__: f for f in (resolve_target, download_page, list_sources, page_leads, page_crumbs, chunk_markdown, bm25_stemmed, liveness_stream, change_stream, caption_paragraphs)} | {f.__name__: f for f in (extract_pages, extract_report, enclosures, materialize_paths, embed_chunks, embed_coverage)}
+} | {f.__name__: f for f in (resolve_target, download_page, list_sources, page_leads, page_crumbs, chunk_markdown, bm25_stemmed, liveness_stream, change_stream, caption_paragraphs)} | {f.__name__: f for f in (boilerplate_text, extract_pages, extract_report, enclosures, materialize_paths, embed_chunks, embed_coverage)}
 
 _LOG = """log AS (SELECT source, 'doc/' || doc_id AS resource, sha256(text) AS blob_sha, sha256(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS derived_sha, doc_id AS seq FROM documents WHERE text IS NOT NULL),
 derived AS (SELECT DISTINCT blob_sha FROM log WHERE seq % 3 = 0), underivable AS (SELECT DISTINCT blob_sha FROM log WHERE seq % 3 = 1 AND source = 'src1')"""
 
 
-def oracles(chunks: str) -> dict[str, str]:
+def oracles(chunks: str, lines: str) -> dict[str, str]:
     """SQL of the queries; `chunks` defines the relation chunk."""
     hits = "hits AS (SELECT chunk_hash FROM chunk GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 100), ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk_hash ORDER BY source, doc_id, ordinal) AS n FROM chunk JOIN hits USING (chunk_hash))"
     firsts = "firsts AS (SELECT *, row_number() OVER (PARTITION BY chunk_hash ORDER BY doc_id, ordinal) AS n FROM chunk)"
@@ -172,6 +179,13 @@ def oracles(chunks: str) -> dict[str, str]:
         "list_sources": "SELECT DISTINCT source FROM documents WHERE source IS NOT NULL",
         "page_leads": "SELECT page_id, len(regexp_extract_all(html, '(?i)<a\\s')) AS anchors, b::BIGINT AS script_bytes, b * 2 > strlen(html) AS mostly_script FROM (SELECT page_id, coalesce(html, '') AS html, coalesce(list_sum(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<script\\b[^>]*>(.*?)</script>', 1), lambda x: strlen(x))), 0) AS b FROM pages)",
         "page_crumbs": """WITH href AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href="(https?://[^"]*)"', 1)) AS h FROM pages), away AS (SELECT url, lower(regexp_extract(h, '^https?://([^/?#:]+)', 1)) AS host, CASE WHEN regexp_matches(h, '^https?://[^/?#]+/') THEN h ELSE regexp_replace(h, '^(https?://[^/?#]+)', '\\1/') END AS h FROM href WHERE regexp_extract(h, '^https?://([^/?#:]+)', 1) <> regexp_extract(url, '^https?://([^/?#:]+)', 1)), n AS (SELECT url, host, count(*) AS links, min(h) AS example FROM away GROUP BY 1, 2) SELECT * FROM n UNION ALL SELECT DISTINCT url, NULL, 0::BIGINT, NULL FROM pages WHERE url NOT IN (SELECT url FROM n)""",
+        "boilerplate_text": f"""WITH numbered AS (SELECT source, doc_id, generate_subscripts(l, 1) AS n, unnest(l) AS raw, len(l) AS last FROM (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)), {lines},
+trimmed AS (SELECT source, doc_id, n, raw || CASE WHEN n < last THEN chr(10) ELSE '' END AS raw, regexp_replace(raw, '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g') AS line FROM numbered),
+flagged AS (SELECT t.*, c.line IS NULL AS kept FROM trimmed t LEFT JOIN common c ON c.source = t.source AND c.line = t.line),
+placed AS (SELECT *, sum(length(raw)) OVER w - length(raw) AS source_from, sum(CASE WHEN kept THEN length(raw) ELSE 0 END) OVER w - length(raw) AS kept_from FROM flagged WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+whole AS (SELECT doc_id, string_agg(raw, '' ORDER BY n) AS text FROM placed WHERE kept GROUP BY 1),
+spot AS (SELECT doc_id, arg_max(source_from + greatest(length(text) - 100, 0) - kept_from, n) AS origin FROM placed JOIN whole USING (doc_id) WHERE kept AND kept_from <= greatest(length(text) - 100, 0) GROUP BY 1)
+SELECT doc_id, sha256(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(whole.text, '') END) AS stripped_sha, origin::BIGINT AS origin FROM documents d LEFT JOIN whole USING (doc_id) LEFT JOIN spot USING (doc_id)""",
         "embed_coverage": f"WITH {chunks} SELECT count(DISTINCT chunk_hash) AS chunks, count(DISTINCT chunk_hash) AS vectors, 0::BIGINT AS refused FROM chunk",
         "chunk_markdown": f"WITH {chunks} SELECT doc_id, ordinal, chunk_hash FROM chunk",
     }
