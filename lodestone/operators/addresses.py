@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.content import ENCLOSABLE, EXTENSIONS
+from lodestone.shipping import ship
 
 MOST_PER_PAGE, MOST_NAME, MOST_DEPTH = 25, 120, 5
 # The attribute of each tag that names what it embeds.
@@ -60,6 +61,7 @@ def enclosures(pages: DataFrame, most: int = MOST_PER_PAGE) -> DataFrame:
             found = [enclosed(html, url, most) for html, url in zip(batch["html"], batch["url"])]
             yield pd.DataFrame({"url": batch["url"], "enclosed": [f[0] for f in found], "dropped": [f[1] for f in found]})
 
+    ship(pages.sparkSession)
     return pages.where("url is not null").select("url", "html").mapInPandas(scan, "url string, enclosed array<string>, dropped long")
 
 
@@ -97,6 +99,7 @@ def materialized_paths(pages: DataFrame) -> DataFrame:
     def path(url: pd.Series, kind: pd.Series) -> pd.Series:
         return pd.Series([None if u is None else relative_path(u, k or "other") for u, k in zip(url, kind)])
 
+    ship(pages.sparkSession)
     return pages.select("url", path("url", "kind").alias("relative_path"))
 
 
@@ -121,7 +124,7 @@ def sitemap_walk(bodies: DataFrame, seeds: DataFrame, depth: int = MOST_DEPTH) -
 
     The tree of maps is walked one level at a time; each level is a join, and nothing but a count reaches the driver.
     """
-    spark: SparkSession = bodies.sparkSession
+    spark: SparkSession = ship(bodies.sparkSession)
 
     @F.pandas_udf("array<struct<kind:string,loc:string,lastmod:string>>")
     def entries(body: pd.Series) -> pd.Series:

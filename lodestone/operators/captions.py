@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.shipping import ship
+
 GAP_MS, ENOUGH_BYTES, MOST_BYTES = 10_000, 600, 1_200
 JSON3 = "events array<struct<tStartMs:long,dDurationMs:long,segs:array<struct<utf8:string>>>>"
 
@@ -58,5 +60,6 @@ def caption_paragraphs(cues: DataFrame) -> DataFrame:
             out.append((key[0], key[1], len(out), begin, words))
         return pd.DataFrame(out, columns=["track", "session", "paragraph", "start_ms", "words"])
 
+    ship(cues.sparkSession)
     pieces = sessions.groupBy("track", "session").applyInPandas(joined, "track long, session long, paragraph long, start_ms long, words string")
     return pieces.select("track", "session", "paragraph", "start_ms", F.concat(F.lit("["), hms(F.col("start_ms")), F.lit("] "), "words").alias("text"))

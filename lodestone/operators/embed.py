@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from lodestone.shipping import ship
+
 BATCH = 32
 # Fixed value: what leads a query, and never a document.
 INSTRUCTION = "Instruct: {task}\nQuery:{query}"
@@ -74,6 +76,7 @@ def embedded(chunks: DataFrame, make: Callable[[], Embedder], batch: int = BATCH
                 found = some([t or "" for t in part["chunk_text"]])
                 yield pd.DataFrame({"chunk_hash": part["chunk_hash"].tolist(), "vector": [f[0] for f in found], "reason": [f[1] for f in found]})
 
+    ship(chunks.sparkSession)
     return chunks.select("chunk_hash", "chunk_text").mapInPandas(run, "chunk_hash string, vector array<float>, reason string")
 
 

@@ -9,6 +9,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from lodestone.shipping import ship
+
 # What marks a region as the page's content, widest first; what is left out within; the short-article length.
 MARKERS = ("main", "[role=main]", "#main-content", ".main-content", "article")
 CHROME = ("nav", "header", "footer")
@@ -253,4 +255,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             rows = [(page, *read_html(html)) for page, html in zip(batch["page_id"], batch["html"])]
             yield pd.DataFrame(rows, columns=["page_id", "text", "title", "tool", "notes", "fallback"])
 
+    ship(pages.sparkSession)
     return pages.select("page_id", "html").mapInPandas(read, "page_id long, text string, title string, tool string, notes string, fallback boolean")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.stem import stemmed
+from lodestone.shipping import ship
 
 TARGET, RUNT = 1200, 80
 K1, B, RRF, DEPTH = 1.2, 0.75, 60, 100
@@ -85,6 +86,7 @@ def bm25_stemmed(placed: DataFrame, query: str, depth: int = DEPTH) -> DataFrame
     def stem(words: pd.Series) -> pd.Series:
         return words.map(stemmed)
 
+    ship(placed.sparkSession)
     vocabulary = own.select(F.explode("terms").alias("word")).distinct()
     kept = vocabulary.withColumn("stem", stem("word")).where(F.col("stem").isin(wanted))
     words = own.select("chunk_hash", F.size("terms").alias("dl"), F.posexplode("terms").alias("at", "word")).join(kept, "word")

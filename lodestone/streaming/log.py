@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from lodestone.shipping import ship
+
 LIVENESS = "natural_key long, seq long, at timestamp, state string, since_seq long, consecutive_failures long"
 LIVENESS_STATE = "at timestamp, seq long, state string, since_seq long, failures long"
 CHANGES = "natural_key long, seq long, kind string, from_fp string, to_fp string"
@@ -43,6 +45,7 @@ def liveness_stream(log: DataFrame) -> DataFrame:
         state.update((at, seq, word, since, failures))
         yield pd.DataFrame([(key[0], seq, at, word, since, failures)], columns=["natural_key", "seq", "at", "state", "since_seq", "consecutive_failures"])
 
+    ship(log.sparkSession)
     rows = log.select("natural_key", "seq", "at", "state")
     return rows.groupBy("natural_key").applyInPandasWithState(fold, LIVENESS, LIVENESS_STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -61,6 +64,7 @@ def change_stream(log: DataFrame) -> DataFrame:
             state.update((at, seq, fingerprint))
         yield pd.DataFrame(out, columns=["natural_key", "seq", "kind", "from_fp", "to_fp"])
 
+    ship(log.sparkSession)
     rows = log.where("state = 'live'").select("natural_key", "seq", "at", "fingerprint")
     return rows.groupBy("natural_key").applyInPandasWithState(fold, CHANGES, CHANGES_STATE, "append", GroupStateTimeout.NoTimeout)
 
