@@ -88,7 +88,8 @@ def bm25_stemmed(placed: DataFrame, query: str, depth: int = DEPTH) -> DataFrame
 
     ship(placed.sparkSession)
     vocabulary = own.select(F.explode("terms").alias("word")).distinct()
-    kept = vocabulary.withColumn("stem", stem("word")).where(F.col("stem").isin(wanted))
+    # declared nondeterministic so that the filter on it isn't pushed below the distinct, to every word of every passage
+    kept = vocabulary.withColumn("stem", stem.asNondeterministic()("word")).where(F.col("stem").isin(wanted))
     words = own.select("chunk_hash", F.size("terms").alias("dl"), F.posexplode("terms").alias("at", "word")).join(kept, "word")
     total = own.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl"))
     places = words.groupBy("chunk_hash", "dl").agg(*[F.collect_list(F.when(F.col("stem") == w, F.col("at"))).alias(f"at_{w}") for w in wanted])
