@@ -238,3 +238,18 @@ def test_html(spark):
     assert got[1].text == "Café & more\n\nFirst words here, with some length to it.\n\nSecond one goes on for a while."
     assert got[1].n_chars == len(got[1].text) and got[2].text == got[3].text == got[4].text == "" and got[5].n_chars in (0, 1)
     assert html_text.main_text(df.limit(0)).count() == 0
+
+
+def test_quality_counts_every_document(spark):
+    rng = np.random.default_rng(7)
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 8))) for _ in range(300)]
+
+    def prose(n, joint=" "):
+        return joint.join(rng.choice(vocabulary, n))
+
+    rows = [(i, prose(150), "en") for i in range(200)] + [(1000 + i, prose(150, "### ") + "###", "en") for i in range(10)]
+    rows += [(2000 + i, prose(60, " | "), "tables") for i in range(30)] + [(3000 + i, prose(8), None) for i in range(30)] + [(3100, prose(60), None)]
+    got = {r.doc_id: r for r in perplexity.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(r.perplexity is not None for r in got.values())  # languages of tables or short texts only have a model too
+    assert all(r.kept for i, r in got.items() if i < 1000 or 2000 <= i < 3000)
+    assert not any(r.kept for i, r in got.items() if 1000 <= i < 2000)  # what few documents are full of teaches nothing
