@@ -253,3 +253,17 @@ def test_quality_counts_every_document(spark):
     assert all(r.perplexity is not None for r in got.values())  # languages of tables or short texts only have a model too
     assert all(r.kept for i, r in got.items() if i < 1000 or 2000 <= i < 3000)
     assert not any(r.kept for i, r in got.items() if 1000 <= i < 2000)  # what few documents are full of teaches nothing
+
+
+def test_quality_band_ignores_copies(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 8))) for _ in range(300)]
+    texts = [" ".join(rng.choice(vocabulary, 150)) for _ in range(200)]
+    copied = " ".join(rng.choice(vocabulary[:60], 150))
+    schema = "doc_id long, text string, lang string"
+    got = perplexity.judged(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts + [copied] * 300)], schema)).collect()
+    clean = [r for r in got if r.doc_id < 200]
+    assert all(r.kept for r in clean)  # copies of one text make neither the median nor the spread
+    assert all(r.high / r.low > 1.5 for r in got)
+    got = perplexity.judged(spark.createDataFrame([(i, texts[0], "en") for i in range(50)], schema)).collect()
+    assert all(r.kept and r.low < r.perplexity / 1.05 and r.high > r.perplexity * 1.05 for r in got)
