@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.trees import BoostedTrees
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg iframe object head title math canvas audio video select textarea button".split())
+SILENT = frozenset("script style template svg iframe head title annotation annotation-xml canvas audio video select textarea button".split())
+#: What can stand in the head; any other start tag, or text, ends it.
+HEAD = frozenset("html head title base link meta style script noscript template".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
     "legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -85,6 +87,8 @@ class Page(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.silent and tag not in HEAD:  # the head's end tag may be left out
+            self._end_inside(("head",), SILENT - {"head"})
         if tag in BLOCKS:
             self._flush()
             if tag == "html":
@@ -92,8 +96,6 @@ class Page(HTMLParser):
             self._end_inside(("p",), BLOCKS - {"p"})
             if tag in _CLOSES:
                 self._end_inside(_CLOSES[tag], _SCOPE - set(_CLOSES[tag]))
-            if self.silent and tag == "body":
-                self._end_inside(("head",), frozenset())
         elif tag == "a":
             self._end_inside(("a",), BLOCKS)
         if tag in VOID:
@@ -139,6 +141,8 @@ class Page(HTMLParser):
             self._flush()
 
     def handle_data(self, data: str) -> None:
+        if self.silent and self.open[-1][0] in ("head", "noscript") and data.strip():
+            self._end_inside(("head",), SILENT - {"head"})
         if not self.silent:
             self.pending.append(data)
             if self.links:
@@ -334,7 +338,8 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     Each block element of the page's tree is scored by boosted trees (fitted to pages made in this
     module; the number is a parameter of ``trained``). The elements to keep are then chosen together,
     as the likeliest set in which no element is kept inside a dropped one. Character references are
-    decoded, white space in a block is one space, scripts, styles, controls and hidden elements are silent.
+    decoded, white space in a block is one space, scripts, styles, templates, controls, embedded media and hidden
+    elements are silent. The head ends at the first tag or text that can't stand in it, its end tag or not.
 
     A null or empty page, or one without main text, has the empty text and 0 characters. Rows that
     repeat come back each. An empty table gives an empty result; other columns are not looked at.

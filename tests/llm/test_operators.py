@@ -267,3 +267,13 @@ def test_quality_band_ignores_copies(spark):
     assert all(r.high / r.low > 1.5 for r in got)
     got = perplexity.judged(spark.createDataFrame([(i, texts[0], "en") for i in range(50)], schema)).collect()
     assert all(r.kept and r.low < r.perplexity / 1.05 and r.high > r.perplexity * 1.05 for r in got)
+
+
+def test_html_without_optional_tags():
+    def text(html):
+        return [t for _, t in html_text.Page(html).texts]
+
+    assert text("<html><head><title>T</title><article><h1>One</h1><p>Two</article>") == ["One", "Two"]
+    assert text("<head><meta charset=utf-8><title>T</title>Bare text<p>Two") == ["Bare text", "Two"]
+    assert text("<head><template><div>no</div></template><script>x</script></head><body><p>Yes") == ["Yes"]
+    assert text("<body><p>a <math><mi>x</mi><annotation>\\x</annotation></math> b <object>c</object> <noscript>d</noscript>") == ["a x b c d"]
