@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.session import checkpointed
-from lodestone.llm.textcore import Words, batches, column_bytes
+from lodestone.llm.textcore import Words, batches, column_bytes, released
 
 SEQUENCE, END = 4096, 2
 #: Pieces of one length that a task ranks at once.
@@ -108,6 +108,7 @@ _known: dict[str, WordIds] = {}
 
 
 def _pieces(path: str, sequence: int, end: int):
+    @released
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _known.setdefault(path, None) or _known.__setitem__(path, WordIds(path)) or _known[path]
         for batch in batches(stream, "text", 2 << 20):
@@ -122,6 +123,7 @@ def _pieces(path: str, sequence: int, end: int):
                     rows.append((d, start, len(piece), zlib.crc32(piece.tobytes()), len(own)))
             d, *others = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(d), *others], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        encoder.forget()
 
     return run
 

@@ -9,7 +9,8 @@ Equal sequences always have equal hashes; different ones collide with probabilit
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -145,6 +146,27 @@ def spans_hash(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix((sums[high] - sums[low]) * powers(inverse(_GRAM_BASE), n + 1)[low] + (high - low).astype(np.uint64))
 
 
+def _give_back() -> None:
+    """Hands freed memory back to the system, which a Python worker that waits for its next task would keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        return
+
+
+def released(task: Callable) -> Callable:
+    """A task's function over a stream that gives back its memory when it ends."""
+
+    def run(stream):
+        try:
+            yield from task(stream)
+        finally:
+            _give_back()
+
+    return run
+
+
 def batches(stream: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The stream's rows again, in batches whose texts hold about ``most_bytes`` at most (a longer text comes alone)."""
     held, size = [], 0
