@@ -37,3 +37,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     if labels is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels
+
+
+def with_nodes(classes: DataFrame, rows: DataFrame, id_column: str, keys: list[str]) -> DataFrame:
+    """``classes`` (``keys`` and ``doc``, the smallest id of its rows) with ``node``, a number of its own for each class.
+
+    It is ``doc``, but for an id whose rows lie in several classes a hash of the class's keys.
+    """
+    own = F.xxhash64(*keys)
+    several = rows.groupBy(id_column).agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low <> high").select(F.col(id_column).alias("_several"))
+    return classes.join(several, classes["doc"] == several["_several"], "left").withColumn("node", F.when(F.col("_several").isNull(), F.col("doc")).otherwise(own)).drop("_several")
+
+
+def smallest_ids(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, component_id: the smallest ``doc`` among the classes of each node's component."""
+    placed = found.join(classes.select("node", "doc"), "node")
+    return placed.select("node", "component").join(placed.groupBy("component").agg(F.min("doc").alias("component_id")), "component").select("node", "component_id")

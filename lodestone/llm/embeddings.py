@@ -9,15 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.components import components
+from lodestone.llm.components import components, smallest_ids, with_nodes
 from lodestone.llm.session import checkpointed
 
-#: Vectors in one block, and leading dimensions after which pairs are given up.
+#: Vectors compared with each other at once, and leading dimensions after which pairs are given up.
 BLOCK, STEPS = 1024, (4, 8, 16, 32)
+#: A cell is dealt into so many blocks, each of BLOCK vectors at least and of so many bytes at most. Each block travels to every block that it meets.
+BLOCKS, BLOCK_BYTES = 4, 16 << 20
 #: Pairs nearer to the threshold than this are decided by the plain formula in the vectors' own coordinates.
 NEAR = 1e-9
 #: Cells along the first component that a link can span.
-CELLS = 4
+CELLS = 2
 
 
 def _moments(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +67,7 @@ def _celled(rotations: dict[int, np.ndarray], width: float):
 
 def _blocked(rows: pa.Table) -> pa.Table:
     rows = rows.combine_chunks()
-    data = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f8")
+    data = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
     one = rows.slice(0, 1).select(["label", "d", "cell", "sub"])
     for name, x in (("ids", rows["doc"].to_numpy().astype("<i8")), ("copies", rows["copies"].to_numpy().astype("<i8")), ("data", data)):
         one = one.append_column(name, pa.array([x.tobytes()], pa.binary()))
@@ -106,18 +108,26 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, threshold:
     return i[keep], j[keep]
 
 
-def _compared(rotations: dict[int, np.ndarray], threshold: float):
+def block_pairs(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, threshold: float, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """``linked_pairs`` of two long lists, ``block`` by ``block`` vectors at once; of a list with itself (a is b) each pair once."""
+    out = []
+    for i in range(0, len(a), block):
+        for j in range(i if a is b else 0, len(b), block):
+            p, q = linked_pairs(a[i : i + block].astype(float), b[j : j + block].astype(float), rotation, threshold)
+            p, q = p + i, q + j
+            out.append((p[p < q], q[p < q]) if a is b else (p, q))
+    return np.concatenate([p for p, _ in out]), np.concatenate([q for _, q in out])
+
+
+def _compared(rotations: dict[int, np.ndarray], threshold: float, block: int, kind: str):
     def run(rows: pa.Table) -> pa.Table:
         """One tile: for each vector with links in it, how many vectors it links with and the smallest one of its class here."""
         d = rows["d"][0].as_py()
         ids = [np.frombuffer(x.as_buffer(), "<i8") for x in rows["ids"]]
         copies = [np.frombuffer(x.as_buffer(), "<i8") for x in rows["copies"]]
-        data = [np.frombuffer(x.as_buffer(), "<f8").reshape(-1, d) for x in rows["data"]]
-        own = len(ids) == 1
-        i, j = linked_pairs(data[0], data[-1], rotations[d], threshold)
-        if own:
-            i, j = i[i < j], j[i < j]
-        else:
+        data = [np.frombuffer(x.as_buffer(), kind).reshape(-1, d) for x in rows["data"]]
+        i, j = block_pairs(data[0], data[-1], rotations[d], threshold, block)
+        if len(ids) == 2:
             j = j + len(ids[0])
         every, weight = np.concatenate(ids), np.concatenate(copies)
         n = (np.bincount(i, weight[j], len(every)) + np.bincount(j, weight[i], len(every))).astype(np.int64)
@@ -145,26 +155,35 @@ def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", vector
 
     Vectors are compared if their labels are equal and not null (without a label column, all) and they
     have the same length. Equal vectors are one, with a number of copies. The others are dealt into
-    cells along the first principal component, dense cells into blocks of about ``block`` vectors; two
-    blocks make a tile if their cells are near enough for a link: unit vectors with cosine t differ by
-    at most sqrt(2 - 2 t) in any direction. A tile returns counts and one edge for each vector, not its pairs.
+    cells along the first principal component and cells into blocks; two blocks make a tile if their
+    cells are near enough for a link: unit vectors with cosine t differ by at most sqrt(2 - 2 t) in any
+    direction. A block travels whole to each tile, in the numbers' own width, and has more vectors where a
+    label has more, up to 16 MB; a tile compares ``block`` by ``block`` vectors at once. It returns counts
+    and one edge for each vector, not its pairs.
 
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing: n_links
-    is 0 and they are their own class. Rows that repeat an id count as vectors each. A null id is kept,
-    unjudged, with 0 links. An empty table gives an empty result; other columns are not looked at.
+    is 0 and they are their own class. Rows that repeat an id are vectors each, with links of their own; a
+    class's id is the smallest of its rows. A null id is kept, unjudged, with 0 links. An empty table gives
+    an empty result; other columns are not looked at.
     """
     label = F.col(label_column).cast("string") if label_column else F.lit("")
-    source = vectors.select(F.col(id_column).cast("long").alias("vec_id"), label.alias("label"), F.col(vector_column).cast("array<double>").alias("v"))
+    single = vectors.schema[vector_column].dataType.simpleString() == "array<float>"
+    numbers, kind = ("array<float>", "<f4") if single else ("array<double>", "<f8")
+    source = vectors.select(F.col(id_column).cast("long").alias("vec_id"), label.alias("label"), F.col(vector_column).cast(numbers).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     valid = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
     source = source.withColumn("valid", F.coalesce(valid, F.lit(False)))
     good = source.where("valid").select("vec_id", "label", "v", F.size("v").cast("long").alias("d"), F.xxhash64("v").alias("key1"), F.xxhash64("v", F.lit(1)).alias("key2"))
-    classes = checkpointed(good.groupBy("label", "d", "key1", "key2").agg(F.min("vec_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")))
+    same = ["label", "d", "key1", "key2"]
+    classes = good.groupBy(*same).agg(F.min("vec_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+    classes = checkpointed(with_nodes(classes, good, "vec_id", same))
     rotations = _rotations(classes)
     width = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6) / CELLS
-    celled = classes.select("doc", "copies", "label", "d", "v").mapInArrow(_celled(rotations, width), "doc long, copies long, label string, d long, v array<double>, cell long")
+    celled = classes.select(F.col("node").alias("doc"), "copies", "label", "d", "v").mapInArrow(_celled(rotations, width), f"doc long, copies long, label string, d long, v {numbers}, cell long")
     celled = checkpointed(celled)
-    sizes = celled.groupBy("label", "d", "cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("subs"))
+    most = F.floor(F.lit(BLOCK_BYTES) / (F.col("d") * int(kind[2])))
+    per_block = F.greatest(F.lit(1), F.least(most, F.greatest(F.lit(block), F.ceil(F.col("n") / BLOCKS))))
+    sizes = celled.groupBy("label", "d", "cell").agg(F.count(F.lit(1)).alias("n")).select("label", "d", "cell", F.ceil(F.col("n") / per_block).alias("subs"))
     celled = celled.join(sizes, ["label", "d", "cell"]).withColumn("sub", F.pmod(F.xxhash64("doc"), "subs"))
     blocks = celled.groupBy("label", "d", "cell", "sub").applyInArrow(_blocked, "label string, d long, cell long, sub long, ids binary, copies binary, data binary")
     names = sizes.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1))).drop("subs")
@@ -173,11 +192,11 @@ def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", vector
     tile = F.struct("label", "d", "cell1", "sub1", F.col("cell").alias("cell2"), F.col("sub").alias("sub2")).alias("tile")
     both = tiles.select(tile, "label", "d", F.explode(F.array_distinct(F.array(F.struct(F.col("cell1").alias("cell"), F.col("sub1").alias("sub")), F.struct("cell", "sub")))).alias("part"))
     both = both.select("tile", "label", "d", "part.cell", "part.sub")
-    compared = checkpointed(both.join(blocks, ["label", "d", "cell", "sub"]).select("tile", "d", "ids", "copies", "data").groupBy("tile").applyInArrow(_compared(rotations, threshold), "doc long, n long, to long"))
-    found = components(compared, "doc", "to").select(F.col("node").alias("doc"), "component")
-    counts = compared.groupBy("doc").agg(F.sum("n").alias("n"))
-    judged = classes.select("label", "key1", "key2", "doc", "copies").join(counts, "doc", "left").join(found, "doc", "left")
-    judged = judged.select("label", "key1", "key2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "doc").alias("component_id"))
-    linked = good.select("vec_id", "label", "key1", "key2").join(judged, ["label", "key1", "key2"]).select("vec_id", "n_links", "component_id")
+    compared = checkpointed(both.join(blocks, ["label", "d", "cell", "sub"]).select("tile", "d", "ids", "copies", "data").groupBy("tile").applyInArrow(_compared(rotations, threshold, block, kind), "doc long, n long, to long"))
+    found = smallest_ids(components(compared, "doc", "to"), classes)
+    counts = compared.groupBy(F.col("doc").alias("node")).agg(F.sum("n").alias("n"))
+    judged = classes.select(*same, "doc", "node", "copies").join(counts, "node", "left").join(found, "node", "left")
+    judged = judged.select(*same, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "doc").alias("component_id"))
+    linked = good.select("vec_id", *same).join(judged, same).select("vec_id", "n_links", "component_id")
     alone = source.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -115,7 +115,7 @@ class Page(HTMLParser):
             self.parents.append(owner)
             self.depths.append(self.depths[owner] + 1)
             self.tokens.append([sum(w in lexicon for w in words) for lexicon in TOKENS] if words else [0] * len(TOKENS))
-            self.hidden.append(hidden)
+            self.hidden.append(hidden or self.hidden[owner])
             self.n_inner.append(0)
             self.link_chars.append(0)
             owner = len(self.tags) - 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,103 +11,121 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.session import id_remainder
-from lodestone.llm.textcore import batches, column_bytes
+from lodestone.llm.textcore import CONTINUATION, batches, code_points, column_bytes, mix, released
 
-DIMENSIONS, SYMBOLS, GRAM = 1024, 64, 3
+DIMENSIONS, BITS = 1024, 16
 UNDETERMINED = "und"
 _HELD = 2
+#: N-grams that are bundled at once.
+_RUN = 8192
 
 
-def _symbol_table() -> np.ndarray:
-    """Symbol of each code point below 0x3000, by its lower-case letter: 0 no letter, 1-26 a-z, 27-63 other letters by code point."""
-    out = np.zeros(0x3000, np.uint8)
-    for c in range(len(out)):
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Of each 16-bit code point: the lower-case letter or mark that stands for it, else 0; and whether it is a letter."""
+    symbols, letters = np.zeros(1 << BITS, np.uint16), np.zeros(1 << BITS, bool)
+    for c in range(1 << BITS):
         low = chr(c).lower()[:1]
-        if low.isalpha():
-            out[c] = ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % 37
-    return out
+        if unicodedata.category(low)[0] in "LM":
+            symbols[c] = ord(low)
+            letters[c] = low.isalpha()
+    return symbols, letters
 
 
-_SYMBOL = _symbol_table()
-#: Random letter vectors of +1 and -1, and their permutations (rotations) by one and two places.
-_LETTERS = np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
-_ROTATED = [np.roll(_LETTERS, k, axis=1) for k in range(GRAM)]
+_SYMBOL, _LETTER = _tables()
 
 
 def symbols_of(raw: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of the documents' code points, their bounds, and whether each document has a letter."""
-    lead = (raw & 0xC0) != 0x80
-    bounds = np.append(0, np.cumsum(lead))[docs]
-    points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
-    out = _SYMBOL[np.minimum(points, len(_SYMBOL) - 1)]
-    for at in np.flatnonzero(points >= len(_SYMBOL)).tolist():
-        out[at] = 27 + int(points[at]) % 37 if chr(points[at]).isalpha() else 0
-    letters = np.append(0, np.cumsum(out > 0))
+    """Symbols of the documents' code points, their bounds, and whether each document has a letter.
+
+    Letters beyond 16 bits share the 2,048 numbers of the surrogates, which no text holds.
+    """
+    at = np.flatnonzero(~CONTINUATION[raw])
+    bounds = np.searchsorted(at, docs)
+    points = code_points(raw, at)
+    far = points >= 1 << BITS
+    near = np.where(far, 0, points)
+    out, letter = _SYMBOL[near], _LETTER[near]
+    if far.any():
+        values, back = np.unique(points[far], return_inverse=True)
+        known = np.array([v < 0x110000 and chr(v).isalpha() for v in values.tolist()])[back]
+        out[far], letter[far] = np.where(known, 0xD800 + points[far] % 2048, 0), known
+    letters = np.append(0, np.cumsum(letter))
     return out, bounds, letters[bounds[1:]] > letters[bounds[:-1]]
 
 
 def gram_counts(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, trigram and count, in order; runs of other characters are one edge, and trigrams without a middle letter are left out."""
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    keep = np.ones(len(symbols), bool)
-    keep[1:] = (symbols[1:] > 0) | (symbols[:-1] > 0) | (doc[1:] != doc[:-1])
-    s, d = symbols[keep].astype(np.int64), doc[keep]
-    if len(s) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-    inside = (d[:-2] == d[2:]) & (s[1:-1] > 0)
-    key, count = np.unique(d[:-2][inside] * SYMBOLS**GRAM + codes[inside], return_counts=True)
-    return key // SYMBOLS**GRAM, key % SYMBOLS**GRAM, count
-
-
-def gram_vectors(codes: np.ndarray) -> np.ndarray:
-    """N-gram vectors: the product of the letters' vectors, each rotated by its distance from the end."""
-    return _ROTATED[2][codes // SYMBOLS**2] * _ROTATED[1][codes // SYMBOLS % SYMBOLS] * _ROTATED[0][codes % SYMBOLS]
-
-
-def bundled(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The sum of the n-gram vectors, each as often as it was counted."""
-    total = np.zeros(DIMENSIONS, np.float32)
-    for i in range(0, len(codes), 8192):
-        total += counts[i : i + 8192].astype(np.float32) @ gram_vectors(codes[i : i + 8192]).astype(np.float32)
-    return total
-
-
-def _profile_counts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document, trigram and count, in order. Runs of other characters are one edge, as are a document's start and end; each trigram has a letter in its middle."""
+    n_docs = len(bounds) - 1
+    doc = np.repeat(np.arange(n_docs), np.diff(bounds))
+    s, d = np.zeros(len(symbols) + n_docs + 1, np.uint64), np.zeros(len(symbols) + n_docs + 1, np.int64)
+    place = np.arange(len(symbols)) + doc + 1
+    s[place], d[place] = symbols, doc
+    keep = np.ones(len(s), bool)
+    keep[1:] = (s[1:] > 0) | (s[:-1] > 0)
+    s, d = s[keep], d[keep]
+    middle = np.flatnonzero(s > 0)
+    codes = s[middle - 1] << np.uint64(2 * BITS) | s[middle] << np.uint64(BITS) | s[middle + 1]
+    distinct, back = np.unique(codes, return_inverse=True)
+    key, count = np.unique(d[middle] * max(1, len(distinct)) + back, return_counts=True)
+    return key // max(1, len(distinct)), distinct[key % max(1, len(distinct))], count
+
+
+class Letters:
+    """Random vectors of +1 and -1 of the symbols in some n-grams, from the symbols' numbers, and their rotations by one and two places."""
+
+    def __init__(self, codes: np.ndarray):
+        mask = np.uint64((1 << BITS) - 1)
+        self.symbols = np.unique(np.concatenate([codes >> np.uint64(2 * BITS), codes >> np.uint64(BITS) & mask, codes & mask]))
+        words = mix(self.symbols[:, None] * np.uint64(DIMENSIONS // 64) + np.arange(DIMENSIONS // 64, dtype=np.uint64) + np.uint64(1))
+        signs = np.unpackbits(words.view(np.uint8).reshape(len(self.symbols), DIMENSIONS // 8), axis=1).astype(np.int8) * 2 - 1
+        self.rotated = [np.roll(signs, k, axis=1) for k in range(3)]
+
+    def grams(self, codes: np.ndarray) -> np.ndarray:
+        """N-gram vectors: the product of the letters' vectors, each rotated by its distance from the end."""
+        a, b, c = (np.searchsorted(self.symbols, codes >> np.uint64(BITS * k) & np.uint64((1 << BITS) - 1)) for k in (2, 1, 0))
+        return self.rotated[2][a] * self.rotated[1][b] * self.rotated[0][c]
+
+    def bundled(self, codes: np.ndarray, counts: np.ndarray, kind: type = np.float32) -> np.ndarray:
+        """The sum of the n-gram vectors, each as often as it was counted."""
+        total = np.zeros(DIMENSIONS, kind)
+        for i in range(0, len(codes), _RUN):
+            total += counts[i : i + _RUN].astype(kind) @ self.grams(codes[i : i + _RUN]).astype(kind)
+        return total
+
+
+@released
+def _profiles(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of a task's n-gram vectors by language: whole numbers, so their sum over tasks is exact in any order."""
     totals: dict[str, np.ndarray] = {}
     for batch in batches(stream, "text"):
         languages = np.array(batch.column("lang").to_pylist(), object)
         symbols, bounds, _ = symbols_of(*column_bytes(batch.column("text")))
         doc, codes, counts = gram_counts(symbols, bounds)
-        for language in set(languages.tolist()):
+        letters = Letters(codes)
+        for language in sorted(set(languages.tolist())):
             mine = (languages == language)[doc]
-            totals.setdefault(language, np.zeros(SYMBOLS**GRAM, np.int64))
-            totals[language] += np.bincount(codes[mine], counts[mine], SYMBOLS**GRAM).astype(np.int64)
-    for language, counts in totals.items():
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([language] * len(at)), pa.array(at), pa.array(counts[at])], names=["lang", "gram", "n"])
+            distinct, back = np.unique(codes[mine], return_inverse=True)
+            totals[language] = totals.get(language, 0) + letters.bundled(distinct, np.bincount(back, counts[mine], len(distinct)), np.float64)
+    for language, total in totals.items():
+        yield pa.RecordBatch.from_arrays([pa.array([language] * DIMENSIONS), pa.array(np.arange(DIMENSIONS)), pa.array(total.astype(np.int64))], names=["lang", "i", "s"])
 
 
 def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their unit prototypes from (lang, text): trigrams are counted by Spark over every text; a language's at most 64**3 sums come to the driver."""
-    counts = docs.mapInArrow(_profile_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    names = np.array(counts["lang"].to_pylist(), object)
-    codes, number = counts["gram"].to_numpy(), counts["n"].to_numpy()
-    languages = sorted(set(names.tolist()))
-    vectors = np.zeros((len(languages), DIMENSIONS), np.float64)
-    for i, language in enumerate(languages):
-        mine = np.flatnonzero(names == language)
-        mine = mine[np.argsort(codes[mine])]
-        total = bundled(codes[mine], number[mine] / number[mine].sum()).astype(np.float64)
-        vectors[i] = total / max(np.linalg.norm(total), 1e-30)
-    return languages, vectors
+    """Languages and their unit prototypes from (lang, text). Spark sums the vectors of every text's n-grams; a language's 1,024 sums come to the driver."""
+    sums = docs.mapInArrow(_profiles, "lang string, i long, s long").groupBy("lang", "i").agg(F.sum("s").alias("s")).toArrow()
+    names, back = np.unique(np.array(sums["lang"].to_pylist(), str), return_inverse=True)
+    vectors = np.zeros((len(names), DIMENSIONS))
+    vectors[back, sums["i"].to_numpy()] = sums["s"].to_numpy()
+    return names.tolist(), vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-30)[:, None]
 
 
 def _predicted(languages: list[str], vectors: np.ndarray):
+    @released
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream, "text"):
             symbols, bounds, lettered = symbols_of(*column_bytes(batch.column("text")))
             doc, codes, counts = gram_counts(symbols, bounds)
+            letters = Letters(codes)
             cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1)).tolist()
             names, scores = [], []
             for d in range(batch.num_rows):
@@ -114,12 +133,12 @@ def _predicted(languages: list[str], vectors: np.ndarray):
                     names.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                total = bundled(codes[cuts[d] : cuts[d + 1]], counts[cuts[d] : cuts[d + 1]]).astype(np.float64)
+                total = letters.bundled(codes[cuts[d] : cuts[d + 1]], counts[cuts[d] : cuts[d + 1]]).astype(np.float64)
                 cosines = vectors @ total / max(np.linalg.norm(total), 1e-30)
                 best = int(np.argmax(cosines))
                 names.append(languages[best])
                 scores.append(float(min(1.0, max(0.0, cosines[best]))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
@@ -127,7 +146,7 @@ def _predicted(languages: list[str], vectors: np.ndarray):
 def identified(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score: the language whose prototype has the largest cosine with the document.
 
-    Letters have fixed random vectors; a trigram's vector binds its letters' rotated vectors, a text's
+    Letters and marks of every script have random vectors of their own, upper case those of lower case; a trigram's vector binds its letters' rotated vectors, a text's
     bundles its trigrams'. Prototypes bundle all texts with a language whose crc32(id) modulo 4 is
     not 2 (held_out marks the others). Ties go to the language first in order. A text without a letter,
     null or empty, is ``und`` with score 0, and so is every text if nothing could be learned. Null

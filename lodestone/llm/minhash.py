@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.components import components
+from lodestone.llm.components import components, smallest_ids, with_nodes
 from lodestone.llm.session import checkpointed
 from lodestone.llm.textcore import LOWER, Words, batches, column_bytes, flat_binary, mix, spans_hash, windows
 
@@ -96,8 +96,8 @@ def _signed(size: int, bands: int, rows: int):
 def _sets(size: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream, "text"):
-            _, _, values, bounds = shingle_sets(*column_bytes(batch.column("text")), size)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), flat_binary(values, np.diff(bounds))], names=["doc", "shingles"])
+            words, hashes, values, bounds = shingle_sets(*column_bytes(batch.column("text")), size)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans_hash(hashes, words.bounds).view(np.int64)), flat_binary(values, np.diff(bounds))], names=["doc_id", "key1", "shingles"])
 
     return run
 
@@ -162,15 +162,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     no pair between members is written unless it is a link that joins two classes.
 
     Null or empty texts have no shingles and are linked with nothing: each is its own class. A null
-    id has a null class and stays. Rows that repeat an id count as copies. An empty table gives an
+    id has a null class and stays. Rows that repeat an id are documents each, linked by their own texts; a
+    class's id is the smallest of its rows, so all rows with that id are kept. An empty table gives an
     empty result; other columns are not looked at.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     signed = checkpointed(source.mapInArrow(_signed(shingle_words, bands, rows), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"))
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = checkpointed(full.groupBy("key1", "key2").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands")))
+    texts = full.groupBy("key1", "key2").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands"))
+    classes = checkpointed(with_nodes(texts, full, "doc_id", ["key1", "key2"]))
 
-    members = classes.select("doc", F.explode("bands").alias("band"))
+    members = classes.select(F.col("node").alias("doc"), F.explode("bands").alias("band"))
     firsts = members.groupBy("band").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("size")).where("first < last")
     members = checkpointed(members.join(firsts.select("band", "first", "size"), "band").select("band", "doc", "first", "size"))
     pairs = members.where("doc <> first").select("first", "doc").distinct()
@@ -181,7 +183,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         pairs.select("first", "salt").distinct().select(tile, F.lit(0).alias("side"), F.col("first").alias("doc"), F.col("first").alias("component"))
     )
     wanted = pairs.select("doc").union(pairs.select("first")).distinct()
-    sets = checkpointed(source.join(wanted, source["doc_id"] == wanted["doc"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle_words), "doc long, shingles binary"))
+    # The texts of wanted classes by their smallest ids; among rows that repeat an id the text's own hash says which is meant.
+    wanted = classes.join(wanted.withColumnRenamed("doc", "node"), "node", "left_semi").select(F.col("doc").alias("doc_id"), "key1", F.col("node").alias("doc"))
+    texts = source.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "doc_id long, key1 long, shingles binary")
+    sets = checkpointed(texts.join(wanted, ["doc_id", "key1"]).groupBy("doc").agg(F.first("shingles").alias("shingles")))
     links = checkpointed(_links(stars, sets, percent))
     found = components(links)
 
@@ -210,14 +215,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if not more.isEmpty():
             found = components(links.union(more))
 
-    placed = full.select("doc_id", "n_shingles", "key1", "key2").join(classes.select("key1", "key2", "doc"), ["key1", "key2"])
-    placed = placed.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc").alias("component_id"))
+    placed = classes.select("key1", "key2", "doc", "node").join(smallest_ids(found, classes), "node", "left").select("key1", "key2", F.coalesce("component_id", "doc").alias("component_id"))
+    placed = full.select("doc_id", "n_shingles", "key1", "key2").join(placed, ["key1", "key2"]).select("doc_id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The documents without all but one of each class, all columns unchanged; of rows with one id one stays."""
+    """The documents without all but one of each class, all columns unchanged.
+
+    Of rows with one id one stays, whatever their texts; rows without an id stay. A null or empty text stays.
+    """
     gone = near_duplicates(docs, id_column, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, docs[id_column] == gone["_gone"], "left_anti")
     return left.where(F.col(id_column).isNotNull()).dropDuplicates([id_column]).union(left.where(F.col(id_column).isNull()))

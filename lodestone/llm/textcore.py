@@ -73,6 +73,21 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw, bounds - bounds[0]
 
 
+def code_points(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The code points whose first bytes are at ``at``; of ill-formed UTF-8 some number, never an error."""
+    out = raw[at].astype(np.int64)
+    wide = np.flatnonzero(out >= 0xC0)
+    if len(wide):
+        lead = out[wide]
+        more = 1 + (lead >= 0xE0) + (lead >= 0xF0)
+        value = lead & (0x3F >> more)
+        for k in (1, 2, 3):
+            tail = raw[np.minimum(at[wide] + k, len(raw) - 1)] & 0x3F
+            value = np.where(more >= k, value << 6 | tail, value)
+        out[wide] = value
+    return out
+
+
 class Words:
     """Words of a run of documents: byte spans ``starts``/``ends``; document d has words bounds[d]:bounds[d+1]."""
 

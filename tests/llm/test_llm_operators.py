@@ -72,12 +72,21 @@ def test_minhash(spark, docs, rows, empty):
     got = {r.doc_id: r for r in minhash.near_duplicates(docs, shingle_words=4).collect()}
     assert {i: r.component_id for i, r in got.items()} == want
     assert all(r.n_shingles == len(sets[i]) and r.kept == (i == r.component_id) for i, r in got.items())
-    assert minhash.near_duplicates(empty).count() == 0
+    assert minhash.near_duplicates(empty).count() == 0 and minhash.without_near_duplicates(empty).count() == 0
     doubled = docs.union(docs)
     left = minhash.without_near_duplicates(doubled, shingle_words=4)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted({v for v in want.values()})
 
 
+def test_minhash_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(5)
+    a, b = (" ".join(f"w{rng.integers(900)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (3, "far away from all the others"), (4, b + " z"), (None, a), (5, a), (5, a)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=4).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == sorted([(1, 57, 1), (1, 57, 1), (2, 58, 1), (3, 58, 1), (3, 3, 3), (4, 58, 1), (0, 57, 0), (5, 57, 1), (5, 57, 1)])
+
+
 def test_substrings(docs, rows, empty):
     first = {}
     for i, t, *_ in sorted(rows):
@@ -218,22 +227,67 @@ def test_packing(docs, rows, empty):
     assert packing.packed(empty, path).count() == 0
 
 
-def test_mixing(spark, docs, empty):
-    small, large = mixing.mixed(docs, rounds=5).collect(), mixing.mixed(docs, rounds=5, driver_cells=0).collect()
-    assert {r.doc_id: round(r.rate, 9) for r in small} == {r.doc_id: round(r.rate, 9) for r in large}
-    tokens = sum(r.n_tokens for r in small)
-    assert abs(sum(r.rate * r.n_tokens for r in small) - 0.8 * tokens) < 1e-6 * tokens
-    for r in small:
+def brute_mixing(rows, powers, share):
+    """Rates by cell: raking of a dictionary of cells, and a bisection for the level."""
+    cells = Counter()
+    for r in rows:
+        cells[r.source, r.lang, r.topic] += r.n_tokens
+    weight = {c: float(n) for c, n in cells.items()}
+    wants = []
+    for axis, power in enumerate(powers):
+        own = Counter()
+        for c, n in cells.items():
+            own[c[axis]] += n
+        total = sum(v**power for v in own.values() if v)
+        wants.append({k: v**power / total if v else 0.0 for k, v in own.items()})
+    for _ in range(300):
+        for axis, want in enumerate(wants):
+            sums = Counter()
+            for c, w in weight.items():
+                sums[c[axis]] += w
+            weight = {c: w * want[c[axis]] / sums[c[axis]] if sums[c[axis]] else 0.0 for c, w in weight.items()}
+    raw = {c: weight[c] / n if n else 0.0 for c, n in cells.items()}
+    low, high = 0.0, 1e12
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(n * min(1, mid * raw[c]) for c, n in cells.items()) < share * sum(cells.values()) else (low, mid)
+    return {c: min(1, high * raw[c]) for c in cells}
+
+
+def test_mixing(spark, docs, rows, empty):
+    full = docs.where("doc_id % 5 <> 1 or source = 's' or text is null")  # weights that differ by axis
+    got = mixing.mixed(full, rounds=300).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(words(t)) for i, t, _, s, *_ in rows if i % 5 != 1 or s == "s" or t is None}
+    want = brute_mixing(got, (0.7, 0.9, 0.9), 0.8)
+    assert all(r.rate == pytest.approx(want[r.source, r.lang, r.topic], rel=1e-5, abs=1e-9) for r in got)
+    assert all(r.residual < 1e-6 for r in got) and 1 < len({r.topic for r in got}) <= 9 and all((r.topic is None) == (r.n_tokens == 0) for r in got)
+    for r in got:
         assert r.kept == (int(hashlib.md5(f"{r.doc_id}:0".encode()).hexdigest()[:13], 16) / 16**13 < r.rate)
-    assert mixing.mixed(empty).count() == 0
+    assert mixing.mixed(empty).count() == 0 and mixing.sampled(empty).count() == 0
 
 
-def test_raking_meets_marginals():
+def test_mixing_to_asked_targets(spark):
     rng = np.random.default_rng(2)
-    codes = [np.repeat(np.arange(3), 4), np.tile(np.arange(4), 3)]
-    targets = [np.array([0.5, 0.3, 0.2]), np.array([0.1, 0.2, 0.3, 0.4])]
-    w = mixing.raked(codes, rng.random(12) + 0.1, targets, 60)
-    assert all(np.allclose(np.bincount(c, w), t) for c, t in zip(codes, targets, strict=True))
+    rows = [(i, " ".join(["w"] * int(rng.integers(5, 60))), "abc"[i % 3], "xy"[i % 7 % 2], "pqr"[i % 11 % 3], 1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string, target double")
+    targets = {"source": {"a": 2, "b": 1, "c": 1}, "lang": {"x": 0.7, "y": 0.3}, "topic": {"p": 1, "q": 1, "r": 2}}
+    got = mixing.mixed(df, topic_column="topic", targets=targets, share=0.2, rounds=100).collect()
+    total = sum(r.rate * r.n_tokens for r in got)
+    for axis, want in targets.items():
+        for value, share in want.items():
+            assert sum(r.rate * r.n_tokens for r in got if r[axis] == value) / total == pytest.approx(share / sum(want.values()), rel=1e-6)
+    assert total == pytest.approx(0.2 * sum(r.n_tokens for r in got))
+    with pytest.raises(ValueError):
+        mixing.mixed(df, topic_column="topic", targets={"lang": {"z": 1}})
+
+
+def test_learnt_topics_follow_the_words(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = [[f"{k}w{i}" for i in range(30)] for k in range(2)]
+    rows = [(i, " ".join(rng.choice(vocabulary[i % 2], 80)), "s", "en" if i % 4 < 2 else "fr") for i in range(200)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    seen = Counter((r.topic, r.doc_id % 2) for r in got)
+    assert sum(n for (_, k), n in seen.items() if n == max(v for (t, j), v in seen.items() if j == k)) > 190 and len({t for (t, _), n in seen.items() if n > 50}) == 2
 
 
 def test_token_counts(docs, rows, empty):
@@ -274,6 +328,12 @@ def test_language_id(spark, empty):
     source = spark.read.parquet(data)
     got = language.identified(source).join(source.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in got) >= 0.98 * len(got)
+    assert max(r.score for r in got) <= 1
+    scripts = {"en": "the quick fox a", "ru": "бурая лиса я", "el": "αλεπού καφέ η", "hi": "भूरी लोमड़ी क", "zh": "棕色狐狸 是", "xx": "𐐀𐐁𐐂 𐐃"}
+    rows = [(i, text, lang) for i, (lang, text) in enumerate(list(scripts.items()) * 40)] + [(1000 + i, text.split()[-1], None) for i, text in enumerate(scripts.values())]
+    told = {r.doc_id: r for r in language.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(told[i].lang_pred == lang for i, lang in enumerate(list(scripts) * 40))
+    assert all(told[1000 + i].lang_pred == lang and told[1000 + i].score > 0 for i, lang in enumerate(scripts))  # one letter between two edges
     odd = spark.createDataFrame([(1, None, "en"), (2, "12 !", "en"), (3, "hello there", "en"), (5, "x", None)], "doc_id long, text string, lang string")
     assert {r.doc_id: r.lang_pred for r in language.identified(odd).collect()}[1] == "und"
     assert language.identified(empty).count() == 0
@@ -301,6 +361,13 @@ def test_embeddings(spark):
     assert embeddings.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_repeated_ids(spark):
+    v = lambda *x: [float(y) for y in x]
+    rows = [(1, v(1, 0, 0), "x"), (1, v(0, 1, 0), "x"), (2, v(1, 0.1, 0), "x"), (3, v(0, 1, 0.1), "x"), (1, v(1, 0, 0), "y"), (None, v(1, 0, 0), "x"), (4, v(0, 0, 1), "x")]
+    got = embeddings.near_duplicate_vectors(spark.createDataFrame([(*r, "d", 1, 2) for r in rows], "vec_id long, embedding array<double>, label string, doc string, n long, component long"))
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got.collect()) == [(0, 0, 0), (1, 0, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+
+
 def test_html(spark):
     page = (
         '<html><head><title>T</title></head><body><nav class="menu"><ul><li><a href="/">Home</a></li><li><a href="/b">B</a></li></ul></nav><article><h1>Caf&eacute;  &amp; more</h1>'
