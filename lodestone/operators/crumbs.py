@@ -78,3 +78,29 @@ def listed(standings: DataFrame, everything: bool = False, most: int = LISTED) -
     """The listing: most links first, then by host; ignored hosts only on demand."""
     shown = standings if everything else standings.where("standing <> 'ignored'")
     return shown.orderBy(F.desc("links"), "host").limit(most)
+
+
+def short_sha(blob_sha: Column) -> Column:
+    return F.substring(blob_sha, 1, 12)
+
+
+def append_ledger(rows: DataFrame, folder: str) -> None:
+    """Adds scanned pages' crumbs (source, short, url, host, links, example) to the ledger, a folder for each source."""
+    rows.write.mode("append").partitionBy("source").parquet(folder)
+
+
+def rewrite_ledger(rows: DataFrame, folder: str) -> None:
+    """Replaces the ledger of the sources that ``rows`` holds; the others' folders stay as they are."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(folder)
+
+
+def with_ledger(pages: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The crumbs of pages (url, html, blob_sha): recorded ones from the ledger by the blob's short hash, the others scanned.
+
+    Only the short hashes of the ledger meet the pages; bodies that are recorded aren't read again.
+    """
+    keyed = pages.withColumn("short", short_sha(F.col("blob_sha")))
+    known = ledger.select("short").distinct()
+    missing = keyed.join(known, "short", "left_anti")
+    recorded = keyed.select("short", F.col("url").alias("page")).join(ledger, "short").where("url = page")
+    return recorded.select("url", "host", "links", "example").union(crumb_rows(missing).select("url", "host", "links", "example"))

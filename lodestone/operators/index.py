@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHOWN = 8
-
-
 def observed(documents: DataFrame) -> DataFrame:
     """source, resource, blob_sha, derived_sha, seq of each document as an observation and its derivation."""
     sha = F.sha2(F.col("text").cast("binary"), 256)
@@ -45,28 +42,46 @@ def blob_verified(blobs: DataFrame) -> DataFrame:
 
 def clear_source(placed: DataFrame, source: str) -> DataFrame:
     """Passages that still have a placement when a source's are gone."""
-    return placed.where(F.col("source") != source).select("chunk_hash").distinct()
+    return placed.where(~F.col("source").eqNullSafe(source)).select("chunk_hash").distinct()
 
 
 def index_report(placed: DataFrame) -> DataFrame:
-    """Per source: passages that it brought first, and those that an earlier document had."""
-    first = placed.groupBy("chunk_hash").agg(F.min(F.struct("doc_id", "ordinal")).alias("first"))
-    new = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.ordinal") == F.col("ordinal"))
-    return placed.join(first, "chunk_hash").groupBy("source").agg(F.count_if(new).alias("chunks_written"), F.count_if(~new).alias("deduplicated"))
-
-
-def hydrate_hits(hits: DataFrame, placed: DataFrame, shown: int = SHOWN) -> DataFrame:
-    """Each hit's first placement by source, document and ordinal, up to 8 further ones, and how many there are."""
-    order = Window.partitionBy("chunk_hash").orderBy("source", "doc_id", "ordinal")
-    at = placed.join(F.broadcast(hits.select("chunk_hash")), "chunk_hash")  # a search returns 100 hits at most
-    ranked = at.select("chunk_hash", "source", "doc_id", "ordinal").withColumn("n", F.row_number().over(order))
-    total = at.groupBy("chunk_hash").agg((F.count(F.lit(1)) - 1).alias("also_at_total"))
-    near = ranked.where(F.col("n") <= shown + 1).groupBy("chunk_hash").agg(
-        F.min_by("source", "n").alias("primary_source"),
-        F.min_by("doc_id", "n").alias("primary_doc"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.struct("n", "doc_id")))), lambda x: x["doc_id"].cast("string")), " ").alias("also_at"),
-    )
-    return near.join(total, "chunk_hash")
+    """Per source: passages that it brought first, and those that an earlier document had.
+
+    Placements are counted by passage and source before they meet, so a passage with very many is no single task.
+    """
+    counted = placed.groupBy("chunk_hash", "source").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "ordinal", "source")).alias("first"))
+    first = counted.groupBy("chunk_hash").agg(F.min("first").alias("f"))
+    written = first.groupBy("f.source").agg(F.count(F.lit(1)).alias("chunks_written"))
+    total = counted.groupBy("source").agg(F.sum("n").alias("n"))
+    same = total["source"].eqNullSafe(written["source"])
+    return total.join(written, same, "left").select(total["source"], F.coalesce("chunks_written", F.lit(0)).alias("chunks_written"), (F.col("n") - F.coalesce("chunks_written", F.lit(0))).alias("deduplicated"))
+
+
+def address_times(log: DataFrame) -> DataFrame:
+    """blob_sha, source, resource, first_seen: every address that ever served a blob, and when it first did."""
+    return log.groupBy("blob_sha", "source", "resource").agg(F.min("at").alias("first_seen"))
+
+
+def derived_addresses(derivations: DataFrame, log: DataFrame) -> DataFrame:
+    """Each newest derivation (blob_sha, derived_sha, at, seq) at every address of its blob, with the earliest time there.
+
+    Addresses are dealt by hash, so a blob at very many addresses is several tasks.
+    """
+    salts = 16
+    at = address_times(log).withColumn("salt", F.pmod(F.xxhash64("resource"), F.lit(salts)).cast("int"))
+    newest = latest_derivations(derivations).select("blob_sha", "derived_sha").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return at.join(newest, ["blob_sha", "salt"]).select("source", "resource", "blob_sha", "derived_sha", "first_seen")
+
+
+def derived_from(derivations: DataFrame) -> DataFrame:
+    """derived_sha, blob_sha: the original of each derived text, that of the last line where several led to one."""
+    return derivations.groupBy("derived_sha").agg(F.max_by("blob_sha", "seq").alias("blob_sha"))
+
+
+def index_order(derivations: DataFrame) -> DataFrame:
+    """The newest derivations in the order in which they are indexed: by time, then by hash."""
+    return latest_derivations(derivations).orderBy("at", "derived_sha")
 
 
 def resolve_target(log: DataFrame, target: str, most: int = 10) -> DataFrame:

@@ -1,16 +1,12 @@
-"""Passages, their index, and hybrid retrieval: BM25 and cosine, fused by reciprocal rank."""
+"""Passages in closed form, queries, cosine search, and fusion by reciprocal rank; the stored index is in `store`."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.stem import stemmed
-from lodestone.shipping import ship
-
 TARGET, RUNT = 1200, 80
 K1, B, RRF, DEPTH = 1.2, 0.75, 60, 100
 
@@ -40,78 +36,12 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-def _is(term: str):
-    return lambda x: x == F.lit(term)
-
-
-def _minus(n: int):
-    return lambda x: x - n
-
-
-def bm25(placed: DataFrame, query: list[str]) -> DataFrame:
-    """chunk_hash, score, rank of the chunks that hold every term of the query, best 100; term counts come from the whole index."""
-    own = distinct_chunks(placed).select("chunk_hash", terms(F.col("chunk_text")).alias("terms"))
-    own = own.select("chunk_hash", F.size("terms").alias("dl"), *[F.size(F.filter("terms", _is(t))).alias(f"tf{i}") for i, t in enumerate(query)])
-    total = own.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))])
-    hits = own.where(" and ".join(f"tf{i} > 0" for i in range(len(query))) or "false").join(F.broadcast(total))  # one row
-
-    def part(i: int) -> Column:
-        df, tf = F.col(f"df{i}"), F.col(f"tf{i}")
-        return F.ln((F.col("n") - df + 0.5) / (df + 0.5) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-
-    score = F.round(sum((part(i) for i in range(len(query))), F.lit(0.0)), 6)
-    best = hits.select("chunk_hash", score.alias("score")).orderBy(F.desc("score"), "chunk_hash").limit(DEPTH)
-    return best.select("chunk_hash", "score", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_hash")).cast("long").alias("rank"))
-
-
 def query_phrases(query: str) -> list[list[str]]:
     """The words of each white-space separated term; a term with punctuation inside is a phrase. Quotes separate nothing."""
     found = [re.findall(r"[^\W_]+", term.lower()) for term in query.replace('"', " ").split()]
     return [words for words in found if words]
 
 
-def bm25_stemmed(placed: DataFrame, query: str, depth: int = DEPTH) -> DataFrame:
-    """chunk_hash, score, rank of the chunks that hold every phrase of the query, by the stems of their words.
-
-    Only the distinct words of the index are stemmed, and of these only the few whose stem the query asks for are
-    kept; their number is bounded by what shares a stem, not by the index.
-    """
-    phrases = [[stemmed(w) for w in words] for words in query_phrases(query)]
-    wanted = sorted({w for words in phrases for w in words})
-    own = distinct_chunks(placed).select("chunk_hash", terms(F.col("chunk_text")).alias("terms"))
-    if not wanted:
-        return own.where("false").select("chunk_hash", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank"))
-
-    @F.pandas_udf("string")
-    def stem(words: pd.Series) -> pd.Series:
-        return words.map(stemmed)
-
-    ship(placed.sparkSession)
-    vocabulary = own.select(F.explode("terms").alias("word")).distinct()
-    # declared nondeterministic so that the filter on it isn't pushed below the distinct, to every word of every passage
-    kept = vocabulary.withColumn("stem", stem.asNondeterministic()("word")).where(F.col("stem").isin(wanted))
-    words = own.select("chunk_hash", F.size("terms").alias("dl"), F.posexplode("terms").alias("at", "word")).join(kept, "word")
-    total = own.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    places = words.groupBy("chunk_hash", "dl").agg(*[F.collect_list(F.when(F.col("stem") == w, F.col("at"))).alias(f"at_{w}") for w in wanted])
-
-    def count(phrase: list[str]) -> Column:
-        starts = F.col(f"at_{phrase[0]}")
-        for i, w in enumerate(phrase[1:], 1):
-            starts = F.array_intersect(starts, F.transform(f"at_{w}", _minus(i)))
-        return F.size(starts)
-
-    hits = places.select("chunk_hash", "dl", *[count(p).alias(f"tf{i}") for i, p in enumerate(phrases)])
-    df = hits.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))])
-    scored = hits.where(" and ".join(f"tf{i} > 0" for i in range(len(phrases)))).join(F.broadcast(df)).join(F.broadcast(total))  # one row each
-
-    def part(i: int) -> Column:
-        n, tf = F.col(f"df{i}"), F.col(f"tf{i}")
-        return F.ln((F.col("n") - n + 0.5) / (n + 0.5) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-
-    best = scored.select("chunk_hash", F.round(sum((part(i) for i in range(len(phrases))), F.lit(0.0)), 6).alias("score")).orderBy(F.desc("score"), "chunk_hash").limit(depth)
-    return best.select("chunk_hash", "score", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_hash")).cast("long").alias("rank"))
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -128,9 +58,3 @@ def fused(words: DataFrame, vectors: DataFrame) -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists of chunk_hash."""
     both = words.select("chunk_hash", "rank", F.lit(True).alias("w")).unionByName(vectors.select("chunk_hash", "rank", F.lit(False).alias("w")))
     return both.groupBy("chunk_hash").agg(F.round(F.sum(1 / (RRF + F.col("rank"))), 6).alias("rrf_score"), F.max("w").alias("in_bm25"), F.max(~F.col("w")).alias("in_vector"))
-
-
-def hydrated(ranked: DataFrame, placed: DataFrame) -> DataFrame:
-    """Each hit's first placement by source, document and ordinal, and how many others it has."""
-    at = placed.join(F.broadcast(ranked), "chunk_hash")  # ranked lists are at most 100 long
-    return at.groupBy("chunk_hash", *[c for c in ranked.columns if c != "chunk_hash"]).agg(F.min(F.struct("source", "doc_id", "ordinal")).alias("p"), (F.count(F.lit(1)) - 1).alias("also_at_total")).select(*ranked.columns, "p.source", "p.doc_id", "p.ordinal", "also_at_total")

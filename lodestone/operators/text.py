@@ -5,49 +5,89 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.records import is_records
+
 LEAST_CHARS, LEAST_DOCS = 12, 5
+#: Tasks among which a frequent line's places are dealt where they meet what was learnt.
+SALTS = 16
+
+
+def trimmed_line(raw: Column) -> Column:
+    return F.regexp_replace(raw, r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", "")
+
+
+def prose_lines(text: Column) -> Column:
+    """The lines of a text, those of paragraphs that hold records blanked: rows of data are no furniture. An empty line may follow the last."""
+
+    def one(paragraph: Column) -> Column:
+        lines = F.split(paragraph, "\n", -1)
+        return F.array_append(F.when(is_records(paragraph), F.transform(lines, lambda _: F.lit(""))).otherwise(lines), F.lit(""))
+
+    return F.flatten(F.transform(F.split(text, "\n\n", -1), one))
 
 
-def boilerplate_lines(documents: DataFrame) -> DataFrame:
-    """source, line, n_docs: trimmed lines of 12 characters or more that 5 or more documents of a source share."""
-    line = F.regexp_replace("raw", r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", "")
-    lines = documents.select("source", "doc_id", F.explode(F.split("text", "\n")).alias("raw")).select("source", "doc_id", line.alias("line")).where(F.length("line") >= LEAST_CHARS).distinct()
+def boilerplate_lines(documents: DataFrame, sample_docs: int | None = None) -> DataFrame:
+    """source, line, n_docs: trimmed lines of 12 characters or more that 5 or more documents of a source share.
+
+    Lines of paragraphs that hold records teach nothing. ``sample_docs`` learns from a source's first documents by id
+    only; without it every document counts.
+    """
+    if sample_docs is not None:
+        documents = documents.withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where(F.col("_n") <= sample_docs)
+    lines = documents.select("source", "doc_id", F.explode(prose_lines(F.col("text"))).alias("raw")).select("source", "doc_id", trimmed_line(F.col("raw")).alias("line")).where(F.length("line") >= LEAST_CHARS).distinct()
     return lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= LEAST_DOCS)
 
 
+def dropped_lines(documents: DataFrame, learnt: DataFrame | None = None) -> DataFrame:
+    """doc_id, n: the places (from 0) of the lines of each document that its source's boilerplate has.
+
+    Only hashes of lines long enough to be boilerplate travel, and a line's places are dealt over several tasks.
+    """
+    learnt = boilerplate_lines(documents) if learnt is None else learnt
+    line = trimmed_line(F.col("raw"))
+    keys = [F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2")]
+    rows = documents.select("source", "doc_id", F.posexplode(prose_lines(F.col("text"))).alias("n", "raw")).select("source", "doc_id", "n", line.alias("line")).where(F.length("line") >= LEAST_CHARS)
+    rows = rows.select("source", "doc_id", "n", *keys, F.pmod(F.xxhash64("doc_id", "n"), F.lit(SALTS)).cast("int").alias("salt"))
+    known = learnt.select(F.col("source").alias("of"), *keys, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    same = (rows["k1"] == known["k1"]) & (rows["k2"] == known["k2"]) & (rows["salt"] == known["salt"]) & rows["source"].eqNullSafe(known["of"])
+    return rows.join(known, same, "left_semi").select("doc_id", "n")
+
+
 def boilerplate_strip(documents: DataFrame) -> DataFrame:
     """doc_id, lines_dropped, chars_dropped: what the source's boilerplate lines take from each document."""
-    line = F.regexp_replace("raw", r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", "")
-    rows = documents.select("source", "doc_id", F.explode(F.split("text", "\n")).alias("raw")).select("source", "doc_id", "raw", line.alias("line"))
-    hits = rows.join(boilerplate_lines(documents).select("source", "line"), ["source", "line"])
-    counts = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("raw")).alias("chars"))
-    return documents.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("lines", F.lit(0)).alias("lines_dropped"), F.coalesce("chars", F.lit(0)).alias("chars_dropped"))
+    gone = dropped_lines(documents).groupBy("doc_id").agg(F.collect_list("n").alias("gone"))
+    sizes = F.transform("gone", lambda n: F.length(F.element_at(F.split("text", "\n", -1), n + 1)))
+    found = documents.join(gone, "doc_id", "left")
+    return found.select("doc_id", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("lines_dropped"), F.coalesce(F.aggregate(sizes, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long").alias("chars_dropped"))
 
 
-def boilerplate_text(documents: DataFrame) -> DataFrame:
-    """doc_id, text, marks: each document (doc_id is unique) without its source's boilerplate lines, and where what is left came from.
+def boilerplate_text(documents: DataFrame, learnt: DataFrame | None = None) -> DataFrame:
+    """The documents' columns, text being each one (doc_id is unique) without its source's boilerplate lines, and marks of where what is left came from.
 
     A mark (kept_from, source_from) begins each run of kept lines; `origin` reads them. Every other character stays as it is.
     A document of boilerplate alone has an empty text and no marks; a null text stays null.
     """
-    line = F.regexp_replace("raw", r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", "")
-    parts = F.split("text", "\n", -1)
-    rows = documents.where("text is not null").select("source", "doc_id", (F.size(parts) - 1).alias("last"), F.posexplode(parts).alias("n", "raw"))
-    rows = rows.select("source", "doc_id", "n", line.alias("line"), F.when(F.col("n") < F.col("last"), F.concat("raw", F.lit("\n"))).otherwise(F.col("raw")).alias("raw"))
-    marked = rows.join(boilerplate_lines(documents).select("source", "line", F.lit(True).alias("drop")), ["source", "line"], "left").withColumn("kept", F.col("drop").isNull())
-    order = Window.partitionBy("doc_id").orderBy("n")
-    size = F.length("raw")
-    placed = marked.select(
-        "doc_id", "n", "raw", "kept",
-        (F.sum(size).over(order) - size).alias("source_from"),
-        (F.sum(F.when(F.col("kept"), size).otherwise(0)).over(order) - size).alias("kept_from"),
-        (~F.coalesce(F.lag("kept").over(order), F.lit(False))).alias("fresh"),
-    ).where("kept")
-    mark = F.when(F.col("fresh"), F.struct("kept_from", "source_from"))
-    texts = placed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "raw"))).alias("lines"), F.sort_array(F.collect_list(mark)).alias("marks"))
-    joined = texts.select("doc_id", F.array_join(F.transform("lines", lambda x: x["raw"]), "").alias("kept_text"), "marks")
-    empty = F.when(F.col("text").isNotNull(), F.lit(""))
-    return documents.select("doc_id", "text").join(joined, "doc_id", "left").select("doc_id", F.coalesce("kept_text", empty).alias("text"), F.coalesce("marks", F.array().cast("array<struct<kept_from:bigint,source_from:bigint>>")).alias("marks"))
+    gone = dropped_lines(documents, learnt).groupBy("doc_id").agg(F.collect_list("n").alias("_gone"))
+    found = documents.join(gone, "doc_id", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
+    lines = F.split("text", "\n", -1)
+    last = F.size(lines) - 1
+    each = F.transform(lines, lambda x, i: F.struct(F.when(i < last, F.concat(x, F.lit("\n"))).otherwise(x).alias("raw"), (~F.array_contains("_gone", i)).alias("kept")))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("kept_at"), F.lit(False).alias("before"), F.array().cast("array<struct<kept_from:bigint,source_from:bigint>>").alias("marks"))
+
+    def step(s: Column, x: Column) -> Column:
+        size = F.length(x["raw"]).cast("long")
+        mark = F.struct(s["kept_at"].alias("kept_from"), s["at"].alias("source_from"))
+        fresh = x["kept"] & ~s["before"]
+        return F.struct((s["at"] + size).alias("at"), F.when(x["kept"], s["kept_at"] + size).otherwise(s["kept_at"]).alias("kept_at"), x["kept"].alias("before"), F.when(fresh, F.array_append(s["marks"], mark)).otherwise(s["marks"]).alias("marks"))
+
+    found = found.withColumn("_lines", each)
+    kept = F.array_join(F.transform(F.filter("_lines", lambda x: x["kept"]), lambda x: x["raw"]), "")
+    whole = F.size("_gone") == 0
+    none = F.array().cast("array<struct<kept_from:bigint,source_from:bigint>>")
+    one = F.array(F.struct(F.lit(0).cast("long").alias("kept_from"), F.lit(0).cast("long").alias("source_from")))
+    marks = F.when(F.col("text").isNull(), none).when(whole, one).otherwise(F.aggregate("_lines", start, step)["marks"])
+    columns = [F.when(whole, F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in documents.columns]
+    return found.select(*columns, marks.alias("marks"))
 
 
 def origin(marks: Column, offset: Column) -> Column:
@@ -72,7 +112,8 @@ def read_page(documents: DataFrame, offset: int = 100, most: int = 500) -> DataF
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    links = F.explode(F.regexp_extract_all("html", F.lit('<a[^>]*href="([^"]*)"'), 1))
+    """page_id, href: the quoted href of every anchor, in any case and with either quote."""
+    links = F.explode(F.filter(F.transform(tags(F.col("html"), "a"), lambda x: attribute(x, "href")), lambda x: x.isNotNull()))
     return pages.select("page_id", links.alias("href"))
 
 
@@ -80,8 +121,41 @@ def page_hosts(pages: DataFrame) -> DataFrame:
     return pages.groupBy(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
 
 
+#: Character references that titles are unescaped from, in this order.
+REFERENCES = (("&amp;", "&"), ("&#38;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"), ("&apos;", "'"))
+
+
+def unescaped(text: Column) -> Column:
+    for escaped, plain in REFERENCES:
+        text = F.replace(text, F.lit(escaped), F.lit(plain))
+    return F.regexp_replace(text, r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", "")
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The quoted value of an attribute of a tag; its name isn't the end of a longer one. Null if it has none."""
+    pattern = rf"(?is)(?:^|[^a-z0-9-]){name}\s*=\s*(\"[^\"]*\"|'[^']*')"
+    value = F.regexp_extract(tag, pattern, 1)
+    return F.when(value != "", F.substring(value, F.lit(2), F.length(value) - 2))
+
+
+def tags(html: Column, names: str) -> Column:
+    """All start tags of these names (``a|img``), each up to its first ``>``, as an array."""
+    return F.regexp_extract_all(html, F.lit(rf"(?is)(<(?:{names})(?:[\s/][^>]*)?>)"), 1)
+
+
+def title_of(html: Column) -> Column:
+    """The page's og:title, or else its title element; unescaped, null if blank."""
+    own = F.filter(F.transform(F.filter(tags(html, "meta"), lambda m: F.lower(attribute(m, "property")) == "og:title"), lambda m: unescaped(attribute(m, "content"))), lambda x: x != "")
+    element = unescaped(F.regexp_extract(html, r"(?is)<title(?:\s[^>]*)?>(.*?)</title", 1))
+    return F.coalesce(F.try_element_at(own, F.lit(1)), F.when(element != "", element))
+
+
 def html_title(pages: DataFrame) -> DataFrame:
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    for escaped, plain in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'")):
-        title = F.replace(title, F.lit(escaped), F.lit(plain))
-    return pages.select("page_id", F.regexp_replace(title, "^ +| +$", "").alias("title"))
+    return pages.select("page_id", title_of(F.col("html")).alias("title"))
+
+
+def page_tags(pages: DataFrame) -> DataFrame:
+    """page_id, tag, n, with_href: start tags by name, and how many carry a quoted href."""
+    found = pages.select("page_id", F.explode(tags(F.coalesce("html", F.lit("")), "a|area|link|meta|script|img|iframe|form")).alias("raw"))
+    name = F.lower(F.regexp_extract("raw", "^<([A-Za-z]+)", 1))
+    return found.groupBy("page_id", name.alias("tag")).agg(F.count(F.lit(1)).alias("n"), F.count(attribute(F.col("raw"), "href")).alias("with_href"))

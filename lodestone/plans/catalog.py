@@ -8,13 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import corpus, search, text
-from lodestone.plans import literals, scalars, tables
+from lodestone.plans import gaps, literals, scalars, stored, tables
 from lodestone.sources.tables import table
 
-#: The query that the search plans ask.
-QUERY_TERMS = ["the", "and", "er"]
-
-
 def _on(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: operator(table(spark, folder, name))
 
@@ -23,51 +19,6 @@ def _log(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession,
     return lambda spark, folder: operator(corpus.observation_log(table(spark, folder, "events")))
 
 
-def _chunk_vectors(spark: SparkSession, folder: str, placed: DataFrame) -> DataFrame:
-    first = placed.where("ordinal = 0").select(F.col("doc_id").alias("vec_id"), "chunk_hash")
-    return table(spark, folder, "embeddings").join(first, "vec_id").groupBy("chunk_hash").agg(F.min_by("embedding", "vec_id").alias("embedding"))
-
-
-def _query_vector(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "embeddings").where("vec_id = 0").limit(1)
-
-
-def bm25_search(spark: SparkSession, folder: str) -> DataFrame:
-    return search.bm25(search.chunks(table(spark, folder, "documents")), QUERY_TERMS)
-
-
-def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return search.vector_topk(table(spark, folder, "embeddings"), _query_vector(spark, folder), "vec_id")
-
-
-def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    placed = search.chunks(table(spark, folder, "documents"))
-    return search.fused(search.bm25(placed, QUERY_TERMS), search.vector_topk(_chunk_vectors(spark, folder, placed), _query_vector(spark, folder), "chunk_hash"))
-
-
-def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
-    """The ten best passages with their provenance; there is no reranker, as the method column says."""
-    best = rrf_fusion(spark, folder).orderBy(F.desc("rrf_score"), "chunk_hash").limit(10)
-    return search.hydrated(best.select("chunk_hash", "rrf_score"), search.chunks(table(spark, folder, "documents"))).withColumn("method", F.lit("bm25+vector→rrf"))
-
-
-def index_stats(spark: SparkSession, folder: str) -> DataFrame:
-    placed = search.chunks(table(spark, folder, "documents"))
-    one = placed.groupBy("chunk_hash").agg(F.count(F.lit(1)).alias("n"), F.first(F.length("chunk_text")).alias("chars"))
-    return one.agg(F.count(F.lit(1)).alias("chunks"), F.sum("n").alias("placements"), F.sum("chars").cast("long").alias("chars"))
-
-
-def search_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    placed = search.chunks(table(spark, folder, "documents"))
-    vectors = _chunk_vectors(spark, folder, placed).select("chunk_hash", F.lit(1).alias("v"))
-    return placed.select("chunk_hash").distinct().join(vectors, "chunk_hash", "left").agg(F.count(F.lit(1)).alias("total_chunks"), F.count("v").alias("vectors"))
-
-
-def worklist_embed(spark: SparkSession, folder: str) -> DataFrame:
-    placed = search.chunks(table(spark, folder, "documents"))
-    return placed.groupBy("chunk_hash").agg(F.first(F.length("chunk_text")).cast("long").alias("chars")).join(_chunk_vectors(spark, folder, placed), "chunk_hash", "left_anti")
-
-
 def placement_addresses(documents: DataFrame) -> DataFrame:
     return documents.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("blob_sha")).agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_addresses"))
 
@@ -77,26 +28,14 @@ def match_filter(pages: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "hybrid_search": hybrid_search,
-    "bm25_search": bm25_search,
-    "vector_topk": vector_topk,
-    "rrf_fusion": rrf_fusion,
-    "index_stats": index_stats,
-    "search_coverage": search_coverage,
-    "worklist_embed": worklist_embed,
     "chunk_documents": _on("documents", lambda d: search.chunks(d).select("doc_id", "ordinal", "chunk_hash")),
-    "chunk_dedup": _on("documents", lambda d: search.distinct_chunks(search.chunks(d)).select("chunk_hash", "placements")),
-    "chunks_in_source": _on("documents", lambda d: search.chunks(d.where("source = 'src1'")).select("chunk_hash").distinct()),
     "placement_addresses": _on("documents", placement_addresses),
     "boilerplate_lines": _on("documents", text.boilerplate_lines),
     "boilerplate_strip": _on("documents", text.boilerplate_strip),
     "blob_identity": _on("documents", text.blob_identity),
     "snippet": _on("documents", text.snippet),
     "read_page": _on("documents", text.read_page),
-    "corpus_status": _on("documents", corpus.corpus_status),
-    "page_links": _on("pages", text.page_links),
     "page_hosts": _on("pages", text.page_hosts),
-    "html_title": _on("pages", text.html_title),
     "match_filter": _on("pages", match_filter),
     "latest_observations": _log(corpus.latest_observations),
     "liveness_state": _log(corpus.liveness_state),
@@ -113,49 +52,41 @@ kept AS (SELECT *, CASE WHEN w > 1 AND length(text) - (w - 1) * 1200 < 80 THEN w
 cut AS (SELECT *, unnest(range(0, k)) AS ordinal FROM kept),
 placed AS (SELECT doc_id, source, ordinal, substring(text, ordinal * 1200 + 1, 1200) || CASE WHEN ordinal = k - 1 AND k < w THEN chr(10) || chr(10) || substring(text, (ordinal + 1) * 1200 + 1, 1200) ELSE '' END AS chunk_text FROM cut),
 chunk AS (SELECT *, sha256(chunk_text) AS chunk_hash FROM placed)"""
-_TF = ", ".join(f"len(list_filter(t, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(QUERY_TERMS))
-_SCORE = " + ".join(f"ln((n - df{i} + 0.5) / (df{i} + 0.5) + 1) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(QUERY_TERMS)))
-_BM25 = f"""
-own AS (SELECT chunk_hash, regexp_extract_all(lower(any_value(chunk_text)), '([\\p{{L}}\\p{{N}}]+)', 1) AS t FROM chunk GROUP BY 1),
-tf AS (SELECT chunk_hash, len(t) AS dl, {_TF} FROM own),
-total AS (SELECT count(*) AS n, avg(dl) AS avgdl, {", ".join(f"count_if(tf{i} > 0) AS df{i}" for i in range(len(QUERY_TERMS)))} FROM tf),
-best AS (SELECT chunk_hash, round({_SCORE}, 6) AS score FROM tf, total WHERE {" AND ".join(f"tf{i} > 0" for i in range(len(QUERY_TERMS)))} ORDER BY 2 DESC, 1 LIMIT 100),
-bm25 AS (SELECT chunk_hash, score, row_number() OVER (ORDER BY score DESC, chunk_hash) AS rank FROM best)"""
-_COSINE = "round(list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6)"
-_VECTOR = f"""
-q AS (SELECT embedding FROM embeddings WHERE vec_id = 0 LIMIT 1),
-vec AS (SELECT chunk_hash, arg_min(embedding, vec_id) AS embedding FROM embeddings JOIN chunk ON doc_id = vec_id AND ordinal = 0 GROUP BY 1),
-near AS (SELECT chunk_hash, {_COSINE} AS similarity FROM vec a, q ORDER BY 2 DESC, 1 LIMIT 100),
-vector AS (SELECT chunk_hash, row_number() OVER (ORDER BY similarity DESC, chunk_hash) AS rank FROM near),
-fused AS (SELECT chunk_hash, round(sum(1 / (60 + rank)), 6) AS rrf_score, bool_or(w) AS in_bm25, bool_or(NOT w) AS in_vector FROM (SELECT chunk_hash, rank, true AS w FROM bm25 UNION ALL SELECT chunk_hash, rank, false FROM vector) GROUP BY 1)"""
 _LOG = """log AS (SELECT user_id AS natural_key, event_id AS seq, ts AS "at", CASE event_type WHEN 'view' THEN 'live' WHEN 'click' THEN 'live' WHEN 'signup' THEN 'gone' WHEN 'purchase' THEN 'blocked' ELSE 'error' END AS state, sha256(props) AS fingerprint FROM events),
 obs AS (SELECT * FROM log WHERE state = 'live'),
 numbered AS (SELECT *, lag(state) OVER w AS before, row_number() OVER w AS n FROM log WINDOW w AS (PARTITION BY natural_key ORDER BY "at", seq)),
 live AS (SELECT natural_key, arg_max(state, n) AS state, max(CASE WHEN before IS NULL OR before <> state THEN seq END) AS since_seq, max(n) - coalesce(max(CASE WHEN state = 'live' THEN n END), 0) AS consecutive_failures FROM numbered GROUP BY 1)"""
-_LINES = """line AS (SELECT source, doc_id, raw, regexp_replace(raw, '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g') AS line FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents)),
-common AS (SELECT source, line, count(DISTINCT doc_id) AS n_docs FROM line WHERE length(line) >= 12 GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 5)"""
+
+
+def _fields(line: str, separator: str) -> str:
+    outside = f"array_to_string(list_filter(string_split({line}, '\"'), lambda y, i: i % 2 = 1), '')"
+    return f"(length({outside}) - length(replace({outside}, {separator}, '')) + 1)"
+
+
+def _delimited(separator: str) -> str:
+    return f"({_fields('l[1]', separator)} >= 3 AND len(r) >= 2 AND len(list_filter(r, lambda x: {_fields('x', separator)} <> {_fields('l[1]', separator)})) = 0)"
+
+
+_TRIM = "regexp_replace({}, '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g')"
+_LINES = f"""para AS (SELECT source, doc_id, pn, string_split(p, chr(10)) AS l, pn < np AS more FROM (SELECT source, doc_id, generate_subscripts(ps, 1) AS pn, unnest(ps) AS p, len(ps) AS np FROM (SELECT source, doc_id, string_split(text, chr(10) || chr(10)) AS ps FROM documents WHERE text IS NOT NULL))),
+judged AS (SELECT source, doc_id, pn, list_concat(l, CASE WHEN more THEN [''] ELSE [] END) AS l, starts_with(ltrim(l[1]), '|') AND regexp_matches(trim(coalesce(l[2], '')), '^\\|[|\\-: ]*$') AND contains(coalesce(l[2], ''), '-') OR {" OR ".join(map(_delimited, ("','", "chr(9)", "';'")))} AS records
+  FROM (SELECT *, list_filter(l[2:], lambda x: trim(translate(x, chr(9) || chr(13) || chr(12), '   ')) <> '')[1:5] AS r FROM para)),
+numbered AS (SELECT source, doc_id, raw, records, row_number() OVER w AS n, count(*) OVER (PARTITION BY doc_id) AS last FROM (SELECT source, doc_id, pn, records, generate_subscripts(l, 1) AS i, unnest(l) AS raw FROM judged) WINDOW w AS (PARTITION BY doc_id ORDER BY pn, i)),
+line AS (SELECT source, doc_id, {_TRIM.format("raw")} AS line FROM numbered WHERE NOT records),
+common AS (SELECT source, line, count(DISTINCT doc_id) AS n_docs FROM line WHERE length(line) >= 12 GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 5),
+flagged AS (SELECT t.*, records OR c.line IS NULL AS kept FROM (SELECT source, doc_id, n, records, raw AS bare, raw || CASE WHEN n < last THEN chr(10) ELSE '' END AS raw, {_TRIM.format("raw")} AS line FROM numbered) t LEFT JOIN common c ON c.source IS NOT DISTINCT FROM t.source AND c.line = t.line)"""
+_STRIPPED = _LINES + """,
+stripped AS (SELECT doc_id, any_value(source) AS source, regexp_replace(string_agg(raw, '' ORDER BY n), '^\\s+|\\s+$', '', 'g') AS text FROM flagged WHERE kept GROUP BY doc_id),""" + _CHUNKS.replace("FROM documents", "FROM stripped")
 
 ORACLES: dict[str, str] = {
-    "hybrid_search": f"WITH {_CHUNKS}, {_BM25}, {_VECTOR}, top AS (SELECT * FROM fused ORDER BY rrf_score DESC, chunk_hash LIMIT 10) SELECT chunk_hash, rrf_score, p.source AS source, p.doc_id AS doc_id, p.ordinal AS ordinal, also_at_total, 'bm25+vector→rrf' AS method FROM (SELECT chunk_hash, any_value(rrf_score) AS rrf_score, min({{'source': source, 'doc_id': doc_id, 'ordinal': ordinal}}) AS p, count(*) - 1 AS also_at_total FROM top JOIN chunk USING (chunk_hash) GROUP BY 1)",
-    "bm25_search": f"WITH {_CHUNKS}, {_BM25} SELECT * FROM bm25",
-    "vector_topk": f"WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0 LIMIT 1), near AS (SELECT vec_id, {_COSINE} AS similarity FROM embeddings a, q ORDER BY 2 DESC, 1 LIMIT 100) SELECT *, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM near",
-    "rrf_fusion": f"WITH {_CHUNKS}, {_BM25}, {_VECTOR} SELECT * FROM fused",
-    "index_stats": f"WITH {_CHUNKS} SELECT count(*) AS chunks, sum(n)::BIGINT AS placements, sum(chars)::BIGINT AS chars FROM (SELECT chunk_hash, count(*) AS n, any_value(length(chunk_text)) AS chars FROM chunk GROUP BY 1)",
-    "search_coverage": f"WITH {_CHUNKS} SELECT count(DISTINCT chunk_hash) AS total_chunks, count(DISTINCT CASE WHEN ordinal = 0 AND doc_id IN (SELECT vec_id FROM embeddings) THEN chunk_hash END) AS vectors FROM chunk",
-    "worklist_embed": f"WITH {_CHUNKS} SELECT chunk_hash, any_value(length(chunk_text)) AS chars FROM chunk WHERE chunk_hash NOT IN (SELECT chunk_hash FROM chunk WHERE ordinal = 0 AND doc_id IN (SELECT vec_id FROM embeddings)) GROUP BY 1",
     "chunk_documents": f"WITH {_CHUNKS} SELECT doc_id, ordinal, chunk_hash FROM chunk",
-    "chunk_dedup": f"WITH {_CHUNKS} SELECT chunk_hash, count(*) AS placements FROM chunk GROUP BY 1",
-    "chunks_in_source": f"WITH {_CHUNKS} SELECT DISTINCT chunk_hash FROM chunk WHERE source = 'src1'",
     "placement_addresses": "SELECT sha256(text) AS blob_sha, min(doc_id) AS first_doc, count(*) AS n_addresses FROM documents GROUP BY 1",
     "boilerplate_lines": f"WITH {_LINES} SELECT * FROM common",
-    "boilerplate_strip": f"WITH {_LINES}, hit AS (SELECT doc_id, count(*) AS n, sum(length(raw)) AS c FROM line JOIN common USING (source, line) GROUP BY 1) SELECT doc_id, coalesce(n, 0) AS lines_dropped, coalesce(c, 0)::BIGINT AS chars_dropped FROM documents LEFT JOIN hit USING (doc_id)",
+    "boilerplate_strip": f"WITH {_LINES} SELECT doc_id, coalesce(n, 0)::BIGINT AS lines_dropped, coalesce(c, 0)::BIGINT AS chars_dropped FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, sum(length(bare)) AS c FROM flagged WHERE NOT kept GROUP BY 1) USING (doc_id)",
     "blob_identity": "SELECT doc_id, sha256(text) AS blob_sha, sha256(regexp_replace(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'), '^ | $', '', 'g')) AS fingerprint FROM documents",
     "snippet": "SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE substring(text, 1, 400) || '…' END AS snippet FROM documents",
     "read_page": "SELECT doc_id, substring(text, 101, 500) AS page, length(text) AS total_chars, length(text) > 600 AS truncated FROM documents",
-    "corpus_status": "SELECT source, sum(n)::BIGINT AS total, sum(b)::BIGINT AS distinct_bytes FROM (SELECT source, text, count(*) AS n, strlen(text) AS b FROM documents GROUP BY source, text) GROUP BY 1 UNION ALL SELECT 'all', sum(n)::BIGINT, sum(b)::BIGINT FROM (SELECT text, count(*) AS n, strlen(text) AS b FROM documents GROUP BY text)",
-    "page_links": "SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages",
     "page_hosts": "SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*) AS pages FROM pages GROUP BY 1",
-    "html_title": "SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#039;', chr(39)), '^ +| +$', '', 'g') AS title FROM pages",
     "match_filter": "SELECT page_id, url FROM pages WHERE contains(url, '/en/') OR contains(url, 'page=')",
     "latest_observations": f'WITH {_LOG} SELECT natural_key, seq, "at", fingerprint FROM (SELECT *, row_number() OVER (PARTITION BY natural_key ORDER BY "at" DESC, seq DESC) AS r FROM obs) WHERE r = 1',
     "liveness_state": f'WITH {_LOG} SELECT * FROM live',
@@ -166,6 +97,6 @@ ORACLES: dict[str, str] = {
     "worklist_collect": f'WITH {_LOG} SELECT DISTINCT natural_key FROM log WHERE "at"::DATE = (SELECT max("at"::DATE) FROM log) AND natural_key NOT IN (SELECT natural_key FROM obs)',
 }
 
-QUERIES |= scalars.QUERIES | tables.QUERIES | literals.QUERIES
-ORACLES |= scalars.ORACLES | tables.oracles(_CHUNKS, _LINES) | literals.ORACLES
+QUERIES |= scalars.QUERIES | tables.QUERIES | literals.QUERIES | stored.QUERIES | gaps.QUERIES
+ORACLES |= scalars.ORACLES | tables.oracles(_CHUNKS, _LINES) | literals.ORACLES | stored.oracles(_STRIPPED) | gaps.ORACLES
 ORACLES |= {"liveness_stream": ORACLES["liveness_state"], "change_stream": ORACLES["change_events"]}

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import addresses, captions, chunker, corpus, crumbs, embed, index, reader, search, text
+from lodestone.operators import addresses, captions, chunker, corpus, crumbs, index, reader, text
 from lodestone.sources.log import scratch
 from lodestone.sources.tables import table
 from lodestone.streaming import log
 
-#: The source that is cleared, the address that is resolved.
-SOURCE, TARGET = "src1", "doc/1"
+#: The address that is resolved.
+TARGET = "doc/1"
 
 
 def _log(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,20 +54,6 @@ def blob_verify(spark: SparkSession, folder: str) -> DataFrame:
     return index.blob_verified(blobs).groupBy("sha").agg(F.first(F.octet_length("bytes")).cast("long").alias("n_bytes"))
 
 
-def clear_source(spark: SparkSession, folder: str) -> DataFrame:
-    return index.clear_source(search.chunks(table(spark, folder, "documents")), SOURCE)
-
-
-def index_report(spark: SparkSession, folder: str) -> DataFrame:
-    return index.index_report(search.chunks(table(spark, folder, "documents")))
-
-
-def hydrate_hits(spark: SparkSession, folder: str) -> DataFrame:
-    placed = search.chunks(table(spark, folder, "documents"))
-    hits = placed.groupBy("chunk_hash").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "chunk_hash").limit(100)
-    return index.hydrate_hits(hits, placed)
-
-
 def resolve_target(spark: SparkSession, folder: str) -> DataFrame:
     return index.resolve_target(_log(spark, folder), TARGET)
 
@@ -94,10 +80,6 @@ def chunk_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return chunker.chunk_markdown(table(spark, folder, "documents")).select("doc_id", "ordinal", "chunk_hash")
 
 
-def bm25_stemmed(spark: SparkSession, folder: str) -> DataFrame:
-    return search.bm25_stemmed(search.chunks(table(spark, folder, "documents")), "the and-the")
-
-
 def _streamed(spark: SparkSession, folder: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
     out = scratch(spark, "stream")
     log.resumed(operator(corpus.observation_log(log.table_stream(spark, folder, "events"))), f"{out}/rows", f"{out}/checkpoint")
@@ -144,18 +126,10 @@ def materialize_paths(spark: SparkSession, folder: str) -> DataFrame:
     return addresses.materialized_paths(table(spark, folder, "pages").select("url", F.lit("html").alias("kind")))
 
 
-def embed_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return embed.embedded(search.distinct_chunks(search.chunks(table(spark, folder, "documents"))), embed.HashingEmbedder)
-
-
-def embed_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    return embed_chunks(spark, folder).agg(F.count(F.lit(1)).alias("chunks"), F.count("vector").alias("vectors"), F.count("reason").alias("refused"))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (worklist_extract, extract_counters, worklist_index, latest_derivations, blob_verify, clear_source, index_report, hydrate_hits)
-} | {f.__name__: f for f in (resolve_target, download_page, list_sources, page_leads, page_crumbs, chunk_markdown, bm25_stemmed, liveness_stream, change_stream, caption_paragraphs)} | {f.__name__: f for f in (boilerplate_text, extract_pages, extract_report, enclosures, materialize_paths, embed_chunks, embed_coverage)}
+    for f in (worklist_extract, extract_counters, worklist_index, latest_derivations, blob_verify)
+} | {f.__name__: f for f in (resolve_target, download_page, list_sources, page_leads, page_crumbs, chunk_markdown, liveness_stream, change_stream, caption_paragraphs)} | {f.__name__: f for f in (boilerplate_text, extract_pages, extract_report, enclosures, materialize_paths)}
 
 _LOG = """log AS (SELECT source, 'doc/' || doc_id AS resource, sha256(text) AS blob_sha, sha256(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS derived_sha, doc_id AS seq FROM documents WHERE text IS NOT NULL),
 derived AS (SELECT DISTINCT blob_sha FROM log WHERE seq % 3 = 0), underivable AS (SELECT DISTINCT blob_sha FROM log WHERE seq % 3 = 1 AND source = 'src1')"""
@@ -163,29 +137,21 @@ derived AS (SELECT DISTINCT blob_sha FROM log WHERE seq % 3 = 0), underivable AS
 
 def oracles(chunks: str, lines: str) -> dict[str, str]:
     """SQL of the queries; `chunks` defines the relation chunk."""
-    hits = "hits AS (SELECT chunk_hash FROM chunk GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 100), ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk_hash ORDER BY source, doc_id, ordinal) AS n FROM chunk JOIN hits USING (chunk_hash))"
-    firsts = "firsts AS (SELECT *, row_number() OVER (PARTITION BY chunk_hash ORDER BY doc_id, ordinal) AS n FROM chunk)"
     return {
         "worklist_extract": f"WITH {_LOG} SELECT DISTINCT blob_sha FROM log WHERE blob_sha NOT IN (FROM derived) AND blob_sha NOT IN (FROM underivable)",
         "extract_counters": f"WITH {_LOG} SELECT count_if(d) AS already_derived, count_if(u AND NOT d) AS already_unextractable, count_if(NOT d AND NOT u) AS todo FROM (SELECT DISTINCT blob_sha, blob_sha IN (FROM derived) AS d, blob_sha IN (FROM underivable) AS u FROM log)",
         "worklist_index": f"WITH {_LOG} SELECT source, resource, derived_sha FROM log WHERE seq % 2 <> 0",
         "latest_derivations": f'WITH {_LOG} SELECT blob_sha, derived_sha, seq % 7 AS "at", seq FROM (SELECT *, row_number() OVER (PARTITION BY blob_sha ORDER BY seq % 7 DESC, seq DESC) AS r FROM log) WHERE r = 1',
         "blob_verify": "SELECT sha256(text) AS sha, any_value(strlen(text)) AS n_bytes FROM documents WHERE text IS NOT NULL GROUP BY 1",
-        "clear_source": f"WITH {chunks} SELECT DISTINCT chunk_hash FROM chunk WHERE source <> '{SOURCE}'",
-        "index_report": f"WITH {chunks}, {firsts} SELECT source, count_if(n = 1) AS chunks_written, count_if(n > 1) AS deduplicated FROM firsts GROUP BY 1",
-        "hydrate_hits": f"WITH {chunks}, {hits} SELECT chunk_hash, any_value(source) FILTER (n = 1) AS primary_source, any_value(doc_id) FILTER (n = 1) AS primary_doc, coalesce(string_agg(doc_id, ' ' ORDER BY n) FILTER (n BETWEEN 2 AND 9), '') AS also_at, count(*) - 1 AS also_at_total FROM ranked GROUP BY 1",
         "resolve_target": f"WITH {_LOG} SELECT resource, blob_sha, 2 AS branch, row_number() OVER (ORDER BY resource <> '{TARGET}', resource) - 1 AS position FROM log WHERE contains(resource, '{TARGET}') ORDER BY position LIMIT 11",
         "download_page": "SELECT doc_id, to_base64(encode(text)[11:310]) AS page, strlen(text) AS total_bytes, strlen(text) > 310 AS truncated FROM documents",
         "list_sources": "SELECT DISTINCT source FROM documents WHERE source IS NOT NULL",
         "page_leads": "SELECT page_id, len(regexp_extract_all(html, '(?i)<a\\s')) AS anchors, b::BIGINT AS script_bytes, b * 2 > strlen(html) AS mostly_script FROM (SELECT page_id, coalesce(html, '') AS html, coalesce(list_sum(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<script\\b[^>]*>(.*?)</script>', 1), lambda x: strlen(x))), 0) AS b FROM pages)",
         "page_crumbs": """WITH href AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href="(https?://[^"]*)"', 1)) AS h FROM pages), away AS (SELECT url, lower(regexp_extract(h, '^https?://([^/?#:]+)', 1)) AS host, CASE WHEN regexp_matches(h, '^https?://[^/?#]+/') THEN h ELSE regexp_replace(h, '^(https?://[^/?#]+)', '\\1/') END AS h FROM href WHERE regexp_extract(h, '^https?://([^/?#:]+)', 1) <> regexp_extract(url, '^https?://([^/?#:]+)', 1)), n AS (SELECT url, host, count(*) AS links, min(h) AS example FROM away GROUP BY 1, 2) SELECT * FROM n UNION ALL SELECT DISTINCT url, NULL, 0::BIGINT, NULL FROM pages WHERE url NOT IN (SELECT url FROM n)""",
-        "boilerplate_text": f"""WITH numbered AS (SELECT source, doc_id, generate_subscripts(l, 1) AS n, unnest(l) AS raw, len(l) AS last FROM (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)), {lines},
-trimmed AS (SELECT source, doc_id, n, raw || CASE WHEN n < last THEN chr(10) ELSE '' END AS raw, regexp_replace(raw, '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g') AS line FROM numbered),
-flagged AS (SELECT t.*, c.line IS NULL AS kept FROM trimmed t LEFT JOIN common c ON c.source = t.source AND c.line = t.line),
+        "boilerplate_text": f"""WITH {lines},
 placed AS (SELECT *, sum(length(raw)) OVER w - length(raw) AS source_from, sum(CASE WHEN kept THEN length(raw) ELSE 0 END) OVER w - length(raw) AS kept_from FROM flagged WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
 whole AS (SELECT doc_id, string_agg(raw, '' ORDER BY n) AS text FROM placed WHERE kept GROUP BY 1),
 spot AS (SELECT doc_id, arg_max(source_from + greatest(length(text) - 100, 0) - kept_from, n) AS origin FROM placed JOIN whole USING (doc_id) WHERE kept AND kept_from <= greatest(length(text) - 100, 0) GROUP BY 1)
 SELECT doc_id, sha256(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(whole.text, '') END) AS stripped_sha, origin::BIGINT AS origin FROM documents d LEFT JOIN whole USING (doc_id) LEFT JOIN spot USING (doc_id)""",
-        "embed_coverage": f"WITH {chunks} SELECT count(DISTINCT chunk_hash) AS chunks, count(DISTINCT chunk_hash) AS vectors, 0::BIGINT AS refused FROM chunk",
         "chunk_markdown": f"WITH {chunks} SELECT doc_id, ordinal, chunk_hash FROM chunk",
     }

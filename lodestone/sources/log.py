@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -12,10 +11,20 @@ from pyspark.sql import functions as F
 LOG_SCHEMA = "source string, natural_key string, seq long, at timestamp, state string, fingerprint string, detail string"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the store that it names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can write: under spark.checkpoint.dir, or a local one where that is unset, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}" if "://" in shared else os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
+    """A new folder where all executors can write: under spark.checkpoint.dir, or a local one where that is unset on a local master, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="lodestone-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def append_log(records: DataFrame, folder: str) -> None:
@@ -34,19 +43,25 @@ def read_journal(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(folder)
 
 
+def append_journal(records: DataFrame, folder: str) -> None:
+    """Appends records (with ``started_at``) as JSON lines, in a folder for each month of their start."""
+    records.withColumn("month", F.date_format("started_at", "yyyy-MM")).write.mode("append").partitionBy("month").json(folder)
+
+
 def put_blobs(incoming: DataFrame, folder: str) -> None:
     """Adds the blobs (bytes) whose hash isn't stored yet; a repeated call adds nothing."""
     spark = incoming.sparkSession
     blobs = incoming.select("bytes").where("bytes is not null").withColumn("sha", F.sha2("bytes", 256)).dropDuplicates(["sha"])
-    try:
-        stored = spark.read.schema("bytes binary, sha string").parquet(folder).select("sha")
-        blobs = blobs.join(stored, "sha", "left_anti")
-    except Exception as error:  # the first call finds no folder
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    if exists(spark, folder):
+        blobs = blobs.join(spark.read.schema("bytes binary, sha string").parquet(folder).select("sha"), "sha", "left_anti")
     blobs.select("bytes", "sha").write.mode("append").parquet(folder)
 
 
+def blob_count(spark: SparkSession, folder: str) -> int:
+    """How many blobs are stored; only the files' footers are read."""
+    return spark.read.schema("bytes binary, sha string").parquet(folder).count() if exists(spark, folder) else 0
+
+
 def append_vectors(vectors: DataFrame, folder: str, model: str, dims: int) -> None:
     """Appends (chunk_hash, vector) rows of a model; a row of another width fails the job, another model or width is refused before it."""
     stored = stored_model(vectors.sparkSession, folder)
@@ -58,10 +73,7 @@ def append_vectors(vectors: DataFrame, folder: str, model: str, dims: int) -> No
 
 def stored_model(spark: SparkSession, folder: str) -> tuple[str, int] | None:
     """Model and width of a vector table, from its folders' names; None where there is none yet."""
-    try:
-        row = spark.read.schema("chunk_hash string, vector array<float>, model string, dims int").parquet(folder).select("model", "dims").first()
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    if not exists(spark, folder):
         return None
+    row = spark.read.schema("chunk_hash string, vector array<float>, model string, dims int").parquet(folder).select("model", "dims").first()
     return (row["model"], row["dims"]) if row else None

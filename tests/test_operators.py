@@ -2,6 +2,7 @@
 
 import datetime
 import gzip
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import content
 from lodestone.functions.cron import Cron, jitter_offset
+from lodestone.functions.records import is_records
 from lodestone.functions.stem import stemmed
-from lodestone.operators import addresses, captions, chunker, corpus, crumbs, embed, reader, runs, search
+from lodestone.operators import addresses, captions, chunker, collect, corpus, crumbs, embed, index, reader, runs, store, strategies, text
+from lodestone.plans import stored
 from lodestone.sources import log as sources
 from lodestone.streaming import log as streams
 
@@ -55,14 +58,178 @@ def test_stems():
     assert stemmed("reviewing") == stemmed("review") and stemmed("applications") == stemmed("application")
 
 
-def test_stemmed_search(spark):
-    texts = ["the budget-2026 review", "2026 budget reviewing", "applications and a review of budget 2026", "nothing"]
-    placed = spark.createDataFrame([(t, str(i)) for i, t in enumerate(texts)], "chunk_text string, chunk_hash string")
-    find = lambda q: sorted(r.chunk_hash for r in search.bm25_stemmed(placed, q).collect())
-    assert find("reviews") == ["0", "1", "2"]
-    assert find("budget-2026") == ["0", "2"]
-    assert find('"application" review') == ["2"]
-    assert find("") == find("absent") == []
+def _indexed(spark, folder, texts, source="s"):
+    made = store.IndexStore(spark, str(folder))
+    made.build(store.derivations(spark.createDataFrame([(i, t, source) for i, t in enumerate(texts)], "doc_id long, text string, source string")))
+    return made
+
+
+def test_stemmed_search(spark, tmp_path):
+    texts = ["the budget-2026 review", "2026 budget reviewing", "applications and a review of budget 2026", "nothing", None, "  \n"]
+    made = _indexed(spark, tmp_path / "index", texts)
+    bodies = {r.chunk_hash: texts.index(r.chunk_text) for r in made.table("chunk").collect()}
+    find = lambda q, **k: sorted(bodies[r.chunk_hash] for r in store.word_search(made, q, **k).collect())
+    assert find("reviews") == [0, 1, 2] and find("review", stems=False) == [0, 2]
+    assert find("budget-2026") == [0, 2]
+    assert find('"application" review') == [2]
+    assert find("") == find("absent") == [] and find("review", source="other") == []
+
+
+def brute_bm25(bodies, phrases, stems):
+    """Scores of passages (hash: text) that hold all phrases."""
+    import math
+
+    words = {h: [stemmed(w) if stems else w for w in re.findall(r"[^\W_]+", b.lower())] for h, b in bodies.items()}
+    want = [[stemmed(w) if stems else w for w in p] for p in phrases]
+    tf = {h: [sum(ws[i : i + len(p)] == p for i in range(len(ws))) for p in want] for h, ws in words.items()}
+    df = [sum(t[k] > 0 for t in tf.values()) for k in range(len(want))]
+    n, mean = len(words), sum(map(len, words.values())) / len(words)
+    part = lambda h, k: math.log((n - df[k] + 0.5) / (df[k] + 0.5) + 1) * tf[h][k] * 2.2 / (tf[h][k] + 1.2 * (0.25 + 0.75 * len(words[h]) / mean))
+    return {h: round(sum(part(h, k) for k in range(len(want))), 6) for h in tf if all(tf[h])}
+
+
+def test_stemmed_search_against_brute_force(spark):
+    made = stored.index_of(spark, "/root/testdata/sf0.001")
+    bodies = {r.chunk_hash: r.chunk_text for r in made.table("chunk").collect()}
+    for query, phrases in (("the and-the", [["the"], ["and", "the"]]), ("thing er", [["thing"], ["er"]])):
+        want = sorted(brute_bm25(bodies, phrases, True).items(), key=lambda x: (-x[1], x[0]))
+        got = [(r.chunk_hash, r.score) for r in store.word_search(made, query, depth=10_000).orderBy("rank").collect()]
+        assert [h for h, _ in got] == [h for h, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], abs=2e-6)
+
+
+def test_index_builds_only_what_is_missing(spark, tmp_path):
+    schema = "doc_id long, text string, source string"
+    furniture = "All rights reserved here"
+    rows = [(i, f"# Title {i}\n{furniture}\nBody number {i % 3} of the corpus", "a") for i in range(6)] + [(9, furniture, "a"), (10, "h1,h2,h3\n1,2,3\n" + "4,5,6\n" * 3, "b")]
+    docs = spark.createDataFrame(rows, schema)
+    learnt = text.boilerplate_lines(docs)
+    made = store.IndexStore(spark, str(tmp_path / "index"))
+    assert made.counts().first().chunks == 0 and made.table("posting").count() == 0
+    made.build(store.derivations(docs.where("doc_id < 4")), learnt)
+    before = made.table("placement").count()
+    made.build(store.derivations(docs.where("doc_id < 4")), learnt)
+    assert made.table("placement").count() == before
+    made.build(store.derivations(docs), learnt)
+    whole = store.IndexStore(spark, str(tmp_path / "whole"))
+    whole.build(store.derivations(docs), learnt)
+    for name, columns in (("chunk", ["chunk_hash", "chunk_text", "chars", "dl"]), ("placement", ["resource", "ordinal", "chunk_hash", "char_start", "char_end", "title", "heading_path"]), ("posting", ["stem", "term", "chunk_hash", "dl"])):
+        assert sorted(map(tuple, made.table(name).select(columns).collect())) == sorted(map(tuple, whole.table(name).select(columns).collect())), name
+    for r in made.table("placement").join(made.table("chunk"), "chunk_hash").collect():
+        source = dict((i, t) for i, t, _ in rows)[r.doc_id]
+        body = source[r.char_start : r.char_end]
+        assert furniture not in r.chunk_text and body.startswith(r.chunk_text.removeprefix(f"{r.heading_path}\n\n")[:4]) and (r.title is None or r.title.startswith("Title"))
+    made.clear("a")
+    assert {r.source for r in made.table("placement").collect()} == {"b"} and made.table("chunk").count() == made.table("placement").select("chunk_hash").distinct().count()
+    made.clear()
+    assert made.counts().first().placements == 0
+
+
+def test_an_unfinished_build_is_not_read(spark, tmp_path):
+    made = _indexed(spark, tmp_path / "index", ["one two", "three"])
+    broken = spark.createDataFrame([(7, "x", "s")], "doc_id long, text string, source string").withColumn("text", F.raise_error(F.lit("lost")))
+    with pytest.raises(Exception, match="lost"):
+        made.build(store.derivations(broken))
+    assert made.counts().first().chunks == 2
+
+
+def test_hybrid_reranks_and_says_why_not(spark, tmp_path):
+    made = _indexed(spark, tmp_path / "index", ["alpha beta", "alpha gamma", "alpha delta"])
+    hashes = {r.chunk_text: r.chunk_hash for r in made.table("chunk").collect()}
+    vectors = spark.createDataFrame([(hashes["alpha beta"], [1.0, 0.0]), (hashes["alpha gamma"], [0.0, 1.0]), ("gone", [1.0, 0.0])], "chunk_hash string, embedding array<double>")
+    asked = spark.createDataFrame([([1.0, 0.1],)], "embedding array<double>")
+    plain = store.hybrid(made, "alpha", vectors, asked).orderBy("rank").collect()
+    assert plain[0].chunk_hash == hashes["alpha beta"] and len(plain) == 3 and plain[0].method == "bm25+vector→rrf" and plain[0].no_rerank
+    better = store.hybrid(made, "alpha", vectors, asked, reranker=lambda texts: [float("delta" in t) for t in texts]).orderBy("rank").collect()
+    assert better[0].chunk_hash == hashes["alpha delta"] and better[0].method.endswith("→rerank") and better[0].no_rerank is None
+    short = store.hybrid(made, "alpha", vectors, asked, reranker=lambda texts: [1.0]).collect()
+    assert short[0].no_rerank == "1 scores for 3 passages"
+    assert store.hybrid(made, "alpha", vectors, asked, source="none").count() == 0
+
+
+def test_boilerplate_spares_records(spark):
+    row = "alpha one, beta two, gamma three"
+    table = "name of it, value of it, note on it\n" + "\n".join([row] * 3)
+    docs = spark.createDataFrame([(i, f"Shared line of prose\n\n{table}\n\n{row}\nown {i}", "s") for i in range(6)] + [(7, None, "s"), (8, "", None)], "doc_id long, text string, source string")
+    assert {(r.line, r.n_docs) for r in text.boilerplate_lines(docs).collect()} == {("Shared line of prose", 6), (row, 6)}
+    assert text.boilerplate_lines(docs, sample_docs=4).count() == 0
+    got = {r.doc_id: r.text for r in text.boilerplate_text(docs).collect()}
+    assert got[0] == f"\n{table}\n\nown 0" and got[7] is None and got[8] == ""
+
+
+@settings(max_examples=200, deadline=None)
+@given(TEXTS)
+def test_records_in_columns_and_in_python_agree(text_):
+    RECORDS.append(text_)
+
+
+RECORDS: list[str] = []
+
+
+def test_records_agree(spark):
+    paragraphs = sorted({p for t in RECORDS for p in t.split("\n\n")} | {"a;b;c\n1;2;3\n4;5;6", "a,b,c\n1,2,3", "| a |\n|---|", '"x,y",b,c\n1,2,3\n"p,q",2,3', "a,b\n1,2\n3,4"})
+    found = spark.createDataFrame([(p,) for p in paragraphs], "p string").select("p", is_records(F.col("p")).alias("r")).collect()
+    assert all(bool(r.r) == (chunker.header_length(r.p) > 0) for r in found) and any(r.r for r in found)
+
+
+def test_strategies_and_listings(spark):
+    page = "<html><title>Index of /docs/</title><a href='../'>up</a><a href='a.pdf'>a</a><A HREF=\"sub/\">s</A><a href='/docs/b.txt#x'>b</a><a href='https://o.org/docs/c.pdf'>c</a><a href='?C=N'>sort</a></html>"
+    sub = "<h1>Index of /docs/sub/</h1><a href='/docs/'>up</a><a href='d.docx'>d</a><a href='./e'>e</a>"
+    assert [s.name for s in strategies.STRATEGIES.recognised("https://h.org/docs/", page, "Sitemap: /s.xml")] == ["listing", "sitemap"]
+    assert [s.name for s in strategies.STRATEGIES.recognised("https://h.org/", "<p>", None)] == ["sitemap"]
+    with pytest.raises(ValueError):
+        strategies.STRATEGIES.register(strategies.Strategy("listing", 1, lambda *_: True))
+    pages = spark.createDataFrame([("https://h.org/docs/", page), ("https://h.org/docs/sub/", sub), ("https://h.org/x", None)], "url string, html string")
+    seeds = spark.createDataFrame([("https://h.org/docs/",)], "url string")
+    assert {(r.url, r.is_document) for r in strategies.listing_walk(pages, seeds).collect()} == {("https://h.org/docs/a.pdf", True), ("https://h.org/docs/b.txt", False), ("https://h.org/docs/sub/d.docx", True), ("https://h.org/docs/sub/e", False)}
+    assert {r.url for r in strategies.listing_walk(pages, seeds, depth=0).collect()} == {"https://h.org/docs/a.pdf", "https://h.org/docs/b.txt"}
+    assert strategies.robots_sitemaps("User-agent: *\nSitemap: /a.xml\nsitemap: https://x.org/b.xml", "https://h.org") == ["https://h.org/a.xml", "https://x.org/b.xml"]
+    assert strategies.robots_sitemaps(None, "https://h.org") == ["https://h.org/sitemap.xml"]
+    assert strategies.crawl_delay("User-agent: *\nCrawl-delay: 5\nUser-agent: me\nDisallow: /x\nCrawl-delay: 2.5", "Me") == 2.5 and strategies.crawl_delay("", "me") is None
+    assert strategies.staleness_days("2026.01.01", datetime.date(2026, 1, 31)) == 30 and strategies.staleness_days("nightly", datetime.date(2026, 1, 1)) is None
+    assert strategies.is_newer("1.10.0", "1.9.9") and not strategies.is_newer("1.0", "1.0.0")
+    assert strategies.source_kind("https://www.youtube.com/@x").enumerate("https://www.youtube.com/@x/")[1].endswith("/@x/streams") and strategies.source_kind("https://h.org").name == "site"
+
+
+def test_ledger_and_decisions(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+    pages = spark.createDataFrame([("https://h.org/1", '<a href="https://o.org/x">x</a>', "a" * 64), ("https://h.org/2", "<p>none", "b" * 64)], "url string, html string, blob_sha string")
+    want = sorted(map(tuple, crumbs.crumb_rows(pages).select("url", "host", "links", "example").collect()), key=repr)
+    recorded = crumbs.crumb_rows(pages.where("blob_sha like 'a%'")).withColumn("short", F.lit("a" * 12)).withColumn("source", F.lit("s"))
+    crumbs.append_ledger(recorded, folder)
+    crumbs.append_ledger(recorded.withColumn("source", F.lit("t")).limit(0), folder)
+    unread = pages.withColumn("html", F.when(F.col("blob_sha").startswith("a"), F.lit(None)).otherwise(F.col("html")))
+    assert sorted(map(tuple, crumbs.with_ledger(unread, spark.read.parquet(folder)).collect()), key=repr) == want
+    crumbs.rewrite_ledger(spark.createDataFrame([("https://h.org/1", None, 0, None, "c" * 12, "s")], "url string, host string, links long, example string, short string, source string"), folder)
+    assert [r.short for r in spark.read.parquet(folder).collect()] == ["c" * 12]
+    rulings = spark.createDataFrame([("h", "ignore", 1, 1), ("h", "allow", 2, 2), ("i", "ignore", 1, 3)], "host string, ruling string, at long, seq long")
+    collect.append_decisions(rulings, str(tmp_path / "d"))
+    assert [r.host for r in crumbs.decisions_current(collect.read_decisions(spark, str(tmp_path / "d"))).collect()] == ["i"]
+
+
+def test_enabled_sources():
+    configured = [{"id": "a"}, {"id": "b", "enabled": False}, {"id": "c", "enabled": True}]
+    assert collect.enabled_sources(configured) == ["a", "c"] and collect.enabled_sources(configured, ["b"]) == ["b"]
+    with pytest.raises(ValueError):
+        collect.enabled_sources(configured, ["z"])
+
+
+def test_versions_of_one_hot_address(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "ORDERED", 50)
+    at = datetime.datetime(2026, 1, 1)
+    rows = [(0 if n % 3 == 0 else n, n, at + datetime.timedelta(hours=n // 4), "live", f"f{n // 7}") for n in range(900)]
+    log = _log(spark, rows)
+    hot = sorted((r for r in rows if r[0] == 0), key=lambda r: (r[2], r[1]))
+    got = {r.seq: r.version for r in corpus.version_history(log).where("natural_key = 0").collect()}
+    assert got == {r[1]: i for i, r in enumerate(hot, 1)}
+    changed = {r.seq: r.from_fp for r in corpus.change_events(log).where("natural_key = 0").collect()}
+    assert changed == {r[1]: b[4] if b else None for b, r in zip([None, *hot], hot) if b is None or b[4] != r[4]}
+
+
+def test_hot_passages_and_sources(spark):
+    placed = spark.createDataFrame([("h", "s", i, 0) for i in range(300)] + [("k", "t", 5, 1), ("h", "t", 1, 3)], "chunk_hash string, source string, doc_id long, ordinal long")
+    got = {r.chunk_hash: r for r in store.first_placements(placed, ["h", "k"]).collect()}
+    assert [p.doc_id for p in got["h"].few] == list(range(9)) and got["h"].also_at_total == 300 and len(got["k"].few) == 1
+    assert {(r.source, r.chunks_written, r.deduplicated) for r in index.index_report(placed).collect()} == {("s", 1, 299), ("t", 1, 1)}
 
 
 def _log(spark, rows):
