@@ -192,8 +192,11 @@ def raked(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict |
     cells = checkpointed(cells.repartition(parts, "source"))
     now, before, left = Factors({k: 1.0 for k in want["lang"]}, {k: 1.0 for k in want["topic"]}), None, 1.0
     for _ in range(rounds):
-        tally = cells.mapInArrow(_tallied(now, before), "lang string, topic string, weight double, off double").groupBy("lang", "topic").agg(F.sum("weight").alias("w"), F.max("off").alias("off")).collect()
-        weights = {(r["lang"], r["topic"]): r["w"] for r in tally}
+        # A row for each pair of language and topic and each task of TASK_CELLS cells.
+        tally = sorted(cells.mapInArrow(_tallied(now, before), "lang string, topic string, weight double, off double").collect(), key=repr)
+        weights = {pair: 0.0 for pair in dict.fromkeys((r["lang"], r["topic"]) for r in tally)}
+        for r in tally:
+            weights[r["lang"], r["topic"]] += r["weight"]
         gap = max((r["off"] for r in tally), default=0.0)
         factors = {"lang": dict(now.by_lang), "topic": dict(now.by_topic)}
         for place, axis in enumerate(AXES[1:]):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.textcore import Words, batches, column_bytes, group_sums
+from lodestone.llm.textcore import Words, batches, column_bytes, group_sums, released
 
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
 #: Words whose counts a worker remembers (16 bytes each).
@@ -21,7 +21,9 @@ REMEMBERED = 4_000_000
 def vocabulary(path: str) -> list[tuple[str, float]]:
     """Pieces of a sentencepiece model file with Zipf log-probabilities by rank; control, unknown and byte pieces left out.
 
-    The public file is of another kind (its scores are merge ranks), so a piece of rank r gets ln(1 / (r + 1)) less ln of the sum over all.
+    No unigram file is at hand: the public one is of another kind (its scores are merge ranks), so a piece of rank r gets
+    ln(1 / (r + 1)) less ln of the sum over all. Counts by these scores are no published tokenizer's; ``token_counts``
+    takes the pieces and scores of a real unigram model as a parameter.
     """
     import sentencepiece
 
@@ -36,15 +38,19 @@ class UnigramCounter:
 
     Of several segmentations the one with the largest sum of scores counts; at equal sums, the one
     whose last piece began earlier. A character that is no piece itself may be unknown, at the
-    smallest score less 10; unknown characters in a row are one token.
+    smallest score less 10; unknown characters in a row are one token, or with ``byte_fallback`` one for each of their bytes.
     """
 
-    def __init__(self, pieces: list[tuple[str, float]]):
+    def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool = False):
+        self.byte_fallback = byte_fallback
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
+        self.forget()
+
+    def forget(self) -> None:
         self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros((0, 2), np.int32)
 
     def count(self, word: str) -> tuple[int, int]:
@@ -60,7 +66,8 @@ class UnigramCounter:
                 chance = scores[done] + self.unknown
                 if not single and chance > best:
                     joined = open_[done]
-                    scores[end], counts[end], unknowns[end], open_[end] = chance, counts[done] + (not joined), unknowns[done] + (not joined), True
+                    own = len(word[done].encode("utf-8", "replace")) if self.byte_fallback else not joined
+                    scores[end], counts[end], unknowns[end], open_[end] = chance, counts[done] + own, unknowns[done] + (not joined), True
                 else:
                     start = end - length
                     scores[end], counts[end], unknowns[end] = best, counts[start] + 1, unknowns[start]
@@ -81,7 +88,7 @@ class UnigramCounter:
         """Tokens and unknown tokens of every word; a word is looked at once and remembered by its hash."""
         hashes, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
         if len(self.hashes) + len(hashes) > REMEMBERED:
-            self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros((0, 2), np.int32)
+            self.forget()
         at = np.searchsorted(self.hashes, hashes)
         inside = at < len(self.hashes)
         new = np.ones(len(hashes), bool)
@@ -95,30 +102,37 @@ class UnigramCounter:
         return self.counts[at][back]
 
 
-_known: dict[str, UnigramCounter] = {}
+_known: dict[tuple, UnigramCounter] = {}
 
 
-def _counted(path: str):
+def _counted(path: str | None, pieces: tuple[tuple[str, float], ...] | None, byte_fallback: bool):
+    @released
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _known:
-            _known[path] = UnigramCounter(vocabulary(path))
+        key = (path, hash(pieces), byte_fallback)
+        if key not in _known:
+            _known.clear()
+            _known[key] = UnigramCounter(list(pieces) if pieces is not None else vocabulary(path), byte_fallback)
         for batch in batches(stream, "text"):
             words = Words(*column_bytes(batch.column("text")))
-            counts = _known[path](words)
+            counts = _known[key](words)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(words.counts()), pa.array(group_sums(counts[:, 0], words.bounds)), pa.array(group_sums(counts[:, 1], words.bounds))],
                 names=["doc_id", "n_words", "n_tokens", "n_unknown"],
             )
+        _known[key].forget()
 
     return run
 
 
-def token_counts(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_words, n_tokens, n_unknown: how many pieces each text has under the unigram vocabulary of a model file.
+def token_counts(docs: DataFrame, model_path: str | None = None, id_column: str = "doc_id", text_column: str = "text", pieces: list[tuple[str, float]] | None = None, byte_fallback: bool = True) -> DataFrame:
+    """doc_id, n_words, n_tokens, n_unknown: how many pieces each text has under a unigram vocabulary.
 
-    Words ``[^\\x20\\x09-\\x0D]+`` are taken as they are, each with the space mark before it; pieces
-    don't cross words. No token strings or ids are made. Null and empty texts have no tokens. Rows
-    that repeat, and null ids, come back each. An empty table gives an empty result; other columns are not looked at.
+    The vocabulary is ``pieces`` with their scores, or else that of a model file (see ``vocabulary``). Words
+    ``[^\\x20\\x09-\\x0D]+`` are taken as they are, each with the space mark before it; pieces don't cross words. A
+    character that is no piece counts as its UTF-8 bytes, or without ``byte_fallback`` a run of them as one; n_unknown
+    counts runs. No token strings or ids are made. Null and empty texts have no tokens. Rows that repeat, and null ids,
+    come back each. An empty table gives an empty result; other columns are not looked at.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return source.mapInArrow(_counted(model_path), "doc_id long, n_words long, n_tokens long, n_unknown long")
+    given = None if pieces is None else tuple((str(p), float(s)) for p, s in pieces)
+    return source.mapInArrow(_counted(model_path, given, byte_fallback), "doc_id long, n_words long, n_tokens long, n_unknown long")

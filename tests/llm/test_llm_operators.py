@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import embeddings, html_text, language, minhash, mixing, packing, perplexity, substrings, unigram
 from lodestone.llm.bilinear import language_scores
@@ -294,9 +295,14 @@ def test_token_counts(docs, rows, empty):
     from tokenizers import Tokenizer, models
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    model = Tokenizer(models.Unigram([("<unk>", 0.0), *unigram.vocabulary(path)], unk_id=0, byte_fallback=False))
-    want = {i: len(model.encode([unigram.SPACE + w for w in words(t)], is_pretokenized=True).ids) if words(t) else 0 for i, t, *_ in rows}
-    assert {r.doc_id: r.n_tokens for r in unigram.token_counts(docs, path).collect()} == want
+    pieces = unigram.vocabulary(path)
+    least = min(s for _, s in pieces)
+    for fallback, more in ((False, []), (True, [(f"<0x{b:02X}>", least) for b in range(256)])):
+        model = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces, *more], unk_id=0, byte_fallback=fallback))
+        want = {i: len(model.encode([unigram.SPACE + w for w in words(t)], is_pretokenized=True).ids) if words(t) else 0 for i, t, *_ in rows}
+        assert {r.doc_id: r.n_tokens for r in unigram.token_counts(docs, path, byte_fallback=fallback).collect()} == want
+    own = {r.doc_id: r.n_tokens for r in unigram.token_counts(docs, pieces=[(unigram.SPACE, -1.0), ("a", -2.0)], byte_fallback=False).collect()}
+    assert own[next(i for i, t, *_ in rows if t == "a b c d")] == 8
     assert unigram.token_counts(empty, path).count() == 0
 
 
@@ -323,6 +329,32 @@ def test_language_model(docs, rows, empty):
     assert language_scores(empty).count() == 0
 
 
+def test_language_model_sums_to_one_and_learns(spark):
+    from lodestone.llm import bilinear
+
+    rng = np.random.default_rng(6)
+    keys = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    numbers = np.sort(rng.integers(20, 900, 400))[::-1].copy()
+    tails, sizes = np.full(bilinear.ENDINGS, 50_000, np.int64), np.full(bilinear.ENDINGS, 40, np.int64)
+    vocabulary = bilinear.Vocabulary.build(keys, numbers, 7, tails + 0, sizes + 0)
+    assert vocabulary.counts.sum() == 7 + tails.sum() and (vocabulary.of(keys) > bilinear.ENDINGS).all() and len(set(vocabulary.of(keys).tolist())) == 400
+    model = bilinear.LogBilinear.new(vocabulary, vocabulary.shares())
+    for name in ("context", "target", "scale", "word"):
+        model.parts[name][:] += rng.normal(0, 0.3, model.parts[name].shape).astype(np.float32)
+    ids = np.concatenate([np.arange(1 + bilinear.ENDINGS), np.sort(vocabulary.ids)])
+    for context in rng.integers(0, 200, (3, bilinear.CONTEXT)):
+        assert abs((10 ** model.log10(ids, np.repeat(context[:, None], len(ids), axis=1), vocabulary.group_sizes())).sum() - 1) < 1e-3
+    got = language_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    score, base = sum(r.score for r in got), sum(r.base_score for r in got)
+    assert score > base + 0.1 * sum(r.n_tokens for r in got) and sum(r.score > r.base_score for r in got) > 0.95 * len(got)
+
+
+def test_language_model_repeated_and_null_ids(spark):
+    rows = [(None, "a b"), (None, "c d"), (1, "a b"), (1, "e"), (2, None), (3, ""), (4, "A b a")]
+    got = language_scores(spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit("x")).withColumn("chunk", F.lit(1))).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 3), (0, 3), (1, 2), (1, 3), (2, 1), (3, 1), (4, 4)]
+
+
 def test_language_id(spark, empty):
     data = "/root/testdata/sf0.01/documents.parquet"
     source = spark.read.parquet(data)
