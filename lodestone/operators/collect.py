@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import corpus
+from lodestone.functions import content
+from lodestone.functions.responses import link_share
+from lodestone.operators import addresses, corpus, reader
 
 #: Bytes beyond which a body is refused.
 MOST_BYTES = 256 << 20
@@ -67,6 +69,20 @@ def ingested(incoming: DataFrame, log: DataFrame) -> DataFrame:
     return rows.join(was, "url", "left").select("url", outcome.alias("outcome"))
 
 
+def checked_pages(pages: DataFrame) -> DataFrame:
+    """url, kind, tool, chars, link_share, finding, enclosed, dropped: what extraction makes of given pages (page_id, url, html); nothing is stored.
+
+    finding is null for a good read, "nothing was read", or "menu" where more than half of a page is links.
+    """
+    read = reader.extract_pages(pages.select("page_id", "html"))
+    kinds = pages.select("page_id", "url", content.content_kind(F.lit(None).cast("string"), F.col("html").cast("binary"), F.col("url")).alias("kind"))
+    own = addresses.enclosures(pages.select("url", "html")).groupBy("url").agg(F.max(F.size("enclosed")).alias("enclosed"), F.max("dropped").alias("dropped"))
+    share = link_share(F.col("text"))
+    finding = F.when(F.length("text") == 0, "nothing was read").when(share > 0.5, "menu")
+    rows = kinds.join(read, "page_id").join(own, "url", "left")
+    return rows.select("page_id", "kind", F.nullif("tool", F.lit("")).alias("tool"), F.length("text").alias("chars"), F.round(share, 6).alias("link_share"), finding.alias("finding"), F.coalesce("enclosed", F.lit(0)).alias("enclosed"), F.coalesce("dropped", F.lit(0).cast("long")).alias("dropped"))
+
+
 # --- Sources ---
 
 

@@ -103,6 +103,24 @@ def resolve_target(log: DataFrame, target: str, most: int = 10) -> DataFrame:
     return top.select("resource", "blob_sha", F.col("branch").cast("int").alias("branch"), (F.row_number().over(Window.orderBy(exact, "resource")) - 1).cast("long").alias("position"))
 
 
+def resolved_page(log: DataFrame, bodies: DataFrame, target: str, offset: int = 0, most: int = 20_000, source: str | None = None) -> DataFrame:
+    """resource, page, total_chars, truncated: a page of the text (blob_sha, text) that a target names, within a source if one is given."""
+    inside = log if source is None else log.where(F.col("source") == source)
+    one = resolve_target(inside, target, 0).select("resource", "blob_sha")
+    total = F.length("text")
+    found = bodies.select("blob_sha", "text").join(F.broadcast(one), "blob_sha").limit(1)  # one row; equal bodies are one
+    return found.select("resource", F.substring("text", offset + 1, most).alias("page"), total.cast("long").alias("total_chars"), (total > offset + most).alias("truncated"))
+
+
+def resolved_bytes(log: DataFrame, bodies: DataFrame, target: str, offset: int = 0, most: int = 32_768, source: str | None = None) -> DataFrame:
+    """resource, page (base64), total_bytes, truncated: the same of the bytes (blob_sha, bytes)."""
+    inside = log if source is None else log.where(F.col("source") == source)
+    one = resolve_target(inside, target, 0).select("resource", "blob_sha")
+    total = F.octet_length("bytes")
+    found = bodies.select("blob_sha", "bytes").join(F.broadcast(one), "blob_sha").limit(1)
+    return found.select("resource", download_page(F.col("bytes"), offset, most).alias("page"), total.cast("long").alias("total_bytes"), (total > offset + most).alias("truncated"))
+
+
 def download_page(body: Column, offset: int = 0, most: int = 32_768) -> Column:
     """Bytes from an offset, in base64 without line breaks."""
     return F.regexp_replace(F.base64(F.substring(body, offset + 1, most)), r"[\r\n]", "")

@@ -23,6 +23,13 @@ def run_history(journal: DataFrame, schedule: str | None = None, failed: bool =
     return rows.orderBy(F.desc("run_id")).limit(most)
 
 
+def runs_named(journal: DataFrame, prefix: str) -> DataFrame:
+    """Attempts whose id begins with a prefix, newest first; where several do, each says that the prefix is ambiguous."""
+    found = journal.where(F.col("run_id").startswith(prefix))
+    n = found.agg((F.count(F.lit(1)) > 1).alias("ambiguous"))
+    return found.join(F.broadcast(n)).orderBy(F.desc("run_id"))  # one row
+
+
 def run_arithmetic(stages: DataFrame) -> DataFrame:
     """Additions and the four kinds of absence of each run, from rows (run_id, stage, key, value)."""
 

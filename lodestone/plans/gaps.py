@@ -214,6 +214,24 @@ def page_answers(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("page_id", R.liveness_class(code).alias("state"), R.soft_404(F.col("url"), led).alias("soft"))
 
 
+def run_by_prefix(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.runs_named(_journal(spark, folder), "r00000012").select("run_id", "schedule", "ambiguous")
+
+
+def read_target(spark: SparkSession, folder: str) -> DataFrame:
+    bodies = table(spark, folder, "documents").where("text is not null").select(F.sha2(F.col("text").cast("binary"), 256).alias("blob_sha"), "text")
+    return index.resolved_page(_observed(spark, folder), bodies, "doc/7", 5, 100)
+
+
+def download_target(spark: SparkSession, folder: str) -> DataFrame:
+    bodies = table(spark, folder, "documents").where("text is not null").select(F.sha2(F.col("text").cast("binary"), 256).alias("blob_sha"), F.col("text").cast("binary").alias("bytes"))
+    return index.resolved_bytes(_observed(spark, folder), bodies, "doc/7", 5, 100)
+
+
+def check_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return collect.checked_pages(table(spark, folder, "pages"))
+
+
 def title_of_pages(spark: SparkSession, folder: str) -> DataFrame:
     return text.html_title(table(spark, folder, "pages"))
 
@@ -223,7 +241,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         collect_report, merged_tallies, worklist_limited, ingested, size_gate, known_addresses, source_union, inferred_sources, source_listing, problems, address_times, derived_addresses, derived_from, index_order,
         stored_blobs, corpus_status, crumbs_ledger, crumbs_tally, decisions_by_host, run_journal, journal_health, journal_arithmetic, page_kinds, html_kinds, document_titles, document_quality, without_data_uris,
-        page_directories, page_channels, page_answers,
+        page_directories, page_channels, page_answers, run_by_prefix, read_target, download_target, check_pages,
     )
 } | {
     "html_title": title_of_pages,
@@ -280,6 +298,9 @@ ORACLES: dict[str, str] = {
     "page_directories": "WITH b AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages), p AS (SELECT page_id, regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/]+)', 1) AS o, u FROM b), q AS (SELECT page_id, o, substring(u, length(o) + 1) AS p FROM p) SELECT page_id, o || CASE WHEN regexp_matches(p, '[^/]\\.[A-Za-z0-9]{1,5}$') THEN regexp_replace(p, '[^/]*$', '') WHEN ends_with(p, '/') THEN p ELSE p || '/' END AS directory FROM q",
     "page_channels": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://www.youtube.com/@p' || page_id || '/videos' ELSE 'https://www.youtube.com/@p' || page_id || '/' || t END AS tab FROM pages, (VALUES ('videos', 0), ('streams', 1), ('shorts', 2)) v(t, k) WHERE page_id % 3 <> 0 OR k = 0",
     "page_answers": "SELECT page_id, CASE WHEN 400 + page_id % 30 IN (404, 410) THEN 'gone' WHEN 400 + page_id % 30 IN (401, 403, 429) THEN 'blocked' ELSE 'error' END AS state, CASE page_id % 4 WHEN 1 THEN 'gone' WHEN 2 THEN 'error' END AS soft FROM pages",
+    "run_by_prefix": f"WITH {_JOURNAL}, hit AS (SELECT run_id, schedule FROM journal WHERE starts_with(run_id, 'r00000012')) SELECT *, (SELECT count(*) FROM hit) > 1 AS ambiguous FROM hit",
+    "read_target": "SELECT 'doc/' || doc_id AS resource, substring(text, 6, 100) AS page, length(text) AS total_chars, length(text) > 105 AS truncated FROM documents WHERE doc_id = 7",
+    "download_target": "SELECT 'doc/' || doc_id AS resource, to_base64(encode(text)[6:105]) AS page, strlen(text) AS total_bytes, strlen(text) > 105 AS truncated FROM documents WHERE doc_id = 7",
     "html_title": """WITH t AS (SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<meta\\s[^>]*property="og:title"[^>]*content="([^"]*)"', 1), ''), regexp_extract(html, '(?is)<title(?:\\s[^>]*)?>(.*?)</title', 1)) AS t FROM pages) SELECT page_id, nullif(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&amp;', '&'), '&#38;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#039;', chr(39)), '&apos;', chr(39)), '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g'), '') AS title FROM t""",
     "page_links": f"""SELECT page_id, href FROM (SELECT page_id, nullif(regexp_extract(tag, '(?is)[^a-z0-9-]href\\s*=\\s*("[^"]*"|''[^'']*'')', 1), '') AS q, q[2:-2] AS href FROM (SELECT page_id, {_TAG.format("a")} AS tag FROM pages)) WHERE q IS NOT NULL""",
     "page_tags": f"""SELECT page_id, lower(regexp_extract(t, '^<([A-Za-z]+)', 1)) AS tag, count(*) AS n, count_if(regexp_matches(t, '(?is)[^a-z0-9-]href\\s*=\\s*("[^"]*"|''[^'']*'')')) AS with_href FROM (SELECT page_id, {_TAG.format("a|area|link|meta|script|img|iframe|form")} AS t FROM pages) GROUP BY 1, 2""",

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import content
+from lodestone.functions.responses import link_share
 from lodestone.operators import addresses, captions, chunker, corpus, crumbs, index, reader, text
 from lodestone.sources.log import scratch
 from lodestone.sources.tables import table
@@ -113,9 +115,10 @@ def extract_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def extract_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages and characters by the reader that won, and how many an earlier reader had failed."""
+    """Pages and characters by the reader that won, how many an earlier reader had failed, and how many are menus or nothing."""
     read = extract_pages(spark, folder)
-    return read.groupBy("tool").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("text")).alias("chars"), F.count_if("fallback").alias("recovered_by_fallback"))
+    poor = (F.length("text") == 0) | (link_share(F.col("text")) > 0.5)
+    return read.groupBy("tool").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("text")).alias("chars"), F.count_if("fallback").alias("recovered_by_fallback"), F.count_if(poor).alias("poor_reads"))
 
 
 def enclosures(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,6 +138,17 @@ _LOG = """log AS (SELECT source, 'doc/' || doc_id AS resource, sha256(text) AS b
 derived AS (SELECT DISTINCT blob_sha FROM log WHERE seq % 3 = 0), underivable AS (SELECT DISTINCT blob_sha FROM log WHERE seq % 3 = 1 AND source = 'src1')"""
 
 
+_DOCUMENTS = "|".join(e for kind in content.ENCLOSABLE for e in content.EXTENSIONS[kind])
+
+
+#: Pages whose marked region is their article, as all of the test tables: its blocks, headings with their hashes, under the title.
+_READ = r"""article AS (SELECT page_id, regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1) AS h, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t FROM pages),
+parts AS (SELECT page_id, t, string_split_regex(regexp_replace(regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', '', 'g'), '<br\s*/?>', ' ', 'g'), '<h1>', '<p># ', 'g'), '</?(?:h[1-6]|p|div|ul|ol|li|blockquote|pre|table|tr|td)(?:\s[^>]*)?>') AS b FROM article),
+plain AS (SELECT page_id, list_transform(list_prepend(t, b), lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS b FROM parts),
+body AS (SELECT page_id, b[1] AS title, list_filter(b[2:], lambda x: x <> '') AS b FROM plain),
+read AS (SELECT page_id, CASE WHEN title = '' OR lower(trim(ltrim(b[1], '# '))) = lower(title) THEN '' ELSE '# ' || title || chr(10) || chr(10) END || array_to_string(b, chr(10) || chr(10)) AS text, title, 'marked' AS tool, '' AS notes, false AS fallback FROM body)"""
+
+
 def oracles(chunks: str, lines: str) -> dict[str, str]:
     """SQL of the queries; `chunks` defines the relation chunk."""
     return {
@@ -153,5 +167,23 @@ placed AS (SELECT *, sum(length(raw)) OVER w - length(raw) AS source_from, sum(C
 whole AS (SELECT doc_id, string_agg(raw, '' ORDER BY n) AS text FROM placed WHERE kept GROUP BY 1),
 spot AS (SELECT doc_id, arg_max(source_from + greatest(length(text) - 100, 0) - kept_from, n) AS origin FROM placed JOIN whole USING (doc_id) WHERE kept AND kept_from <= greatest(length(text) - 100, 0) GROUP BY 1)
 SELECT doc_id, sha256(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(whole.text, '') END) AS stripped_sha, origin::BIGINT AS origin FROM documents d LEFT JOIN whole USING (doc_id) LEFT JOIN spot USING (doc_id)""",
+        "caption_paragraphs": """WITH RECURSIVE said AS (SELECT conv_id AS track, (turn * 8000)::BIGINT AS s, turn * 8000 + 40 * length(text) AS e, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations),
+broken AS (SELECT *, CASE WHEN s - lag(e) OVER w > 10000 OR lag(e) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM said WHERE t <> '' WINDOW w AS (PARTITION BY track ORDER BY s, e, t)),
+sess AS (SELECT track, s, e, t, sum(b) OVER (PARTITION BY track ORDER BY s, e, t)::BIGINT AS session FROM broken),
+cue AS (SELECT *, row_number() OVER (PARTITION BY track, session ORDER BY s, e, t) AS k FROM sess),
+walk(track, session, k, paragraph, begin_, words) AS (SELECT track, session, k, 0::BIGINT, s, t FROM cue WHERE k = 1 UNION ALL
+  SELECT c.track, c.session, c.k, w.paragraph + shut::INT, CASE WHEN shut THEN c.s ELSE begin_ END, CASE WHEN shut THEN c.t ELSE words || ' ' || c.t END
+  FROM (SELECT *, strlen(words) >= 1200 OR strlen(words) >= 600 AND right(words, 1) IN ('.', '?', '!') AS shut FROM walk) w JOIN cue c ON c.track = w.track AND c.session = w.session AND c.k = w.k + 1)
+SELECT track, session, paragraph, begin_ AS start_ms, printf('[%02d:%02d:%02d] ', begin_ // 3600000, begin_ // 60000 % 60, begin_ // 1000 % 60) || words AS text FROM (SELECT *, row_number() OVER (PARTITION BY track, session, paragraph ORDER BY k DESC) AS r FROM walk) WHERE r = 1""",
+        "extract_pages": f"WITH {_READ} SELECT * FROM read",
+        "extract_report": f"WITH {_READ} SELECT tool, count(*) AS pages, sum(length(text))::BIGINT AS chars, 0::BIGINT AS recovered_by_fallback, count_if(length(text) = 0) AS poor_reads FROM read GROUP BY 1",
+        "materialize_paths": """WITH part AS (SELECT url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '') AS seg, regexp_extract(url, '\\?([^#]*)', 1) AS query FROM pages),
+named AS (SELECT *, CASE WHEN len(seg) > 0 THEN seg ELSE ['index'] END AS s FROM part)
+SELECT url, host || '/' || array_to_string(list_transform(s[:-2], lambda x: trim(regexp_replace(x, '[\\\\:*?"<>|]', '_', 'g'), '.') || '/'), '') || trim(regexp_replace(regexp_replace(s[-1], '(?i)\\.html$', ''), '[\\\\:*?"<>|]', '_', 'g'), '.') || CASE WHEN query <> '' THEN '~' || sha256(query)[:8] ELSE '' END || '.html' AS relative_path FROM named""",
+        "enclosures": f"""WITH tag AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<(?:embed|object|iframe|a)\\s[^>]*>')) AS t FROM pages WHERE url IS NOT NULL),
+target AS (SELECT page_id, url, regexp_extract(t, '(?is)[^a-z0-9-](?:src|data|href)\\s*=\\s*"([^"]*)"', 1) AS h FROM tag),
+whole AS (SELECT page_id, url, regexp_replace(CASE WHEN starts_with(h, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || h ELSE h END, '#.*$', '') AS h FROM target),
+fits AS (SELECT page_id, list_distinct(list(h)) AS found FROM whole WHERE regexp_matches(h, '^https?://') AND regexp_extract(h, '^[a-z]+://([^/?#:]+)', 1) = regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AND regexp_matches(regexp_extract(h, '^[a-z]+://[^/?#]+([^?#]*)', 1), '(?i)[^/]\\.({_DOCUMENTS})$') GROUP BY 1)
+SELECT url, coalesce(found, []) AS enclosed, 0::BIGINT AS dropped FROM pages LEFT JOIN fits USING (page_id) WHERE url IS NOT NULL""",
         "chunk_markdown": f"WITH {chunks} SELECT doc_id, ordinal, chunk_hash FROM chunk",
     }

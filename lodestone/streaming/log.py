@@ -18,9 +18,13 @@ CHANGES_STATE = "at timestamp, seq long, fingerprint string"
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files: int = 1) -> DataFrame:
-    """A table's files as a stream, some at a time."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files).parquet(folder)
+    """A table's files as a stream, some at a time: the part files of its folder, or the one file that it is."""
+    path = f"{folder}/{name}.parquet"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def _in_order(batches: Iterator[pd.DataFrame], after: tuple | None) -> pd.DataFrame:

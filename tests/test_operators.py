@@ -251,6 +251,16 @@ def test_streams_resume_and_match_the_batch(spark, tmp_path):
     assert key(spark.read.parquet(f"{out}/change").drop("batch")) == key(corpus.change_events(_log(spark, rows)))
 
 
+def test_a_table_of_part_files_streams_like_one_file(spark, tmp_path):
+    rows = [(n % 3, n, datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=n), "live" if n % 4 else "gone", f"f{n // 5}") for n in range(20)]
+    _log(spark, rows).repartitionByRange(4, "seq").write.parquet(str(tmp_path / "many" / "log.parquet"))
+    (tmp_path / "one").mkdir()
+    _log(spark, rows).toPandas().to_parquet(tmp_path / "one" / "log.parquet", coerce_timestamps="us")
+    for kind in ("many", "one"):
+        streams.resumed(streams.table_stream(spark, str(tmp_path / kind), "log", files=4), str(tmp_path / kind / "out"), str(tmp_path / kind / "cp"))
+        assert spark.read.parquet(str(tmp_path / kind / "out")).count() == 20
+
+
 def test_log_round_trip(spark, tmp_path):
     rows = [("s1", "k", 1, datetime.datetime(2026, 1, 31), "live", "f", None), ("s2", "k", 2, datetime.datetime(2026, 2, 1), "gone", None, "404")]
     records, folder = spark.createDataFrame(rows, sources.LOG_SCHEMA), str(tmp_path / "log")
