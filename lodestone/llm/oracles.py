@@ -37,8 +37,19 @@ link AS (SELECT x.id AS a, y.id AS b FROM good x JOIN good y ON x.label = y.labe
 {_REACH}
 SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM class LEFT JOIN (SELECT a AS id, count(*) AS n FROM link GROUP BY 1) USING (id)"""
 
+#: The article of each page without its adverts. It holds for pages that mark their article and have no other furniture in it,
+#: as all pages of the test tables do; of the trees that the query decides by it knows nothing.
+HTML_EXTRACTION = r"""
+WITH article AS (SELECT page_id, url, regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1) AS h FROM pages),
+bare AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '(?s)<!--.*?-->|<div class="ad">.*?</div>', '', 'g'), '<br\s*/?>', ' ', 'g') AS h FROM article),
+parts AS (SELECT page_id, url, list_transform(string_split_regex(h, '</?(?:h[1-6]|p|div|ul|ol|li|blockquote|pre|table|tr|td)(?:\s[^>]*)?>'), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS b FROM bare),
+blocks AS (SELECT page_id, url, list_filter(list_transform(b, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS b FROM parts),
+whole AS (SELECT page_id, url, coalesce(array_to_string(b, chr(10) || chr(10)), '') AS text FROM blocks)
+SELECT page_id, url, text, length(text) AS n_chars FROM whole"""
+
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": EMBEDDINGS,
     "op2_substring_dedup": SUBSTRING_DEDUP,
     "op7_minhash_near_dedup": MINHASH,
+    "op8_html_extraction": HTML_EXTRACTION,
 }

@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the folder that all executors share (spark.checkpoint.dir).
 
-    The folder is the cluster's; only where the setting is absent, as in local tests, one is made here.
+    The folder is the cluster's; only where the setting is absent on a local master, as in tests, one is made here.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="lodestone-")
+        context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 

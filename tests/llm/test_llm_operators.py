@@ -450,3 +450,73 @@ def test_html_without_optional_tags():
     assert text("<head><meta charset=utf-8><title>T</title>Bare text<p>Two") == ["Bare text", "Two"]
     assert text("<head><template><div>no</div></template><script>x</script></head><body><p>Yes") == ["Yes"]
     assert text("<body><p>a <math><mi>x</mi><annotation>\\x</annotation></math> b <object>c</object> <noscript>d</noscript>") == ["a x b c d"]
+
+
+def article_of(page):
+    """The article of a generated page without its adverts, by regular expressions: blocks end at block tags, <br> is a space."""
+    import html
+
+    body = re.search(r"(?s)<article[^>]*>(.*)</article>", page)
+    body = re.sub(r'(?s)<!--.*?-->|<(script|style)\b.*?</\1>|<div class="ad">.*?</div>', "", body[1]) if body else ""
+    blocks = re.split(r"</?(?:h[1-6]|p|div|ul|ol|li|blockquote|pre|table|tr|td|figure|figcaption|article|section)\b[^>]*>", re.sub(r"<br\s*/?>", " ", body))
+    texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+    return "\n\n".join(x for x in texts if x)
+
+
+def test_html_equals_the_articles(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r for r in html_text.main_text(pages).collect()}
+    want = {r.page_id: article_of(r.html) for r in pages.collect()}
+    assert {i: r.text for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_html_hidden_elements_and_clashing_columns(spark):
+    page = "<body><article><h1>A title of it</h1><p>Some words that stay here, for a while.</p><div hidden><p>Not this one.</p>nor this</div><p>More words of the article follow.</p></article>"
+    df = spark.createDataFrame([(1, "u", page, "x", 3)], "page_id long, url string, html string, text string, n_chars long")
+    assert [r.text for r in html_text.main_text(df).collect()] == ["A title of it\n\nSome words that stay here, for a while.\n\nMore words of the article follow."]
+
+
+def test_null_ids_and_clashing_columns(spark, rows):
+    odd = [(None, "a b c d e f", "en"), (None, None, None), (1, "a b c d e f", None), (1, "a b c d e f", "en"), (2, "", "en")]
+    df = spark.createDataFrame([(*r, i, "x", None) for i, r in enumerate(odd)], "doc_id long, text string, lang string, n_words long, chunk string, source string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for found in (substrings.without_repeats(df), minhash.near_duplicates(df), perplexity.judged(df), mixing.mixed(df), language.identified(df), unigram.token_counts(df, public_tokenizers.path("piece_bpe_32k.model"))):
+        assert sorted(r.doc_id or 0 for r in found.collect()) == [0, 0, 1, 1, 2]
+    pieces = packing.packed(df, path).collect()
+    assert sorted(r.doc_id or 0 for r in pieces) == [0, 0, 1, 1, 2] and all(r.length == r.doc_tokens for r in pieces)
+    assert language.identified(df.withColumn("held_out", F.lit("x")).withColumn("score", F.lit(1))).count() == 5
+
+
+def test_filters_of_empty_tables(empty):
+    for found in (perplexity.accepted(empty), minhash.without_near_duplicates(empty), substrings.deduplicated_documents(empty), mixing.sampled(empty)):
+        assert found.columns == empty.columns and found.count() == 0
+
+
+def brute_packs(lengths, sequence):
+    """How many packs pieces need when each goes, longest first, into the pack with most room that it fits."""
+    import heapq
+
+    rooms, packs = [], 0
+    for n in sorted(lengths, reverse=True):
+        if rooms and -rooms[0] >= n:
+            heapq.heapreplace(rooms, rooms[0] + n)
+        else:
+            packs += 1
+            heapq.heappush(rooms, n - sequence)
+    return packs
+
+
+def test_packing_is_longest_first_into_most_room():
+    rng = np.random.default_rng(12)
+    for sequence in (16, 64):
+        for _ in range(40):
+            lengths = rng.integers(1, sequence + 1, rng.integers(1, 120)).tolist()
+            found = packing.patterns(Counter(lengths), sequence)
+            placed = Counter()
+            for pattern, count in found:
+                assert sum(pattern) <= sequence
+                for n in pattern:
+                    placed[n] += count
+            assert placed == Counter(lengths)
+            # New packs take several of a length at once, so a few packs more or less than one at a time.
+            assert abs(sum(c for _, c in found) - brute_packs(lengths, sequence)) <= max(1, 0.05 * brute_packs(lengths, sequence))
