@@ -27,7 +27,9 @@ ENDINGS, SINGLES, GROUPS, MEMBERS = 64, 63, 128, 128
 CLASSES = 1 + ENDINGS + SINGLES + GROUPS
 #: A word enters the vocabulary if training has it this often, and it is among the most frequent ones.
 LEAST_COUNT, MOST_WORDS = 20, SINGLES + GROUPS * MEMBERS
-WIDTH, CONTEXT, NOISE, WORD_NOISE, BATCH = 16, 3, 32, 4, 4096
+WIDTH, CONTEXT, NOISE, WORD_NOISE, BATCH = 16, 3, 32, 3, 8192
+#: Tokens scored at once: over all classes, so that their scores stay in the processor's cache, and by groups.
+ROWS, WINDOW = 1024, 32_768
 CHUNK_CHARS, BUCKET_CHARS = 4_000_000, 4_000_000
 #: Parameters in one row that tasks send, and how many tasks' rows are summed at once.
 BLOCK, FAN = 1 << 16, 64
@@ -295,13 +297,13 @@ class LogBilinear:
         out = np.empty(len(tokens))
         q, b = self.parts["target"], self.parts["bias"]
         first = 1 + ENDINGS + SINGLES
-        for i in range(0, len(tokens), 4 * BATCH):
-            ids, rows = tokens[i : i + 4 * BATCH], slice(i, i + 4 * BATCH)
+        for i in range(0, len(tokens), WINDOW):
+            ids, rows = tokens[i : i + WINDOW], slice(i, i + WINDOW)
             h = self.hidden(contexts[:, rows])
-            for k in range(0, len(ids), BATCH):
-                s = h[k : k + BATCH] @ q.T
+            for k in range(0, len(ids), ROWS):
+                s = h[k : k + ROWS] @ q.T
                 s += b
-                w = Vocabulary.class_of(ids[k : k + BATCH])
+                w = Vocabulary.class_of(ids[k : k + ROWS])
                 out[i + k : i + k + len(w)] = _log_share(s, w)
             inside = np.flatnonzero(ids >= first)
             group = (ids[inside] - first) // MEMBERS
@@ -405,7 +407,7 @@ def _scored(vocabulary: Vocabulary, flat: np.ndarray, train_tokens: int, distinc
     return run
 
 
-def language_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", passes: int = 2, rate: float = 0.1) -> DataFrame:
+def language_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", passes: int = 2, rate: float = 0.2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of whole texts.
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case, and one end. All is
