@@ -17,16 +17,14 @@ _built: dict[tuple[str, str], str] = {}
 
 
 def index_of(spark: SparkSession, folder: str) -> store.IndexStore:
-    """The index of a folder's documents; the first call of an application builds it, half of the documents at a time."""
+    """The index of a folder's documents; the first call of an application builds it."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _built:
         made = store.IndexStore(spark, scratch(spark, "index"))
         documents = table(spark, folder, "documents")
         text.boilerplate_lines(documents).write.parquet(f"{made.folder}/learnt")  # learnt once, from all documents, for every build
         learnt = spark.read.schema("source string, line string, n_docs long").parquet(f"{made.folder}/learnt")
-        derived = store.derivations(documents)
-        made.build(derived.where("doc_id % 2 = 0"), learnt)
-        made.build(derived, learnt)  # adds what has no placement yet
+        made.build(store.derivations(documents), learnt)
         _built[key] = made.folder
     return store.IndexStore(spark, _built[key])
 
