@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import content
 from lodestone.functions import responses as R
 from lodestone.operators import collect, corpus, crumbs, index, runs, strategies, text
-from lodestone.sources.log import append_journal, blob_count, put_blobs, scratch
+from lodestone.sources.log import append_journal, append_log, append_vectors, blob_count, put_blobs, read_log, scratch, stored_model
 from lodestone.sources.tables import table
+from lodestone.streaming import log as stream_log
 
 #: Sources that a configuration names, in its order, and what an address must contain.
 CONFIGURED, MATCHES = ["src3", "extra", "src1"], "7"
@@ -232,6 +233,59 @@ def check_pages(spark: SparkSession, folder: str) -> DataFrame:
     return collect.checked_pages(table(spark, folder, "pages"))
 
 
+def log_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The log as it is read back from its folders by source and month."""
+    store = scratch(spark, "log")
+    rows = _by_source(spark, folder).withColumn("natural_key", F.col("natural_key").cast("string")).withColumn("detail", F.lit(None).cast("string"))
+    append_log(rows, store)
+    return read_log(spark, store).select("source", "natural_key", "seq", "state", "fingerprint", "month")
+
+
+def log_of_source(spark: SparkSession, folder: str) -> DataFrame:
+    """One source's records since a time, counted by month."""
+    return _by_source(spark, folder).where("source = 's2' and at >= timestamp'2024-01-10'").groupBy(F.date_format("at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("records"))
+
+
+def stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors in two appends, as the table says of itself which model and width they are of."""
+    store = scratch(spark, "vectors")
+    vectors = table(spark, folder, "embeddings").where("embedding is not null")
+    dims = vectors.select(F.size("embedding")).first()[0]
+    rows = vectors.where(F.size("embedding") == dims).select(F.col("vec_id").cast("string").alias("chunk_hash"), F.col("embedding").cast("array<float>").alias("vector"), "vec_id")
+    for part in (0, 1):
+        append_vectors(rows.where(F.col("vec_id") % 2 == part).drop("vec_id"), store, "table", dims)
+    model, width = stored_model(spark, store)
+    return spark.read.parquet(store).groupBy(F.lit(model).alias("model"), F.lit(width).alias("dims")).agg(F.count(F.lit(1)).alias("vectors"))
+
+
+def daily_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Records by day and state."""
+    return stream_log.daily_counts(_events(spark, folder)).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "state", "n")
+
+
+def runs_since(spark: SparkSession, folder: str) -> DataFrame:
+    """A schedule's attempts since a time, newest first."""
+    return runs.run_history(_journal(spark, folder), schedule="s3", since="2024-01-15 00:00:00", most=1000).select("run_id", "outcome")
+
+
+def page_scalars(spark: SparkSession, folder: str) -> DataFrame:
+    """Names, videos and documents that addresses speak of."""
+    host, path = F.regexp_extract("url", "^https?://([^/?#]+)", 1), F.concat(F.lit("/files/"), F.col("page_id"), F.element_at(F.array(*[F.lit(x) for x in (".pdf", ".html", ".XLSX", "")]), (F.col("page_id") % 4 + 1).cast("int")))
+    video = F.lpad(F.col("page_id").cast("string"), 11, "x")
+    address = F.concat(F.lit("https://www.youtube.com/watch?v="), video, F.lit("&list=y"))
+    prefix = F.substring(F.sha2(F.col("html").cast("binary"), 256), F.lit(1), (F.col("page_id") % 12).cast("int"))
+    return table(spark, folder, "pages").select(
+        "page_id", content.suggested_id(host).alias("suggested"), content.is_document(path).alias("document"), content.video_id_of(address).alias("video"), content.is_video_id(content.video_id_of(address)).alias("valid"),
+        content.watch_url_at(video, F.col("page_id") * 1500).alias("watch"), content.looks_like_hash(prefix).alias("hash"),
+    )
+
+
+def event_scalars(spark: SparkSession, folder: str) -> DataFrame:
+    """Times as site maps write them, and scores as a yes-or-no model gives them."""
+    stamp = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("soon")
+    return table(spark, folder, "events").select("event_id", F.date_format(content.w3c_datetime(stamp), "yyyy-MM-dd HH:mm:ss").alias("lastmod"), F.round(content.probability_of_yes(F.col("value"), F.lit(3.0)), 9).alias("p_yes"))
+
+
 def title_of_pages(spark: SparkSession, folder: str) -> DataFrame:
     return text.html_title(table(spark, folder, "pages"))
 
@@ -241,7 +295,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         collect_report, merged_tallies, worklist_limited, ingested, size_gate, known_addresses, source_union, inferred_sources, source_listing, problems, address_times, derived_addresses, derived_from, index_order,
         stored_blobs, corpus_status, crumbs_ledger, crumbs_tally, decisions_by_host, run_journal, journal_health, journal_arithmetic, page_kinds, html_kinds, document_titles, document_quality, without_data_uris,
-        page_directories, page_channels, page_answers, run_by_prefix, read_target, download_target, check_pages,
+        page_directories, page_channels, page_answers, run_by_prefix, read_target, download_target, check_pages, log_round_trip, log_of_source,
+        stored_vectors, daily_states, runs_since, page_scalars, event_scalars,
     )
 } | {
     "html_title": title_of_pages,
@@ -298,6 +353,13 @@ ORACLES: dict[str, str] = {
     "page_directories": "WITH b AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages), p AS (SELECT page_id, regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/]+)', 1) AS o, u FROM b), q AS (SELECT page_id, o, substring(u, length(o) + 1) AS p FROM p) SELECT page_id, o || CASE WHEN regexp_matches(p, '[^/]\\.[A-Za-z0-9]{1,5}$') THEN regexp_replace(p, '[^/]*$', '') WHEN ends_with(p, '/') THEN p ELSE p || '/' END AS directory FROM q",
     "page_channels": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://www.youtube.com/@p' || page_id || '/videos' ELSE 'https://www.youtube.com/@p' || page_id || '/' || t END AS tab FROM pages, (VALUES ('videos', 0), ('streams', 1), ('shorts', 2)) v(t, k) WHERE page_id % 3 <> 0 OR k = 0",
     "page_answers": "SELECT page_id, CASE WHEN 400 + page_id % 30 IN (404, 410) THEN 'gone' WHEN 400 + page_id % 30 IN (401, 403, 429) THEN 'blocked' ELSE 'error' END AS state, CASE page_id % 4 WHEN 1 THEN 'gone' WHEN 2 THEN 'error' END AS soft FROM pages",
+    "log_round_trip": f"WITH {_LOG} SELECT source, natural_key::VARCHAR AS natural_key, seq, state, fingerprint, strftime(\"at\", '%Y-%m') AS month FROM log",
+    "log_of_source": f"WITH {_LOG} SELECT strftime(\"at\", '%Y-%m') AS month, count(*) AS records FROM log WHERE source = 's2' AND \"at\" >= TIMESTAMP '2024-01-10' GROUP BY 1",
+    "stored_vectors": "SELECT 'table' AS model, len(embedding)::INT AS dims, count(*) AS vectors FROM embeddings WHERE len(embedding) = (SELECT len(embedding) FROM embeddings WHERE embedding IS NOT NULL LIMIT 1) GROUP BY 1, 2",
+    "daily_states": f"WITH {_LOG} SELECT strftime(\"at\", '%Y-%m-%d') AS day, state, count(*) AS n FROM log GROUP BY 1, 2",
+    "runs_since": f"WITH {_JOURNAL} SELECT run_id, outcome FROM journal JOIN events ON run_id = printf('r%09d', event_id) WHERE schedule = 's3' AND ts >= TIMESTAMP '2024-01-15' ORDER BY run_id DESC LIMIT 1000",
+    "page_scalars": "WITH p AS (SELECT page_id, html, string_split(regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '(?i)^www\\.', ''), '.')[1] AS label, lpad(page_id::VARCHAR, 11, 'x') AS v FROM pages) SELECT page_id, regexp_replace(lower(label), '[^a-z0-9]', '-', 'g') AS suggested, page_id % 4 IN (0, 2) AS document, v AS video, regexp_matches(v, '^[A-Za-z0-9_-]{11}$') AS valid, 'https://www.youtube.com/watch?v=' || v || '&t=' || (page_id * 1500 // 1000) || 's' AS watch, page_id % 12 >= 8 AS hash FROM p",
+    "event_scalars": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d 00:00:00') WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS lastmod, round(1 / (1 + exp(3.0 - value)), 9) AS p_yes FROM events",
     "run_by_prefix": f"WITH {_JOURNAL}, hit AS (SELECT run_id, schedule FROM journal WHERE starts_with(run_id, 'r00000012')) SELECT *, (SELECT count(*) FROM hit) > 1 AS ambiguous FROM hit",
     "read_target": "SELECT 'doc/' || doc_id AS resource, substring(text, 6, 100) AS page, length(text) AS total_chars, length(text) > 105 AS truncated FROM documents WHERE doc_id = 7",
     "download_target": "SELECT 'doc/' || doc_id AS resource, to_base64(encode(text)[6:105]) AS page, strlen(text) AS total_bytes, strlen(text) > 105 AS truncated FROM documents WHERE doc_id = 7",
