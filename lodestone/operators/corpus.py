@@ -89,7 +89,7 @@ def discovery_delta(log: DataFrame) -> DataFrame:
     """Addresses found on each day, and those new and vanished against the run before it."""
     members = log.select(F.date_format("at", "yyyy-MM-dd").alias("day"), "natural_key").distinct()
     days = members.select("day").distinct().select("day", F.lag("day").over(Window.orderBy("day")).alias("previous"), F.lead("day").over(Window.orderBy("day")).alias("next"))
-    placed = members.join(F.broadcast(days), "day")  # a row a run
+    placed = members.join(days, "day")  # a row a run; Spark broadcasts it by its measured size
     earlier = members.select(F.col("day").alias("previous"), "natural_key", F.lit(1).alias("was"))
     later = members.select(F.col("day").alias("next"), "natural_key", F.lit(1).alias("stays"))
     found = placed.join(earlier, ["previous", "natural_key"], "left").groupBy("day").agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("was").isNull()).alias("new"))

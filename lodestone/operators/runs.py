@@ -55,13 +55,7 @@ def schedule_health(journal: DataFrame) -> DataFrame:
     last_good = journal.where(~F.col("outcome").isin(*FAILURES, *NEUTRAL)).groupBy("schedule").agg(F.max("run_id").alias("good"))
     counted = F.col("outcome").isin(*FAILURES) & (F.col("good").isNull() | (F.col("run_id") > F.col("good")))
     return (
-        journal.join(F.broadcast(last_good), "schedule", "left")  # a row a schedule of the configuration
+        journal.join(last_good, "schedule", "left")  # Spark broadcasts it by its measured size
         .groupBy("schedule")
         .agg(F.max_by("outcome", "run_id").alias("last_outcome"), F.max("run_id").alias("last_run"), F.count_if(counted).alias("consecutive_failures"))
     )
-
-
-def problems(liveness: DataFrame, most: int = 20) -> DataFrame:
-    """Per source, the addresses that fail longest: failures downwards, then by key."""
-    order = Window.partitionBy("source").orderBy(F.desc("consecutive_failures"), "natural_key")
-    return liveness.where("state <> 'live'").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)

@@ -177,6 +177,7 @@ walk(track, session, k, paragraph, begin_, words) AS (SELECT track, session, k,
 SELECT track, session, paragraph, begin_ AS start_ms, printf('[%02d:%02d:%02d] ', begin_ // 3600000, begin_ // 60000 % 60, begin_ // 1000 % 60) || words AS text FROM (SELECT *, row_number() OVER (PARTITION BY track, session, paragraph ORDER BY k DESC) AS r FROM walk) WHERE r = 1""",
         "extract_pages": f"WITH {_READ} SELECT * FROM read",
         "extract_report": f"WITH {_READ} SELECT tool, count(*) AS pages, sum(length(text))::BIGINT AS chars, 0::BIGINT AS recovered_by_fallback, count_if(length(text) = 0) AS poor_reads FROM read GROUP BY 1",
+        "check_pages": f"WITH {_READ}, shared AS (SELECT *, CASE WHEN length(text) > 0 THEN coalesce(list_sum(list_transform(regexp_extract_all(text, '\\[[^\\]]*\\]\\([^)]*\\)'), lambda x: length(x))), 0) / length(text) ELSE 0 END::DOUBLE AS share FROM read) SELECT page_id, 'html' AS kind, tool, length(text)::INT AS chars, round(share, 6) AS link_share, CASE WHEN length(text) = 0 THEN 'nothing was read' WHEN share > 0.5 THEN 'menu' END AS finding, 0::INT AS enclosed, 0::BIGINT AS dropped FROM shared",
         "materialize_paths": """WITH part AS (SELECT url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '') AS seg, regexp_extract(url, '\\?([^#]*)', 1) AS query FROM pages),
 named AS (SELECT *, CASE WHEN len(seg) > 0 THEN seg ELSE ['index'] END AS s FROM part)
 SELECT url, host || '/' || array_to_string(list_transform(s[:-2], lambda x: trim(regexp_replace(x, '[\\\\:*?"<>|]', '_', 'g'), '.') || '/'), '') || trim(regexp_replace(regexp_replace(s[-1], '(?i)\\.html$', ''), '[\\\\:*?"<>|]', '_', 'g'), '.') || CASE WHEN query <> '' THEN '~' || sha256(query)[:8] ELSE '' END || '.html' AS relative_path FROM named""",
