@@ -27,7 +27,7 @@ ENDINGS, SINGLES, GROUPS, MEMBERS = 64, 63, 128, 128
 CLASSES = 1 + ENDINGS + SINGLES + GROUPS
 #: A word enters the vocabulary if training has it this often, and it is among the most frequent ones.
 LEAST_COUNT, MOST_WORDS = 20, SINGLES + GROUPS * MEMBERS
-WIDTH, CONTEXT, NOISE, WORD_NOISE, BATCH = 16, 3, 32, 3, 8192
+WIDTH, CONTEXT, NOISE, WORD_NOISE, BATCH = 16, 3, 32, 3, 4096
 #: Tokens scored at once: over all classes, so that their scores stay in the processor's cache, and by groups.
 ROWS, WINDOW = 1024, 32_768
 CHUNK_CHARS, BUCKET_CHARS = 4_000_000, 4_000_000
@@ -407,7 +407,7 @@ def _scored(vocabulary: Vocabulary, flat: np.ndarray, train_tokens: int, distinc
     return run
 
 
-def language_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", passes: int = 2, rate: float = 0.2) -> DataFrame:
+def language_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", passes: int = 1, rate: float = 0.2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of whole texts.
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case, and one end. All is
