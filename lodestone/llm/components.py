@@ -49,7 +49,13 @@ def with_nodes(classes: DataFrame, rows: DataFrame, id_column: str, keys: list[s
     return classes.join(several, classes["doc"] == several["_several"], "left").withColumn("node", F.when(F.col("_several").isNull(), F.col("doc")).otherwise(own)).drop("_several")
 
 
+#: Tasks among which the nodes of one component are dealt where they meet its smallest id.
+SALTS = 32
+
+
 def smallest_ids(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """node, component_id: the smallest ``doc`` among the classes of each node's component."""
+    """node, component_id: the smallest ``doc`` among the classes of each node's component. A large component is several tasks."""
     placed = found.join(classes.select("node", "doc"), "node")
-    return placed.select("node", "component").join(placed.groupBy("component").agg(F.min("doc").alias("component_id")), "component").select("node", "component_id")
+    least = placed.groupBy("component").agg(F.min("doc").alias("component_id")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = placed.select("node", "component", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("_salt"))
+    return dealt.join(least, ["component", "_salt"]).select("node", "component_id")
