@@ -19,6 +19,7 @@ from lodestone.llm.mixing import mixed
 from lodestone.llm.oracles import ORACLES  # noqa: F401  (read by the entry module)
 from lodestone.llm.packing import packed
 from lodestone.llm.perplexity import judged
+from lodestone.llm.phrases import collocations
 from lodestone.llm.session import table
 from lodestone.llm.substrings import without_repeats
 from lodestone.llm.unigram import token_counts
@@ -67,10 +68,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(ship(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(ship(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_substring_dedup, op3_quality_rules, op4_source_mixing, op5_token_counts,
         op6_lm_scoring, op7_minhash_near_dedup, op8_html_extraction, op9_language_id, op10_packing,
+        op11_phrase_collocations,
     )
 }

@@ -47,9 +47,27 @@ blocks AS (SELECT page_id, url, list_filter(list_transform(b, lambda x: trim(reg
 whole AS (SELECT page_id, url, coalesce(array_to_string(b, chr(10) || chr(10)), '') AS text FROM blocks)
 SELECT page_id, url, text, length(text) AS n_chars FROM whole"""
 
+#: Phrases of 2 and 3 words with 10 places or more, scored by their weakest cut, without those that a longer one mostly covers.
+PHRASES = f"""
+WITH part AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+piece AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM part),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM piece GROUP BY 1),
+place AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM piece),
+gram AS MATERIALIZED (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS g, count(*) AS f FROM (SELECT *, unnest([1, 2, 3]) AS size FROM place) WHERE i + size - 1 <= len(w) GROUP BY ALL),
+candidate AS MATERIALIZED (SELECT lang, size, g, f AS a, string_split(g, ' ') AS w FROM gram WHERE size >= 2 AND f >= 10),
+known AS MATERIALIZED (SELECT lang || chr(10) || g AS g, f FROM gram WHERE f >= 10),
+halved AS MATERIALIZED (SELECT lang, g, size, a, k, lang || chr(10) || array_to_string(w[:k], ' ') AS x, lang || chr(10) || array_to_string(w[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, size)) AS k FROM candidate)),
+cut AS (SELECT h.*, x.f AS l, y.f AS r, 1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS score FROM halved h JOIN known x ON x.g = h.x JOIN known y ON y.g = h.y),
+weakest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+longer AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS g, max(a) AS most FROM (SELECT *, unnest([1, 2]) AS i FROM candidate WHERE size = 3) GROUP BY 1, 2),
+left_ AS (SELECT w.* FROM weakest w LEFT JOIN longer USING (lang, g) WHERE most IS NULL OR size = 3 OR 100 * most < 50 * a),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, score::BIGINT AS score FROM left_)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": EMBEDDINGS,
     "op2_substring_dedup": SUBSTRING_DEDUP,
     "op7_minhash_near_dedup": MINHASH,
     "op8_html_extraction": HTML_EXTRACTION,
+    "op11_phrase_collocations": PHRASES,
 }
