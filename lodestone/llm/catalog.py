@@ -14,6 +14,7 @@ from lodestone.llm.bilinear import language_scores
 from lodestone.llm.embeddings import near_duplicate_vectors
 from lodestone.llm.html_text import main_text
 from lodestone.llm.language import identified
+from lodestone.llm.merkle import manifest
 from lodestone.llm.minhash import near_duplicates
 from lodestone.llm.mixing import mixed
 from lodestone.llm.oracles import ORACLES  # noqa: F401  (read by the entry module)
@@ -22,6 +23,7 @@ from lodestone.llm.perplexity import judged
 from lodestone.llm.phrases import collocations
 from lodestone.llm.session import table
 from lodestone.llm.substrings import without_repeats
+from lodestone.llm.topk import best_matches
 from lodestone.llm.unigram import token_counts
 from lodestone.shipping import ship
 
@@ -72,11 +74,19 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(ship(spark), sf_dir, "documents"))
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_matches(table(ship(spark), sf_dir, "embeddings")).drop("query_row")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(ship(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_substring_dedup, op3_quality_rules, op4_source_mixing, op5_token_counts,
         op6_lm_scoring, op7_minhash_near_dedup, op8_html_extraction, op9_language_id, op10_packing,
-        op11_phrase_collocations,
+        op11_phrase_collocations, op12_exact_topk, op13_merkle_manifest,
     )
 }

@@ -64,10 +64,52 @@ left_ AS (SELECT w.* FROM weakest w LEFT JOIN longer USING (lang, g) WHERE most
 ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, score::BIGINT AS score FROM left_)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
 
+#: Products of whole numbers of every hundredth vector with all others, the ten best of each.
+TOPK = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS y FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.y, c.y)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.y) = len(c.y) WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 10"""
+
+
+def _merkle(levels: int = 7, above: int = 3) -> str:
+    """Levels of the trees one by one; 8**levels documents of a language and 8**above languages have room."""
+    field = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    low = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    steps = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform({steps}, lambda x: x::BIGINT)), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)"
+    out = [
+        f"leaf AS (SELECT *, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS v, coalesce('x' || lang, '') AS tree FROM documents)",
+        "d0 AS (SELECT doc_id, tree, leaf, v, '' AS proof, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS pos FROM leaf)",
+        "n0 AS (SELECT tree, pos, leaf AS h FROM d0)",
+    ]
+    for i in range(levels + above):
+        if i == levels:  # from here on subroots are leaves of one tree
+            out.append(f"place AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos FROM n{i})")
+            out.append("top AS (SELECT '' AS tree, pos, h FROM place)")
+            out.append(f"d AS (SELECT doc_id, '' AS tree, leaf, v, proof, place.pos, place.h AS subroot FROM d{i} JOIN place USING (tree))")
+        nodes, docs = ("top", "d") if i == levels else (f"n{i}", f"d{i}")
+        kept = ", subroot" if i >= levels else ""
+        out.append(f"r{i} AS MATERIALIZED (SELECT tree, pos // 8 AS pos, list(h ORDER BY pos) AS hs, any_value(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {nodes}) GROUP BY 1, pos // 8)")
+        out.append(f"n{i + 1} AS (SELECT tree, pos, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM r{i})")
+        out.append(
+            f"d{i + 1} AS MATERIALIZED (SELECT doc_id, tree, leaf, CASE WHEN n = 1 THEN v ELSE sha256(array_to_string(list_concat(hs[:own], [v], hs[own + 2:]), '')) END AS v, "
+            f"CASE WHEN n = 1 THEN proof ELSE proof || array_to_string(list_concat(hs[:own], hs[own + 2:]), '') END AS proof, run AS pos{kept} FROM (SELECT *, pos // 8 AS run, pos % 8 AS own FROM {docs}) x JOIN (SELECT tree, pos AS run, hs, n FROM r{i}) USING (tree, run))"
+        )
+    last = levels + above
+    return f"WITH {', '.join(out)} SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, v AS folded_root, v = h AS verified FROM d{last} JOIN n{last} USING (tree)"
+
+
+#: Trees of hashes over the documents of each language and over these, with each document's proof, some tampered with.
+MERKLE = _merkle()
+
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": EMBEDDINGS,
     "op2_substring_dedup": SUBSTRING_DEDUP,
     "op7_minhash_near_dedup": MINHASH,
     "op8_html_extraction": HTML_EXTRACTION,
     "op11_phrase_collocations": PHRASES,
+    "op12_exact_topk": TOPK,
+    "op13_merkle_manifest": MERKLE,
 }
