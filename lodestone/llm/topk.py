@@ -69,9 +69,9 @@ class Shard:
         return at, score
 
     def all_scores(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of all vectors in whole numbers of any size."""
+        """Places and scores of all vectors, in whole numbers of any size cut to 64 bits in the end."""
         whole = [int(x) for x in q]
-        return np.arange(len(self.ids)), np.array([sum(a * int(b) for a, b in zip(whole, row, strict=True)) for row in self.y], object)
+        return np.arange(len(self.ids)), np.array([min(max(sum(a * int(b) for a, b in zip(whole, row, strict=True)), _LONG[0]), _LONG[1]) for row in self.y], object)
 
 
 class Best:
@@ -87,7 +87,7 @@ class Best:
         exact = float(np.abs(self.x).max(initial=0)) * float(np.abs(shard.y).max(initial=0)) * max(1, d) < EXACT
         for i, q in enumerate(self.x):
             full = len(self.scores[i]) == self.k
-            floor = float(min(max(self.scores[i][-1], -1e300), 1e300)) if full else -np.inf
+            floor = float(self.scores[i][-1]) if full else -np.inf
             at, score = shard.at_least(q, floor) if exact else shard.all_scores(q)
             mine = shard.rows[at] != self.rows[i]
             at, score = at[mine], score[mine]
@@ -102,8 +102,8 @@ class Best:
 
     def table(self) -> pa.RecordBatch:
         n = [len(s) for s in self.scores]
-        clipped = [min(max(int(s), _LONG[0]), _LONG[1]) for found in self.scores for s in found]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.rows, n)), pa.array(np.concatenate([*self.ids, np.zeros(0, np.int64)])), pa.array(clipped, pa.int64())], names=["query", "vec_id", "score"])
+        whole = [int(s) for found in self.scores for s in found]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.rows, n)), pa.array(np.concatenate([*self.ids, np.zeros(0, np.int64)])), pa.array(whole, pa.int64())], names=["query", "vec_id", "score"])
 
 
 def _numbers(batch: pa.RecordBatch) -> np.ndarray:
@@ -154,7 +154,7 @@ def best_matches(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
     Vectors that are null or hold a component that is null or, 1,024 fold, not finite take no part; of different lengths they don't
     meet. Rows are told apart by row, so one that repeats a query's id or vector can match it, and each row with a query's id
     is a query (with ``query_row`` its number). A null id is no query; as a match it stands last among equal scores. A score
-    beyond 64 bits becomes the nearest one that fits. An empty table gives an empty result; other columns are not looked at.
+    beyond 64 bits counts as the nearest one that fits. An empty table gives an empty result; other columns are not looked at.
     """
     single = vectors.schema[vector_column].dataType.simpleString() == "array<float>"
     numbers = "array<float>" if single else "array<double>"
