@@ -36,7 +36,13 @@ def _moments(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(d * d, d)), pa.array(i), pa.array(j), pa.array(m.ravel())], names=["d", "i", "j", "s"])
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, so that squares neither vanish nor pass all bounds; cosines stay what they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def _units(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -47,6 +53,8 @@ def _rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
     for d, part in sums.groupby("d"):
         m = np.zeros((int(d), int(d)))
         m[part["i"], part["j"]] = part["s"]
+        if not np.isfinite(m).all():
+            raise ValueError(f"no principal directions of the vectors with {d} components")
         out[int(d)] = np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy()
     return out
 
@@ -103,7 +111,7 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, threshold:
     near = np.flatnonzero(np.abs(values - threshold) < NEAR)
     keep = values >= threshold
     for k in near.tolist():
-        p, q = a[i[k]], b[j[k]]
+        p, q = _scaled(a[i[k]][None])[0], _scaled(b[j[k]][None])[0]
         keep[k] = float(p @ q) / float(np.sqrt(p @ p) * np.sqrt(q @ q)) >= threshold
     return i[keep], j[keep]
 
