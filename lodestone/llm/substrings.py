@@ -190,6 +190,7 @@ def _cut(window: int):
                 "n_removed": pa.array(removed[words.bounds[1:]] - removed[words.bounds[:-1]]),
                 "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts]),
                 "kept_text": pa.array(texts, pa.binary()).cast(pa.string()),
+                "text_key": chunk.docs["_key"],
             }
         )
 
@@ -197,7 +198,7 @@ def _cut(window: int):
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 13, base: int = 4, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text: every text without the words that an earlier document has.
+    """doc_id, n_words, n_removed, kept_sha256, kept_text, text_key: every text without the words that an earlier document has.
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a
     smaller id. Windows are judged on the input. kept_text joins the words that stay by one space.
@@ -210,12 +211,13 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Null and empty texts have no words: n_words and n_removed are 0, kept_text is empty. A text shorter
     than the window stays whole. Rows with a null id come back with their words, unjudged, and remove nothing.
-    Rows that repeat an id are one document to this rule: they don't remove each other's words.
+    Rows that repeat an id are one document to this rule: they don't remove each other's words, and each has a row with its own
+    text; ``text_key``, xxhash64 of the text, tells them apart.
     """
     source = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"))
     chars = text_chars(source, "_text")
     n_chunks, n_buckets = parts_for(chars, chunk_chars, 16), parts_for(chars, BUCKET_CHARS, 16)
-    named = source.where("_id is not null").select("_id", "_text", F.pmod(F.xxhash64("_id"), F.lit(n_chunks)).alias("chunk"))
+    named = source.where("_id is not null").select("_id", "_text", F.xxhash64("_text").alias("_key"), F.pmod(F.xxhash64("_id"), F.lit(n_chunks)).alias("chunk"))
     by_chunk = named.groupBy("chunk")
     before, replies = None, None
     lengths = level_lengths(window, base)
@@ -225,18 +227,21 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         sent = by_chunk.applyInArrow(first, _PAYLOAD) if replies is None else by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(later, _PAYLOAD)
         replies = sent.groupBy("bucket").applyInArrow(_counted(last), _PAYLOAD)
         before = length
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, text_key long"
     judged = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(_cut(window), schema)
     word = "[^\\x20\\x09-\\x0D]+"
-    plain = source.where("_id is null").select("_id", F.array_join(F.regexp_extract_all(F.coalesce("_text", F.lit("")), F.lit(f"({word})"), 1), " ").alias("t"), F.regexp_count(F.coalesce("_text", F.lit("")), F.lit(word)).cast("long").alias("n"))
-    return judged.union(plain.select("_id", "n", F.lit(0).cast("long"), F.sha2(F.col("t").cast("binary"), 256), "t"))
+    plain = source.where("_id is null").select("_id", F.xxhash64("_text").alias("_key"), F.array_join(F.regexp_extract_all(F.coalesce("_text", F.lit("")), F.lit(f"({word})"), 1), " ").alias("t"), F.regexp_count(F.coalesce("_text", F.lit("")), F.lit(word)).cast("long").alias("n"))
+    return judged.union(plain.select("_id", "n", F.lit(0).cast("long"), F.sha2(F.col("t").cast("binary"), 256), "t", "_key"))
 
 
 def deduplicated_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The documents with the words that stay as their text; documents of which nothing stays are left out."""
+    """The documents with the words that stay as their text; documents of which nothing stays are left out.
+
+    Rows that repeat an id keep their own texts, each without what documents with smaller ids have; equal rows stay as many.
+    """
     kept = without_repeats(docs, id_column, text_column, **options)
-    changed = kept.where("n_removed > 0 and doc_id is not null").select(F.col("doc_id").alias("_doc"), F.col("kept_text").alias("_kept")).dropDuplicates(["_doc"])
-    joined = docs.join(changed, docs[id_column] == changed["_doc"], "left")
+    changed = kept.where("n_removed > 0 and doc_id is not null").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("kept_text").alias("_kept")).dropDuplicates(["_doc", "_key"])
+    joined = docs.join(changed, (docs[id_column] == changed["_doc"]) & (F.xxhash64(docs[text_column].cast("string")) == changed["_key"]), "left")
     text = F.coalesce(F.col("_kept"), docs[text_column]).alias(text_column)
     rows = joined.select(*[text if c == text_column else docs[c] for c in docs.columns])
     return rows.where(F.col(text_column).rlike("[^\\x20\\x09-\\x0D]"))
