@@ -192,7 +192,7 @@ def packed(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text
     are packed each. An empty table gives an empty result; other columns are not looked at.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    pieces = checkpointed(source.mapInArrow(_pieces(tokenizer_path, sequence, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"))
+    pieces = checkpointed(source.mapInArrow(_pieces(tokenizer_path, sequence, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long").withColumn("row", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     slots: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     taken: dict[int, int] = defaultdict(int)
@@ -208,10 +208,10 @@ def packed(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text
 
     spark = docs.sparkSession
     groups = F.broadcast(spark.createDataFrame([(n, -(-c // RANKED)) for n, c in histogram.items()], "length long, groups long"))  # a row for each length
-    grouped = pieces.join(groups, "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), "groups"))
+    grouped = pieces.join(groups, "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "row"), "groups"))
     sizes = grouped.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).select("length", "part", "before")
-    ranked = grouped.withColumn("row", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")))
+    ranked = grouped.withColumn("row", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "row")))
     ranked = ranked.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("row") - 1)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(_placed(arrays), schema)

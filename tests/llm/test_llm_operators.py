@@ -520,3 +520,27 @@ def test_packing_is_longest_first_into_most_room():
             assert placed == Counter(lengths)
             # New packs take several of a length at once, so a few packs more or less than one at a time.
             assert abs(sum(c for _, c in found) - brute_packs(lengths, sequence)) <= max(1, 0.05 * brute_packs(lengths, sequence))
+
+
+def test_embeddings_of_extreme_size(spark):
+    """Vectors whose squares vanish or pass all bounds link by their directions, and spoil no others."""
+    rows = [(1, [1.0, 0.1]), (2, [1.0, 0.11]), (3, [0.1, 1.0]), (4, [0.11, 1.0]), (5, [1e-200, 1e-200]), (6, [1e-310, 1e-310]), (7, [1e200, 1e200]), (8, [1e308, -1e308]), (9, [1e-200, 0.0])]
+    got = embeddings.near_duplicate_vectors(spark.createDataFrame([(*r, "a") for r in rows], "vec_id long, embedding array<double>, label string")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (2, 1), 2: (2, 1), 3: (1, 3), 4: (1, 3), 5: (2, 5), 6: (2, 5), 7: (2, 5), 8: (0, 8), 9: (2, 1)}
+
+
+def test_deduplicated_documents_of_repeated_ids(spark):
+    shared = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, shared), (2, f"{shared} alpha beta"), (2, f"gamma {shared} delta"), (2, "untouched text of its own"), (2, "untouched text of its own"), (None, shared), (3, shared)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y", "z") for i, t in rows], SCHEMA)
+    got = sorted((r.doc_id or 0, r.text) for r in substrings.deduplicated_documents(docs, window=50).collect())
+    assert got == sorted([(0, shared), (1, shared), (2, "alpha beta"), (2, "gamma delta"), (2, "untouched text of its own"), (2, "untouched text of its own")])
+
+
+def test_packing_deals_null_ids_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 100)
+    docs = spark.createDataFrame([(None, "same text")] * 1500 + [(7, "other words")] * 1500, "doc_id long, text string")
+    rows = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), sequence=64).collect()
+    assert len(rows) == 3000
+    spans = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in itertools.pairwise(spans))
