@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import corpus, search, text
-from lodestone.plans import gaps, literals, scalars, stored, tables
+from lodestone.plans import gaps, literals, scalars, stored, tables, walks
 from lodestone.sources.tables import table
 
 def _on(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -97,6 +97,6 @@ ORACLES: dict[str, str] = {
     "worklist_collect": f'WITH {_LOG} SELECT DISTINCT natural_key FROM log WHERE "at"::DATE = (SELECT max("at"::DATE) FROM log) AND natural_key NOT IN (SELECT natural_key FROM obs)',
 }
 
-QUERIES |= scalars.QUERIES | tables.QUERIES | literals.QUERIES | stored.QUERIES | gaps.QUERIES
-ORACLES |= scalars.ORACLES | tables.oracles(_CHUNKS, _LINES) | literals.ORACLES | stored.oracles(_STRIPPED) | gaps.ORACLES
+QUERIES |= scalars.QUERIES | tables.QUERIES | literals.QUERIES | stored.QUERIES | gaps.QUERIES | walks.QUERIES
+ORACLES |= scalars.ORACLES | tables.oracles(_CHUNKS, _LINES) | literals.ORACLES | stored.oracles(_STRIPPED) | gaps.ORACLES | walks.ORACLES
 ORACLES |= {"liveness_stream": ORACLES["liveness_state"], "change_stream": ORACLES["change_events"]}
