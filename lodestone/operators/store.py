@@ -7,6 +7,7 @@ import re
 import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,14 +20,18 @@ from lodestone.operators.search import B, DEPTH, K1, fused, query_phrases, terms
 from lodestone.shipping import ship
 from lodestone.sources.log import exists
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 #: Hits that fusion keeps for the reranker, and further placements that a hit shows.
 KEPT, SHOWN = 40, 8
 #: Stems that a worker remembers.
 REMEMBERED = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 
-_PLACED = "source string, resource string, derived_sha string, doc_id long, at timestamp, title string, ordinal long, heading_path string, char_start long, char_end long, chunk_hash string, chunk_text string"
+_PLACED = "source string, resource string, blob_sha string, derived_sha string, doc_id long, at timestamp, title string, ordinal long, heading_path string, char_start long, char_end long, chunk_hash string, chunk_text string"
+_TABLES = {"chunk": "chunk_hash string, chunk_text string, chars long, dl long", "placement": _PLACED.rsplit(", ", 1)[0], "posting": "stem string, term string, chunk_hash string, dl int, positions array<int>"}
+#: What a generation takes out of those before it: placements by key, all of a source, passages without any placement left.
+_REMOVED = {"gone": "source string, resource string, derived_sha string", "cleared": "source string", "dead": "chunk_hash string"}
+_META = "seq long, generation string, full boolean, removes boolean, home string, schema_version int"
 _POSTED = "stem string, term string, chunk_hash string, dl int, positions array<int>"
 
 
@@ -52,17 +57,23 @@ def _cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return origin[k] + at - kept[k]
 
             for i, (path, a, b, piece) in enumerate(chunker.chunked(r["text"])):
-                rows.append((r["source"], r["resource"], r["derived_sha"], r["doc_id"], r["at"], r["title"], i, path, source(a), source(b - 1) + 1, hashlib.sha256(piece.encode()).hexdigest(), piece))
+                rows.append((r["source"], r["resource"], r["blob_sha"], r["derived_sha"], r["doc_id"], r["at"], r["title"], i, path, source(a), source(b - 1) + 1, hashlib.sha256(piece.encode()).hexdigest(), piece))
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _of_blobs(derived: DataFrame) -> DataFrame:
+    """Derivations with the blob that each was made of; one that names none is its own, so nothing supersedes it."""
+    return derived if "blob_sha" in derived.columns else derived.withColumn("blob_sha", F.col("derived_sha"))
+
+
 def passages(derived: DataFrame, learnt: DataFrame | None = None) -> DataFrame:
     """The placements of derivations, with their passages' texts: boilerplate of the source stripped, the rest chunked."""
     ship(derived.sparkSession)
+    derived = _of_blobs(derived)
     stripped = text.boilerplate_text(derived, learnt)
     marks = [F.transform("marks", lambda m: m["kept_from"]).alias("kept_from"), F.transform("marks", lambda m: m["source_from"]).alias("source_from")]
-    return stripped.select("source", "resource", "derived_sha", "doc_id", "at", "title", "text", *marks).mapInArrow(_cut, _PLACED)
+    return stripped.select("source", "resource", "blob_sha", "derived_sha", "doc_id", "at", "title", "text", *marks).mapInArrow(_cut, _PLACED)
 
 
 def _posted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,60 +101,131 @@ class IndexStore:
     """Index tables in a folder that all executors reach.
 
     Each build writes a generation of its own and is committed by one row of ``meta``: what a failed build has
-    written is never read, and a repeated build adds only what is missing.
+    written is never read, and a repeated build adds only what is missing. A generation may also take rows out of those
+    before it; readers merge, and ``compact`` writes what is in force as one generation. A ``snapshot`` reads the
+    generations that are in force when it is made, whatever is committed later.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, generations: list | None = None):
+        self.spark, self.folder, self._pinned = spark, folder.rstrip("/"), generations
 
-    def generations(self) -> list[str]:
-        """The generations in force: the last full one and all after it."""
+    def generations(self) -> list:
+        """The rows of ``meta`` in force: the last full generation and all after it."""
+        if self._pinned is not None:
+            return self._pinned
         if not exists(self.spark, f"{self.folder}/meta"):
             return []
-        rows = sorted(self.spark.read.parquet(f"{self.folder}/meta").collect(), key=lambda r: r["seq"])
+        rows = sorted(self.spark.read.schema(_META).parquet(f"{self.folder}/meta").collect(), key=lambda r: r["seq"])
         if any(r["schema_version"] != SCHEMA_VERSION for r in rows):
             raise ValueError(f"{self.folder} has another schema version than {SCHEMA_VERSION}")
         full = max((i for i, r in enumerate(rows) if r["full"]), default=0)
-        return [r["generation"] for r in rows[full:]]
+        return rows[full:]
 
-    def table(self, name: str) -> DataFrame:
-        """``chunk``, ``placement`` or ``posting``, over all generations in force."""
+    def snapshot(self) -> IndexStore:
+        return IndexStore(self.spark, self.folder, self.generations())
+
+    def fork(self, folder: str) -> IndexStore:
+        """An index of its own that begins with this one's generations; only their names are written."""
         found = self.generations()
-        schema = {"chunk": "chunk_hash string, chunk_text string, chars long, dl long", "placement": _PLACED.rsplit(", ", 1)[0], "posting": _POSTED}[name]
-        if not found:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{g}/{name}" for g in found])
+        if found:
+            self.spark.createDataFrame(found, _META).coalesce(1).write.parquet(f"{folder.rstrip('/')}/meta")
+        return IndexStore(self.spark, folder)
 
-    def _commit(self, parts: dict[str, DataFrame], full: bool) -> None:
-        name, seq = uuid.uuid4().hex, len(self.generations())
+    def _read(self, generations: list, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{g['home']}/{g['generation']}/{name}" for g in generations])
+
+    def table(self, name: str) -> DataFrame:
+        """``chunk``, ``placement`` or ``posting``: the rows of all generations in force that no later one takes out.
+
+        Generations between two that remove are read together, so plans grow with removals only, until the next compaction.
+        """
+        runs: list[list] = []
+        for g in self.generations():
+            if not runs or g["removes"]:
+                runs.append([])
+            runs[-1].append(g)
+        if not runs:
+            return self.spark.createDataFrame([], _TABLES[name])
+        parts = []
+        for i, run in enumerate(runs):
+            rows, later = self._read(run, name, _TABLES[name]), [r[0] for r in runs[i + 1 :]]
+            if later and name == "placement":
+                gone, cleared = (self._read(later, x, _REMOVED[x]).distinct() for x in ("gone", "cleared"))
+                rows = rows.join(gone, rows["source"].eqNullSafe(gone["source"]) & (rows["resource"] == gone["resource"]) & (rows["derived_sha"] == gone["derived_sha"]), "left_anti")
+                rows = rows.join(cleared, rows["source"].eqNullSafe(cleared["source"]), "left_anti")
+            elif later:
+                rows = rows.join(self._read(later, "dead", _REMOVED["dead"]).distinct(), "chunk_hash", "left_anti")
+            parts.append(rows.select(*[c.split()[0] for c in _TABLES[name].split(", ")]))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _commit(self, name: str, parts: dict[str, DataFrame], full: bool = False, removes: bool = False) -> None:
         for table, rows in parts.items():
             rows.write.parquet(f"{self.folder}/{name}/{table}")
-        if exists(self.spark, f"{self.folder}/meta"):
-            seq = self.spark.read.parquet(f"{self.folder}/meta").agg(F.max("seq")).first()[0] + 1
-        self.spark.createDataFrame([(seq, name, full, SCHEMA_VERSION)], "seq long, generation string, full boolean, schema_version int").coalesce(1).write.mode("append").parquet(f"{self.folder}/meta")
+        seq = max((r["seq"] for r in self.generations()), default=-1) + 1
+        self.spark.createDataFrame([(seq, name, full, removes, self.folder, SCHEMA_VERSION)], _META).coalesce(1).write.mode("append").parquet(f"{self.folder}/meta")
+
+    def _stored(self, name: str, rows: DataFrame) -> DataFrame:
+        """rows, written once under a generation that isn't committed yet, and read from there."""
+        path = f"{self.folder}/{name}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     def build(self, derived: DataFrame, learnt: DataFrame | None = None) -> None:
-        """Adds the derivations (see ``derivations``) that have no placement yet; bodies that are stored stay one."""
-        key = ["source", "resource", "derived_sha"]
-        have = self.table("placement").select(*key).distinct()
-        same = [derived[c].eqNullSafe(have[c]) for c in key]
-        missing = derived.join(have, same, "left_anti")
-        name = f"{self.folder}/{uuid.uuid4().hex}"
-        passages(missing, learnt).write.parquet(f"{name}/passage")  # read three times below, cut once
-        cut = self.spark.read.schema(_PLACED).parquet(f"{name}/passage")
-        fresh = cut.select("chunk_hash", "chunk_text").dropDuplicates(["chunk_hash"]).join(self.table("chunk").select("chunk_hash"), "chunk_hash", "left_anti")
-        fresh = fresh.select("*", F.length("chunk_text").cast("long").alias("chars"), F.size(terms(F.col("chunk_text"))).cast("long").alias("dl"))
+        """Adds the derivations (see ``derivations``) that have no placement yet; bodies that are stored stay one.
+
+        Of several derivations of one blob (``blob_sha``, where the column is there) at an address only the newest by time, then
+        hash, is in the index: an older one is not added, and one that is stored is taken out, with passages that nothing else has.
+        """
+        key, derived, now = ["source", "resource", "derived_sha"], _of_blobs(derived), self.snapshot()
+        name = uuid.uuid4().hex
+        placed = now.table("placement")
+        versions = placed.select(*key, "blob_sha", "at", F.lit(True).alias("stored")).unionByName(derived.select(*key, "blob_sha", F.col("at").cast("timestamp").alias("at"), F.lit(False).alias("stored"))).distinct()
+        one = versions.groupBy("source", "resource", "blob_sha", "derived_sha").agg(F.max("at").alias("at"), F.max("stored").alias("stored"))
+        each = one.groupBy("source", "resource", "blob_sha").agg(F.max(F.struct("at", "derived_sha")).alias("best"), F.collect_list(F.struct("derived_sha", "stored")).alias("all"))
+        judged = each.select("source", "resource", F.col("best.derived_sha").alias("best"), F.explode("all").alias("d")).select("source", "resource", "d.*", (F.col("d.derived_sha") == F.col("best")).alias("newest"))
+        add = F.col("newest") & ~F.col("stored")
+        judged = self._stored(f"{name}/judged", judged)  # a row an address and derivation
+        n, n_old, n_all = judged.agg(F.count_if(add), F.count_if(F.col("stored") & ~F.col("newest")), F.count(F.lit(1))).first()
+        few = n * 2 > n_all  # texts are matched with the shorter list, of what is added or of what isn't
+        listed = judged.where(~add if few else add).select(F.col("source").alias("s"), F.col("resource").alias("r"), F.col("derived_sha").alias("d"))
+        missing = derived.join(listed, derived["source"].eqNullSafe(F.col("s")) & (derived["resource"] == F.col("r")) & (derived["derived_sha"] == F.col("d")), "left_anti" if few else "left_semi")
+        cut = self._stored(f"{name}/passage", passages(missing, learnt))
+        fresh = cut.select("chunk_hash", "chunk_text").dropDuplicates(["chunk_hash"]).join(now.table("chunk").select("chunk_hash"), "chunk_hash", "left_anti")
+        fresh = self._stored(f"{name}/fresh", fresh.select("*", F.length("chunk_text").cast("long").alias("chars"), F.size(terms(F.col("chunk_text"))).cast("long").alias("dl")))
         # Sorted by stem over all files, so a search reads the few row groups of its stems; a frequent stem spans several files.
-        posted = fresh.select("chunk_hash", "chunk_text").mapInArrow(_posted, _POSTED)
-        posted = posted.repartitionByRange("stem", "term", "chunk_hash").sortWithinPartitions("stem", "term", "chunk_hash")
-        placed = cut.drop("chunk_text").dropDuplicates([*key, "ordinal", "chunk_hash"]).repartitionByRange("chunk_hash", "source", "resource").sortWithinPartitions("chunk_hash")
-        self._commit({"chunk": fresh.repartitionByRange("chunk_hash").sortWithinPartitions("chunk_hash"), "posting": posted, "placement": placed}, full=False)
-
-    def clear(self, source: str | None = None) -> None:
-        """Removes a source's placements and the passages that have none left; without a source all."""
-        placed = self.table("placement").where(F.lit(False) if source is None else ~F.col("source").eqNullSafe(source))
-        left = placed.select("chunk_hash").distinct()
-        self._commit({"placement": placed, "chunk": self.table("chunk").join(left, "chunk_hash", "left_semi"), "posting": self.table("posting").join(left, "chunk_hash", "left_semi").sortWithinPartitions("stem", "term", "chunk_hash")}, full=True)
+        # Sorting by ranges reads its input twice, so what is costly to make is stored first.
+        posted = self._stored(f"{name}/posted", fresh.select("chunk_hash", "chunk_text").mapInArrow(_posted, _POSTED))
+        parts = {
+            "chunk": fresh.repartitionByRange("chunk_hash").sortWithinPartitions("chunk_hash"),
+            "posting": posted.repartitionByRange("stem", "term", "chunk_hash").sortWithinPartitions("stem", "term", "chunk_hash"),
+            "placement": cut.drop("chunk_text").dropDuplicates([*key, "ordinal", "chunk_hash"]).repartitionByRange("chunk_hash", "source", "resource").sortWithinPartitions("chunk_hash"),
+        }
+        if n_old:
+            old = self._stored(f"{name}/gone", judged.where("stored and not newest").select(*key))
+            same = placed["source"].eqNullSafe(old["source"]) & (placed["resource"] == old["resource"]) & (placed["derived_sha"] == old["derived_sha"])
+            left = placed.join(old, same, "left_anti").select("chunk_hash").unionByName(cut.select("chunk_hash"))
+            parts["dead"] = placed.join(old, same, "left_semi").select("chunk_hash").distinct().join(left, "chunk_hash", "left_anti")
+            parts["cleared"] = self.spark.createDataFrame([], _REMOVED["cleared"])
+        self._commit(name, parts, removes=bool(n_old))
+
+    def clear(self, *source: str | None) -> None:
+        """Takes out a source's placements (None: those without a source) and the passages that have none left, by names alone; without a source all."""
+        none = {x: self.spark.createDataFrame([], schema) for x, schema in _TABLES.items()}
+        if not source:
+            self._commit(uuid.uuid4().hex, none, full=True)
+            return
+        placed = self.snapshot().table("placement")
+        own = F.col("source").eqNullSafe(F.lit(source[0]))
+        # One pass: passages with a placement in the source and none elsewhere.
+        dead = placed.groupBy("chunk_hash").agg(F.min(own).alias("only")).where("only").select("chunk_hash")
+        removed = {"gone": self.spark.createDataFrame([], _REMOVED["gone"]), "cleared": self.spark.createDataFrame([(source[0],)], _REMOVED["cleared"]), "dead": dead}
+        self._commit(uuid.uuid4().hex, none | removed, removes=True)
+
+    def compact(self) -> None:
+        """Writes what is in force as one generation, in the layout of a build."""
+        now = self.snapshot()
+        by = {"chunk": ["chunk_hash"], "posting": ["stem", "term", "chunk_hash"], "placement": ["chunk_hash", "source", "resource"]}
+        self._commit(uuid.uuid4().hex, {x: now.table(x).repartitionByRange(*order).sortWithinPartitions(*order) for x, order in by.items()}, full=True)
 
     def counts(self) -> DataFrame:
         """chunks, chars, placements, sources of the index."""
@@ -162,7 +244,7 @@ def word_search(store: IndexStore, query: str, depth: int = DEPTH, source: str |
     A term with punctuation inside is a phrase. Words match by their stems, or as they are. With a source only
     passages placed there are ranked; counts of documents are those of the whole index. No word, no hit.
     """
-    spark = store.spark
+    spark, store = store.spark, store.snapshot()
     phrases = [[stemmed(w) if stems else w for w in words] for words in query_phrases(query)]
     wanted = sorted({w for words in phrases for w in words})
     if not wanted:
@@ -218,6 +300,7 @@ def hybrid(store: IndexStore, query: str, vectors: DataFrame, asked: DataFrame,
     """
     from lodestone.operators.embed import reranked
 
+    store = store.snapshot()
     placed = store.table("placement")
     inside = placed if source is None else placed.where(F.col("source") == source)
     by_vector = vector_topk(vectors.join(inside.select("chunk_hash"), "chunk_hash", "left_semi"), asked, "chunk_hash")

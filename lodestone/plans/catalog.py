@@ -98,5 +98,5 @@ ORACLES: dict[str, str] = {
 }
 
 QUERIES |= scalars.QUERIES | tables.QUERIES | literals.QUERIES | stored.QUERIES | gaps.QUERIES | walks.QUERIES
-ORACLES |= scalars.ORACLES | tables.oracles(_CHUNKS, _LINES) | literals.ORACLES | stored.oracles(_STRIPPED) | gaps.ORACLES | walks.ORACLES
+ORACLES |= scalars.ORACLES | tables.oracles(_CHUNKS, _LINES) | literals.ORACLES | stored.oracles(_STRIPPED, _CHUNKS) | gaps.ORACLES | walks.ORACLES
 ORACLES |= {"liveness_stream": ORACLES["liveness_state"], "change_stream": ORACLES["change_events"]}

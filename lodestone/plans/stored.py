@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import embed, index, search, store, text
@@ -78,12 +78,31 @@ def chunks_in_source(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clear_source(spark: SparkSession, folder: str) -> DataFrame:
-    """The passages that are left when a source's placements are removed from a copy of the index."""
-    whole = index_of(spark, folder)
-    copy = store.IndexStore(spark, scratch(spark, "index"))
-    copy._commit({name: whole.table(name) for name in ("chunk", "placement", "posting")}, full=True)
-    copy.clear(SOURCE)
-    return copy.table("chunk").select("chunk_hash")
+    """The passages that are left when a source's placements are removed from a fork of the index."""
+    fork = index_of(spark, folder).fork(scratch(spark, "index"))
+    fork.clear(SOURCE)
+    return fork.table("chunk").select("chunk_hash")
+
+
+def index_supersedes(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages and their placements after every third turn of the conversations was extracted again, by a reader that keeps more.
+
+    The first reader drops a turn's first 40 characters. Some second readings come out of order: they are older, and change nothing.
+    """
+    turns = table(spark, folder, "conversations").where("text is not null and conv_id is not null and turn is not null")
+    address = F.concat(F.lit("turn/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    whole = turns.select(F.col("role").alias("source"), address.alias("resource"), F.sha2(F.col("text").cast("binary"), 256).alias("blob_sha"), (F.col("conv_id") * 10_000 + F.col("turn")).cast("long").alias("doc_id"), "conv_id", "turn", "text")
+    made = store.IndexStore(spark, scratch(spark, "index"))
+    nothing = spark.createDataFrame([], "source string, line string, n_docs long")
+
+    def extracted(rows: DataFrame, body: Column, at: Column) -> DataFrame:
+        text = F.regexp_replace(body, r"^\s+|\s+$", "")
+        return rows.select("source", "resource", "blob_sha", F.sha2(text.cast("binary"), 256).alias("derived_sha"), "doc_id", at.cast("timestamp").alias("at"), F.lit(None).cast("string").alias("title"), text.alias("text"))
+
+    made.build(extracted(whole, F.substring("text", 41, 1 << 30), F.lit("2026-01-02")), nothing)
+    late = F.when(F.col("turn") % 4 == 0, F.lit("2026-01-01")).otherwise(F.lit("2026-01-03"))
+    made.build(extracted(whole.where("(conv_id + turn) % 3 = 0"), F.col("text"), late), nothing)
+    return made.table("chunk").select("chunk_hash").join(made.table("placement"), "chunk_hash").groupBy("chunk_hash").agg(F.count(F.lit(1)).alias("placements"), F.count_distinct("source").alias("sources"))
 
 
 def hydrate_hits(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,7 +169,7 @@ def embed_chunks(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        index_build, index_terms, index_stats, index_report, index_empties, chunk_dedup, chunks_in_source, clear_source, hydrate_hits, bm25_search, bm25_in_source, bm25_stemmed, bm25_phrase,
+        index_build, index_terms, index_stats, index_report, index_empties, chunk_dedup, chunks_in_source, clear_source, index_supersedes, hydrate_hits, bm25_search, bm25_in_source, bm25_stemmed, bm25_phrase,
         vector_topk, vector_in_source, rrf_fusion, hybrid_search, search_coverage, worklist_embed, embed_chunks,
     )
 }
@@ -175,9 +194,12 @@ vector AS (SELECT chunk_hash, similarity, row_number() OVER (ORDER BY similarity
 fused AS (SELECT chunk_hash, round(sum(1 / (60 + rank)), 6) AS rrf_score, bool_or(w) AS in_bm25, bool_or(NOT w) AS in_vector FROM (SELECT chunk_hash, rank, true AS w FROM bm25 UNION ALL SELECT chunk_hash, rank, false FROM vector) GROUP BY 1)"""
 
 
-def oracles(chunks: str) -> dict[str, str]:
-    """SQL of the queries; ``chunks`` defines the relation chunk of stripped texts, in closed form: no text has headings or blank lines."""
+def oracles(chunks: str, closed: str) -> dict[str, str]:
+    """SQL of the queries; ``chunks`` defines the relation chunk of stripped texts, in closed form: no text has headings or blank lines. ``closed`` is that form over documents."""
+    read = "SELECT conv_id AS doc_id, role AS source, turn, regexp_replace(CASE WHEN (conv_id + turn) % 3 = 0 AND turn % 4 <> 0 THEN text ELSE substring(text, 41) END, '^\\s+|\\s+$', '', 'g') AS text FROM conversations"
+    turns = f"turns AS ({read}), {closed.replace('FROM documents', 'FROM turns')}"
     return {
+        "index_supersedes": f"WITH {turns} SELECT chunk_hash, count(*) AS placements, count(DISTINCT source) AS sources FROM chunk GROUP BY 1",
         "index_build": f"WITH {chunks}, spot AS (SELECT f.doc_id AS doc_id, n, sum(length(raw)) OVER w - length(raw) AS source_from, CASE WHEN kept THEN sum(CASE WHEN kept THEN length(raw) ELSE 0 END) OVER w - length(raw) END AS kept_from, kept FROM flagged f WINDOW w AS (PARTITION BY f.doc_id ORDER BY n)), lead_ AS (SELECT doc_id, length(t) - length(regexp_replace(t, '^\\s+', '')) AS lead_ FROM (SELECT doc_id, string_agg(raw, '' ORDER BY n) AS t FROM flagged WHERE kept GROUP BY 1)), start AS (SELECT c.source, c.doc_id, c.ordinal, c.chunk_hash, c.ordinal * 1200 + lead_ AS o FROM chunk c JOIN lead_ USING (doc_id)) SELECT source, doc_id, ordinal, chunk_hash, (SELECT arg_max(source_from - kept_from, kept_from) FROM spot WHERE spot.doc_id = start.doc_id AND kept AND kept_from <= o)::BIGINT + o AS char_start, NULL::VARCHAR AS title FROM start",
         "index_terms": f"WITH {chunks}, own AS (SELECT chunk_hash, unnest(regexp_extract_all(lower(any_value(chunk_text)), '([\\p{{L}}\\p{{N}}]+)', 1)) AS term FROM chunk GROUP BY 1) SELECT term, count(DISTINCT chunk_hash) AS passages, count(*) AS places FROM own GROUP BY 1",
         "index_stats": f"WITH {chunks} SELECT count(*) AS chunks, sum(chars)::BIGINT AS chars, sum(n)::BIGINT AS placements, (SELECT count(DISTINCT source) FROM chunk) AS sources FROM (SELECT chunk_hash, count(*) AS n, any_value(length(chunk_text)) AS chars FROM chunk GROUP BY 1)",

@@ -124,6 +124,48 @@ def test_index_builds_only_what_is_missing(spark, tmp_path):
     assert made.counts().first().placements == 0
 
 
+def _read(spark, rows, version=None):
+    """Derivations (id, text, time, blob) at an address each."""
+    docs = spark.createDataFrame([(i, t, "a" if i % 2 else "b", at, blob) for i, t, at, blob in rows], "doc_id long, text string, source string, at timestamp, blob_sha string")
+    made = store.derivations(docs, F.col("at"))
+    return made.join(docs.select("doc_id", "blob_sha"), "doc_id").select(*made.columns, "blob_sha")
+
+
+def test_newer_extractions_supersede(spark, tmp_path):
+    day = lambda n: datetime.datetime(2026, 1, n, tzinfo=UTC)
+    made = store.IndexStore(spark, str(tmp_path / "index"))
+    found = lambda index, q: {r.chunk_hash for r in store.word_search(index, q).collect()}
+    made.build(_read(spark, [(1, "the budget", day(1), "x"), (1, "the zoning", day(2), "x"), (2, "the budget", day(1), "y"), (3, "shared budget", None, "z"), (4, "shared budget", day(3), "w")]))
+    assert len(found(made, "zoning")) == 1 and len(found(made, "budget")) == 2  # one of two extractions of a blob; others have the word too
+    before = made.snapshot()
+    made.build(_read(spark, [(2, "the harbour", day(2), "y"), (3, "better harbour", day(1), "z"), (1, "the budget", day(1), "x")]))
+    assert len(found(made, "harbour")) == 2 and len(found(made, "zoning")) == 1
+    assert {r.chunk_text for r in made.table("chunk").collect()} == {"the zoning", "the harbour", "better harbour", "shared budget"}  # another address still has the last
+    assert len(found(before, "budget")) == 2 and not found(before, "harbour")  # a snapshot stays what it was
+    made.build(_read(spark, [(2, "the budget", day(1), "y"), (1, "the budget", day(1), "x")]))
+    assert "the budget" not in {r.chunk_text for r in made.table("chunk").collect()}  # a rebuild doesn't bring it back
+    made.build(_read(spark, [(2, "the budget", day(9), "y")]))
+    assert {r.chunk_text for r in made.table("chunk").collect()} == {"the zoning", "the budget", "better harbour", "shared budget"}
+    live = {x: sorted(map(str, made.table(x).collect())) for x in ("chunk", "placement", "posting")}
+    made.compact()
+    assert {x: sorted(map(str, made.table(x).collect())) for x in live} == live and len(made.generations()) == 1
+
+
+def test_clearing_a_source_writes_names_alone(spark, tmp_path):
+    rows = [(i, f"text number {i // 2} " * 40, datetime.datetime(2026, 1, 1, tzinfo=UTC), f"b{i}") for i in range(60)] + [(100, "only here", None, "c")]
+    made = store.IndexStore(spark, str(tmp_path / "index"))
+    made.build(_read(spark, rows))
+    fork = made.fork(str(tmp_path / "fork"))
+    fork.clear("b")
+    texts = {r.chunk_text.split(" text")[0] for r in fork.table("chunk").collect()}
+    assert "only here" not in texts and len(texts) == 30 and {r.source for r in fork.table("placement").collect()} == {"a"}
+    assert not fork.table("posting").where("term = 'only'").count() and made.table("posting").where("term = 'only'").count() == 1
+    fork.clear("a")
+    assert fork.counts().first().chunks == 0 and made.counts().first().placements == 61
+    fork.build(_read(spark, rows[:2]))
+    assert fork.counts().first().placements == 2 and fork.counts().first().chunks == 1
+
+
 def test_an_unfinished_build_is_not_read(spark, tmp_path):
     made = _indexed(spark, tmp_path / "index", ["one two", "three"])
     broken = spark.createDataFrame([(7, "x", "s")], "doc_id long, text string, source string").withColumn("text", F.raise_error(F.lit("lost")))
