@@ -1,10 +1,10 @@
-"""Passages in closed form, queries, cosine search, and fusion by reciprocal rank; the stored index is in `store`."""
+"""Passages in closed form, queries, and fusion by reciprocal rank; the stored index is in `store`."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TARGET, RUNT = 1200, 80
@@ -42,18 +42,6 @@ def query_phrases(query: str) -> list[list[str]]:
     return [words for words in found if words]
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def vector_topk(vectors: DataFrame, query: DataFrame, key: str, depth: int = DEPTH) -> DataFrame:
-    """key, similarity, rank of the vectors nearest to the query's one row by cosine."""
-    q = query.select(F.col("embedding").alias("q"))
-    cosine = dot(F.col("embedding"), F.col("q")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("q"), F.col("q")))
-    best = vectors.join(F.broadcast(q)).select(key, F.round(cosine, 6).alias("similarity")).orderBy(F.desc("similarity"), key).limit(depth)
-    return best.select(key, "similarity", F.row_number().over(Window.orderBy(F.desc("similarity"), key)).cast("long").alias("rank"))
-
-
 def fused(words: DataFrame, vectors: DataFrame) -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists of chunk_hash."""
     both = words.select("chunk_hash", "rank", F.lit(True).alias("w")).unionByName(vectors.select("chunk_hash", "rank", F.lit(False).alias("w")))

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from lodestone.functions.responses import first_heading
 from lodestone.functions.stem import stemmed
 from lodestone.operators import chunker, text
-from lodestone.operators.search import B, DEPTH, K1, fused, query_phrases, terms, vector_topk
+from lodestone.operators.search import B, DEPTH, K1, fused, query_phrases, terms
+from lodestone.operators.vectors import VectorStore, ranked
 from lodestone.shipping import ship
 from lodestone.sources.log import exists
 
@@ -291,11 +292,25 @@ def first_placements(placed: DataFrame, hits: list[str], shown: int = SHOWN) ->
     return few.join(total, "chunk_hash")
 
 
-def hybrid(store: IndexStore, query: str, vectors: DataFrame, asked: DataFrame, limit: int = 10, source: str | None = None, reranker=None, snippet: int = 400, stems: bool = True) -> DataFrame:
+def vector_search(store: IndexStore, vectors: VectorStore, query: list[float], depth: int = DEPTH, source: str | None = None) -> DataFrame:
+    """chunk_hash, similarity, rank of the passages nearest to a vector by cosine; vectors of passages no longer in the index are left out.
+
+    Without a source the store's best are checked against the index, a few hundred names at most in most cases; within one
+    every vector's score meets the source's passages.
+    """
+    store = store.snapshot()
+    if source is not None:
+        inside = store.table("placement").where(F.col("source") == source).select("chunk_hash")
+        return ranked(vectors.scores(query).join(inside, "chunk_hash", "left_semi"), depth)
+    present = lambda hashes: {r["chunk_hash"] for r in store.table("chunk").select("chunk_hash").where(F.col("chunk_hash").isin(hashes)).collect()}
+    rows = [(h, s, i) for i, (h, s) in enumerate(vectors.top(query, depth, present), 1)]
+    return store.spark.createDataFrame(rows, "chunk_hash string, similarity double, rank long")
+
+
+def hybrid(store: IndexStore, query: str, vectors: VectorStore, asked: list[float], limit: int = 10, source: str | None = None, reranker=None, snippet: int = 400, stems: bool = True) -> DataFrame:
     """The best passages of a query by words and by vector: fused by rank, reranked where a reranker is given, with provenance.
 
-    ``vectors`` (chunk_hash, embedding) of passages no longer in the index are left out, and so are those outside
-    ``source``; nothing is fetched deeper to make up for them. ``reranker`` scores a list of at most 40 texts; without
+    Both arms rank 100 passages of the index, or of ``source`` in it (see ``word_search``, ``vector_search``). ``reranker`` scores a list of at most 40 texts; without
     one, or if it fails, ranks stand and ``no_rerank`` says why.
     """
     from lodestone.operators.embed import reranked
@@ -303,7 +318,7 @@ def hybrid(store: IndexStore, query: str, vectors: DataFrame, asked: DataFrame,
     store = store.snapshot()
     placed = store.table("placement")
     inside = placed if source is None else placed.where(F.col("source") == source)
-    by_vector = vector_topk(vectors.join(inside.select("chunk_hash"), "chunk_hash", "left_semi"), asked, "chunk_hash")
+    by_vector = vector_search(store, vectors, asked, source=source)
     both = fused(word_search(store, query, source=source, stems=stems), by_vector)
     best = both.orderBy(F.desc("rrf_score"), "chunk_hash").limit(max(KEPT, limit)).collect()  # 40 rows
     texts = {r["chunk_hash"]: r["chunk_text"] for r in store.table("chunk").where(F.col("chunk_hash").isin([r["chunk_hash"] for r in best])).collect()} if best else {}

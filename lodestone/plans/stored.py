@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import embed, index, search, store, text
+from lodestone.operators.vectors import VectorStore
 from lodestone.sources.log import scratch
 from lodestone.sources.tables import table
 
 #: What the searches ask, and within which source; the words of WORDS are no phrase.
 WORDS, PHRASES, SOURCE = "the and er", "the and-the", "src1"
 _built: dict[tuple[str, str], str] = {}
+_vectors: dict[tuple[str, str], str] = {}
 
 
 def index_of(spark: SparkSession, folder: str) -> store.IndexStore:
@@ -33,14 +35,28 @@ def _placed(spark: SparkSession, folder: str) -> DataFrame:
     return index_of(spark, folder).table("placement")
 
 
-def _vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """A vector of each passage that begins a document: the table has one for each document, of the smallest where several begin alike."""
-    first = _placed(spark, folder).where("ordinal = 0").select(F.col("doc_id").alias("vec_id"), "chunk_hash")
-    return table(spark, folder, "embeddings").join(first, "vec_id").groupBy("chunk_hash").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+def vectors_of(spark: SparkSession, folder: str) -> VectorStore:
+    """Vectors of all passages of the documents that the table has one for, stored once an application; and stale ones, of passages that the index never had.
+
+    A passage's vector is its document's, turned by as many places as its ordinal says; of several placements the first counts.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _vectors:
+        made = VectorStore(spark, scratch(spark, "vectors"))
+        own = table(spark, folder, "embeddings").where("vec_id is not null and embedding is not null").select(F.col("vec_id").alias("doc_id"), "embedding")
+        turn = F.col("ordinal") % F.size("embedding")
+        turned = F.concat(F.slice("embedding", turn + 1, F.size("embedding")), F.slice("embedding", F.lit(1), turn))
+        placed = _placed(spark, folder).select("doc_id", "ordinal", "chunk_hash").join(own, "doc_id")
+        found = placed.groupBy("chunk_hash").agg(F.min_by(turned, F.struct("doc_id", "ordinal")).alias("vector"))
+        stale = own.where("doc_id % 10 = 0").select(F.sha2(F.concat(F.lit("stale "), F.col("doc_id").cast("string")).cast("binary"), 256).alias("chunk_hash"), F.col("embedding").alias("vector"))
+        dims = own.select(F.size("embedding").alias("n")).first()
+        made.append(found.unionByName(stale), dims["n"] if dims else 0)
+        _vectors[key] = made.folder
+    return VectorStore(spark, _vectors[key])
 
 
-def _asked(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "embeddings").where("vec_id = 0").limit(1)
+def _asked(spark: SparkSession, folder: str) -> list[float]:
+    return list(table(spark, folder, "embeddings").where("vec_id = 0").first()["embedding"])
 
 
 def index_build(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,32 +148,34 @@ def bm25_phrase(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return search.vector_topk(table(spark, folder, "embeddings"), _asked(spark, folder), "vec_id")
+    """The passages nearest to a vector; stale vectors lie nearer, and are left out."""
+    return store.vector_search(index_of(spark, folder), vectors_of(spark, folder), _asked(spark, folder))
 
 
 def vector_in_source(spark: SparkSession, folder: str) -> DataFrame:
-    inside = _placed(spark, folder).where(F.col("source") == SOURCE).select("chunk_hash")
-    return search.vector_topk(_vectors(spark, folder).join(inside, "chunk_hash", "left_semi"), _asked(spark, folder), "chunk_hash")
+    return store.vector_search(index_of(spark, folder), vectors_of(spark, folder), _asked(spark, folder), source=SOURCE)
 
 
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    return search.fused(bm25_search(spark, folder), search.vector_topk(_vectors(spark, folder), _asked(spark, folder), "chunk_hash"))
+    return search.fused(bm25_search(spark, folder), vector_topk(spark, folder))
 
 
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best passages by words and by vector, with their provenance; no reranker is at hand, as ``no_rerank`` says."""
     made = index_of(spark, folder)
-    return store.hybrid(made, WORDS, _vectors(spark, folder), _asked(spark, folder), stems=False).drop("also_at")
+    return store.hybrid(made, WORDS, vectors_of(spark, folder), _asked(spark, folder), stems=False).drop("also_at")
 
 
 def search_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = _vectors(spark, folder).select("chunk_hash", F.lit(1).alias("v"))
-    return index_of(spark, folder).table("chunk").select("chunk_hash").join(vectors, "chunk_hash", "left").agg(F.count(F.lit(1)).alias("total_chunks"), F.count("v").alias("vectors"))
+    """Passages, those with a vector, and vectors without a passage."""
+    chunks = index_of(spark, folder).table("chunk").select("chunk_hash", F.lit(1).alias("c"))
+    both = chunks.join(vectors_of(spark, folder).hashes().withColumn("v", F.lit(1)), "chunk_hash", "full")
+    return both.agg(F.count("c").alias("total_chunks"), F.count(F.col("c") + F.col("v")).alias("vectors"), F.count_if(F.col("c").isNull()).alias("stale"))
 
 
 def worklist_embed(spark: SparkSession, folder: str) -> DataFrame:
     """Passages without a vector, shortest first."""
-    missing = index_of(spark, folder).table("chunk").select("chunk_hash", "chars").join(_vectors(spark, folder), "chunk_hash", "left_anti")
+    missing = index_of(spark, folder).table("chunk").select("chunk_hash", "chars").join(vectors_of(spark, folder).hashes(), "chunk_hash", "left_anti")
     return missing.orderBy("chars", "chunk_hash")
 
 
@@ -188,7 +206,7 @@ bm25 AS (SELECT chunk_hash, score, row_number() OVER (ORDER BY score DESC, chunk
 _COSINE = "round(list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6)"
 _VECTOR = f"""
 q AS (SELECT embedding FROM embeddings WHERE vec_id = 0 LIMIT 1),
-vec AS (SELECT chunk_hash, arg_min(embedding, vec_id) AS embedding FROM embeddings JOIN chunk ON doc_id = vec_id AND ordinal = 0 GROUP BY 1),
+vec AS (SELECT chunk_hash, arg_min(list_concat(embedding[k + 1:], embedding[:k]), (doc_id, ordinal)) AS embedding FROM (SELECT *, ordinal % len(embedding) AS k FROM embeddings JOIN chunk ON doc_id = vec_id) GROUP BY 1),
 near AS (SELECT chunk_hash, {_COSINE} AS similarity FROM vec a, q ORDER BY 2 DESC, 1 LIMIT 100),
 vector AS (SELECT chunk_hash, similarity, row_number() OVER (ORDER BY similarity DESC, chunk_hash) AS rank FROM near),
 fused AS (SELECT chunk_hash, round(sum(1 / (60 + rank)), 6) AS rrf_score, bool_or(w) AS in_bm25, bool_or(NOT w) AS in_vector FROM (SELECT chunk_hash, rank, true AS w FROM bm25 UNION ALL SELECT chunk_hash, rank, false FROM vector) GROUP BY 1)"""
@@ -212,10 +230,10 @@ def oracles(chunks: str, closed: str) -> dict[str, str]:
         "bm25_search": f"WITH {chunks}, {_BM25} SELECT * FROM bm25",
         "bm25_in_source": f"WITH {chunks}, {_BM25}, inside AS (SELECT * FROM scored WHERE chunk_hash IN (SELECT chunk_hash FROM chunk WHERE source = '{SOURCE}') ORDER BY 2 DESC, 1 LIMIT 100) SELECT *, row_number() OVER (ORDER BY score DESC, chunk_hash) AS rank FROM inside",
         "bm25_phrase": f"WITH {chunks}, own AS (SELECT chunk_hash, regexp_extract_all(lower(any_value(chunk_text)), '([\\p{{L}}\\p{{N}}]+)', 1) AS t FROM chunk GROUP BY 1), tf AS (SELECT chunk_hash, len(t) AS dl, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS tf FROM own), total AS (SELECT count(*) AS n, avg(dl) AS avgdl, count_if(tf > 0) AS df FROM tf), best AS (SELECT chunk_hash, round(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM tf, total WHERE tf > 0 ORDER BY 2 DESC, 1 LIMIT 100) SELECT *, row_number() OVER (ORDER BY score DESC, chunk_hash) AS rank FROM best",
-        "vector_topk": f"WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0 LIMIT 1), near AS (SELECT vec_id, {_COSINE} AS similarity FROM embeddings a, q ORDER BY 2 DESC, 1 LIMIT 100) SELECT *, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM near",
+        "vector_topk": f"WITH {chunks}, {_BM25}, {_VECTOR} SELECT * FROM vector",
         "vector_in_source": f"WITH {chunks}, {_BM25}, {_VECTOR}, inside AS (SELECT chunk_hash, {_COSINE} AS similarity FROM vec a, q WHERE chunk_hash IN (SELECT chunk_hash FROM chunk WHERE source = '{SOURCE}') ORDER BY 2 DESC, 1 LIMIT 100) SELECT *, row_number() OVER (ORDER BY similarity DESC, chunk_hash) AS rank FROM inside",
         "rrf_fusion": f"WITH {chunks}, {_BM25}, {_VECTOR} SELECT * FROM fused",
         "hybrid_search": f"WITH {chunks}, {_BM25}, {_VECTOR}, top AS (SELECT *, row_number() OVER (ORDER BY rrf_score DESC, chunk_hash) AS rank FROM fused ORDER BY rank LIMIT 10) SELECT rank, chunk_hash, any_value(rrf_score) AS score, arg_min(source, struct_pack(s := coalesce(source, ''), d := doc_id, o := ordinal)) AS source, arg_min(doc_id, struct_pack(s := coalesce(source, ''), d := doc_id, o := ordinal)) AS doc_id, arg_min(ordinal, struct_pack(s := coalesce(source, ''), d := doc_id, o := ordinal)) AS ordinal, count(*) - 1 AS also_at_total, any_value(CASE WHEN length(chunk_text) <= 400 THEN chunk_text ELSE substring(chunk_text, 1, 400) || '…' END) AS snippet, 'bm25+vector→rrf' AS method, 'no reranker' AS no_rerank FROM top JOIN chunk USING (chunk_hash) GROUP BY 1, 2",
-        "search_coverage": f"WITH {chunks} SELECT count(DISTINCT chunk_hash) AS total_chunks, count(DISTINCT CASE WHEN ordinal = 0 AND doc_id IN (SELECT vec_id FROM embeddings) THEN chunk_hash END) AS vectors FROM chunk",
-        "worklist_embed": f"WITH {chunks} SELECT chunk_hash, any_value(length(chunk_text)) AS chars FROM chunk WHERE chunk_hash NOT IN (SELECT chunk_hash FROM chunk WHERE ordinal = 0 AND doc_id IN (SELECT vec_id FROM embeddings)) GROUP BY 1",
+        "search_coverage": f"WITH {chunks} SELECT count(DISTINCT chunk_hash) AS total_chunks, count(DISTINCT CASE WHEN doc_id IN (SELECT vec_id FROM embeddings) THEN chunk_hash END) AS vectors, (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0) AS stale FROM chunk",
+        "worklist_embed": f"WITH {chunks} SELECT chunk_hash, any_value(length(chunk_text)) AS chars FROM chunk WHERE chunk_hash NOT IN (SELECT chunk_hash FROM chunk WHERE doc_id IN (SELECT vec_id FROM embeddings)) GROUP BY 1",
     }

@@ -14,6 +14,7 @@ from lodestone.functions.cron import Cron, jitter_offset
 from lodestone.functions.records import is_records
 from lodestone.functions.stem import stemmed
 from lodestone.operators import addresses, captions, chunker, collect, corpus, crumbs, embed, index, reader, runs, store, strategies, text
+from lodestone.operators.vectors import VectorStore
 from lodestone.plans import stored
 from lodestone.sources import log as sources
 from lodestone.streaming import log as streams
@@ -174,11 +175,43 @@ def test_an_unfinished_build_is_not_read(spark, tmp_path):
     assert made.counts().first().chunks == 2
 
 
+def test_vector_store(spark, tmp_path, monkeypatch):
+    """Blocks hold each passage once, other widths are refused, and the nearest are those of a plain sort, however many are stale."""
+    import numpy as np
+
+    from lodestone.operators import vectors as V
+
+    monkeypatch.setattr(V, "BLOCK", 7)
+    rng = np.random.default_rng(0)
+    rows = [(f"h{i:03}", [float(x) for x in np.float32(rng.normal(size=5))]) for i in range(300)] + [("zero", [0.0] * 5)]
+    rows += [(f"t{i}", rows[0][1]) for i in range(40)]  # ties
+    kept = VectorStore(spark, str(tmp_path / "vectors"))
+    assert kept.hashes().count() == 0 and kept.top([1.0] * 5, 3, set) == []
+    frame = lambda some: spark.createDataFrame([*some, (None, [1.0] * 5)], "chunk_hash string, vector array<double>").repartition(6)
+    kept.append(frame(rows[:200]), 5)
+    kept.append(frame(rows[150:] + rows[-3:]), 5)
+    assert sorted(r.chunk_hash for r in kept.hashes().collect()) == sorted(h for h, _ in rows)
+    q = [float(x) for x in rng.normal(size=5)]
+    cosine = lambda v: round(float(np.dot(v, q) / np.sqrt(np.dot(v, v) * np.dot(q, q))), 6)
+    for depth, stale in ((10, 0), (10, 60), (400, 5)):
+        order = sorted(((h, cosine(v)) for h, v in rows if h != "zero"), key=lambda x: (-x[1], x[0]))
+        gone = {h for h, _ in order[:stale]}
+        got = kept.top(q, depth, lambda hashes, gone=gone: set(hashes) - gone)
+        assert [h for h, _ in got] == [h for h, _ in order if h not in gone][:depth] and [s for _, s in got] == pytest.approx([s for h, s in order if h not in gone][:depth], abs=2e-6)
+    assert kept.scores(q).count() == len(rows) - 1
+    with pytest.raises(ValueError, match="of 5 numbers"):
+        kept.append(frame(rows[:1]), 4)
+    with pytest.raises(Exception, match="finite"):
+        kept.append(frame([("new", [1.0] * 4)]), 5)
+    with pytest.raises(Exception, match="finite"):
+        kept.append(frame([("nan", [float("nan")] * 5)]), 5)
+
+
 def test_hybrid_reranks_and_says_why_not(spark, tmp_path):
     made = _indexed(spark, tmp_path / "index", ["alpha beta", "alpha gamma", "alpha delta"])
     hashes = {r.chunk_text: r.chunk_hash for r in made.table("chunk").collect()}
-    vectors = spark.createDataFrame([(hashes["alpha beta"], [1.0, 0.0]), (hashes["alpha gamma"], [0.0, 1.0]), ("gone", [1.0, 0.0])], "chunk_hash string, embedding array<double>")
-    asked = spark.createDataFrame([([1.0, 0.1],)], "embedding array<double>")
+    vectors, asked = VectorStore(spark, str(tmp_path / "vectors")), [1.0, 0.1]
+    vectors.append(spark.createDataFrame([(hashes["alpha beta"], [1.0, 0.0]), (hashes["alpha gamma"], [0.0, 1.0]), ("gone", [1.0, 0.0])], "chunk_hash string, vector array<double>"), 2)
     plain = store.hybrid(made, "alpha", vectors, asked).orderBy("rank").collect()
     assert plain[0].chunk_hash == hashes["alpha beta"] and len(plain) == 3 and plain[0].method == "bm25+vector→rrf" and plain[0].no_rerank
     better = store.hybrid(made, "alpha", vectors, asked, reranker=lambda texts: [float("delta" in t) for t in texts]).orderBy("rank").collect()
