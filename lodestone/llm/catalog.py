@@ -1,6 +1,6 @@
 """The queries of this folder's operators and their SQL, as ``__spark_entry__`` registers them.
 
-op3 to op6 and op8 to op10 have no SQL; tests/llm holds them against brute-force versions.
+op3 to op6, op9 and op10 have no SQL; tests/llm holds them against brute-force versions.
 """
 
 from __future__ import annotations
