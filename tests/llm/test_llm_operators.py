@@ -121,11 +121,17 @@ def test_quality(docs, rows, empty):
     assert perplexity.judged(empty).count() == 0
 
 
-def brute_kneser_ney(grams, order, symbols):
-    """Interpolated modified Kneser-Ney from a Counter of tuples: the probability of a symbol after a context, as a function."""
-    counts = {order: dict(grams)}
+def brute_kneser_ney(grams, order, symbols, least=1):
+    """Interpolated modified Kneser-Ney from a Counter of tuples: the probability of a symbol after a context, as a function.
+
+    Of each length only n-grams that occur ``least`` times are stored; discounts and totals are those of all.
+    """
+    counts, occur = {order: dict(grams)}, {order: Counter(grams)}
     for n in range(order - 1, 0, -1):
         counts[n] = dict(Counter(g[1:] for g in counts[n + 1]))
+        occur[n] = Counter()
+        for g, c in occur[n + 1].items():
+            occur[n][g[1:]] += c
 
     def discounts(n):
         n1, n2, n3, n4 = (sum(v == k for v in counts[n].values()) for k in (1, 2, 3, 4))
@@ -140,30 +146,66 @@ def brute_kneser_ney(grams, order, symbols):
         if not n:
             return 1 / symbols
         after = {g: c for g, c in counts[n].items() if g[:-1] == gram[:-1]}
-        if not after:
-            return p(gram[1:])
-        total = sum(after.values())
-        own = after.get(gram, 0)
-        take = lambda c: ds[n][min(c, 3) - 1]
-        return (max(own - take(own), 0) if own else 0) / total + sum(map(take, after.values())) / total * p(gram[1:])
+        own = {g: (c - ds[n][min(c, 3) - 1]) / sum(after.values()) for g, c in after.items() if occur[n][g] >= least}
+        return own.get(gram, 0) + (1 - sum(own.values())) * p(gram[1:])
 
     return p
 
 
+def levels_of(codes, order):
+    """The levels of a model that stores every n-gram."""
+    levels, none = [], (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    grams, counts = np.unique(codes, return_counts=True)
+    for n in range(order, 0, -1):
+        levels.insert(0, perplexity.Level(grams, counts, np.ones(len(grams)), none, np.bincount(counts, minlength=5)[1:5]))
+        grams, counts = np.unique(perplexity.lower_order(grams, n - 1), return_counts=True)
+    return levels
+
+
+def split(code, order):
+    return tuple(int(code) >> 16 * k & 0xFFFF for k in range(order - 1, -1, -1))
+
+
 def test_kneser_ney():
     rng = np.random.default_rng(0)
     text = np.array([97, 98, 99, 0x431, 0x4E1C], np.uint16)[rng.integers(0, 5, 400)]
     codes, _ = perplexity.gram_codes(text, np.array([0, 400]), 3)
-    model = perplexity.kneser_ney(*np.unique(codes, return_counts=True), 3)
-    split = lambda c: tuple(int(c) >> 16 * k & 0xFFFF for k in (2, 1, 0))
-    p = brute_kneser_ney(Counter(map(split, codes)), 3, 2**16)
+    model = perplexity.kneser_ney(levels_of(codes, 3))
+    p = brute_kneser_ney(Counter(split(c, 3) for c in codes), 3, 2**16)
     odd = [*np.unique(codes)[:60].tolist(), 97 << 32 | 98 << 16 | 0x7A, 0x7A << 32 | 0x7A << 16 | 97, 0x7A << 32 | 98 << 16 | 97]
-    assert np.allclose(10 ** model.score(np.array(odd, np.uint64)).astype(float), [p(split(c)) for c in odd], rtol=1e-4)
+    assert np.allclose(10 ** model.score(np.array(odd, np.uint64)).astype(float), [p(split(c, 3)) for c in odd], rtol=1e-4)
     for context in (int(codes[50]) >> 16, 0x7A << 16 | 97, 0x7A << 16 | 0x7B):
         every = np.uint64(context) << np.uint64(16) | np.arange(2**16, dtype=np.uint64)
         assert abs((10 ** model.score(every).astype(float)).sum() - 1) < 1e-3
 
 
+@pytest.mark.parametrize("most_grams", [1 << 20, 300])
+def test_models_discount_by_all_counts(spark, most_grams):
+    """Counted by Spark, rare n-grams stored or not: as brute force, and each context's probabilities sum to one."""
+    from pyarrow import array
+
+    from lodestone.llm.textcore import Words, column_bytes
+
+    rng = np.random.default_rng(5)
+    pool = ["".join(rng.choice(list("abcdé東"), rng.integers(1, 6))) for _ in range(60)]
+    texts = [" ".join(rng.choice(pool, 40, p=1 / np.arange(1, 61) / sum(1 / np.arange(1, 61)))) for _ in range(60)]
+    models = perplexity.language_models(spark.createDataFrame([("en", t) for t in texts], "lang string, text string"), most_grams=most_grams, spread=False)
+    words = Words(*column_bytes(array(texts)))
+    symbols, bounds = perplexity.folded(words)
+    codes, doc = perplexity.gram_codes(symbols, bounds, 4)
+    for half in (0, 1):
+        mine = codes[(perplexity.halves(words, words.hashes()) == half)[doc]]
+        least = max(1, int(np.ceil(len(mine) / most_grams)))
+        p = brute_kneser_ney(Counter(split(c, 4) for c in mine), 4, 2**16, least)
+        some = rng.choice(np.unique(codes), 150, replace=False)
+        model = models.of("en", half)
+        assert np.allclose(10 ** model.score(some).astype(float), [p(split(c, 4)) for c in some], rtol=1e-3)
+        for context in some[:3]:
+            every = context >> np.uint64(16) << np.uint64(16) | np.arange(2**16, dtype=np.uint64)
+            assert abs((10 ** model.score(every).astype(float)).sum() - 1) < 1e-3
+    assert least == 1 or len(np.unique(mine)) > sum(c >= least for c in Counter(mine.tolist()).values()) > 0  # something is left out, and something isn't
+
+
 def test_symbols_of_every_script():
     texts = ["Ab 12", "Где Ñu", "東京", "a😀b", "", None, "x"]
     from pyarrow import array
