@@ -99,4 +99,7 @@ ORACLES: dict[str, str] = {
 
 QUERIES |= scalars.QUERIES | tables.QUERIES | literals.QUERIES | stored.QUERIES | gaps.QUERIES | walks.QUERIES
 ORACLES |= scalars.ORACLES | tables.oracles(_CHUNKS, _LINES) | literals.ORACLES | stored.oracles(_STRIPPED, _CHUNKS) | gaps.ORACLES | walks.ORACLES
-ORACLES |= {"liveness_stream": ORACLES["liveness_state"], "change_stream": ORACLES["change_events"]}
+ORACLES |= {k: ORACLES["liveness_state"] for k in ("liveness_stream", "late_liveness")} | {k: ORACLES["change_events"] for k in ("change_stream", "late_changes")}
+ORACLES["session_stream"] = """WITH t AS (SELECT user_id AS natural_key, epoch_us(ts) AS us FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+s AS (SELECT *, sum(CASE WHEN us - before <= 10800000000 THEN 0 ELSE 1 END) OVER (PARTITION BY natural_key ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, lag(us) OVER (PARTITION BY natural_key ORDER BY us) AS before FROM t))
+SELECT natural_key, min(us) AS start_us, max(us) + 10800000000 AS end_us, count(*) AS records FROM s GROUP BY natural_key, k HAVING max(us) + 10800000000 <= (SELECT max(us) // 1000 * 1000 - 172800000000 FROM t)"""

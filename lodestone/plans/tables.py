@@ -12,10 +12,12 @@ from lodestone.functions.responses import link_share
 from lodestone.operators import addresses, captions, chunker, corpus, crumbs, index, reader, text
 from lodestone.sources.log import scratch
 from lodestone.sources.tables import table
-from lodestone.streaming import log
+from lodestone.streaming import late, log
 
 #: The address that is resolved.
 TARGET = "doc/1"
+#: Files that the log is shuffled into, those that a batch reads, and the span of time whose records are state of one key.
+SHUFFLED, EACH, WEEK = 20, 5, 7 * 86_400
 
 
 def _log(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,6 +98,30 @@ def change_stream(spark: SparkSession, folder: str) -> DataFrame:
     return _streamed(spark, folder, log.change_stream)
 
 
+def _late(spark: SparkSession, folder: str) -> DataFrame:
+    """What a stream says of the events when they come in files that each hold records of all times."""
+    out = scratch(spark, "late")
+    events = corpus.observation_log(table(spark, folder, "events"))
+    events.repartition(SHUFFLED, F.xxhash64("seq")).write.parquet(f"{out}/log")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", EACH).parquet(f"{out}/log")
+    log.resumed(late.spans_in_order(stream, WEEK), f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.schema(late.RESULTS).parquet(f"{out}/rows")
+
+
+def late_liveness(spark: SparkSession, folder: str) -> DataFrame:
+    return late.liveness(_late(spark, folder))
+
+
+def late_changes(spark: SparkSession, folder: str) -> DataFrame:
+    return late.changes(_late(spark, folder))
+
+
+def session_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions that are closed when all events have come: silent for three hours, and two days before the newest event."""
+    found = _streamed(spark, folder, lambda rows: log.sessions(rows, "3 hours"))
+    return found.select("natural_key", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "records")
+
+
 def caption_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     """Turns of a conversation as cues of a track, eight seconds apart."""
     start = F.col("turn") * 8000
@@ -132,7 +158,7 @@ def materialize_paths(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (worklist_extract, extract_counters, worklist_index, latest_derivations, blob_verify)
-} | {f.__name__: f for f in (resolve_target, download_page, list_sources, page_leads, page_crumbs, chunk_markdown, liveness_stream, change_stream, caption_paragraphs)} | {f.__name__: f for f in (boilerplate_text, extract_pages, extract_report, enclosures, materialize_paths)}
+} | {f.__name__: f for f in (resolve_target, download_page, list_sources, page_leads, page_crumbs, chunk_markdown, liveness_stream, change_stream, late_liveness, late_changes, session_stream, caption_paragraphs)} | {f.__name__: f for f in (boilerplate_text, extract_pages, extract_report, enclosures, materialize_paths)}
 
 _LOG = """log AS (SELECT source, 'doc/' || doc_id AS resource, sha256(text) AS blob_sha, sha256(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS derived_sha, doc_id AS seq FROM documents WHERE text IS NOT NULL),
 derived AS (SELECT DISTINCT blob_sha FROM log WHERE seq % 3 = 0), underivable AS (SELECT DISTINCT blob_sha FROM log WHERE seq % 3 = 1 AND source = 'src1')"""

@@ -78,6 +78,18 @@ def daily_counts(log: DataFrame, late: str = "2 days") -> DataFrame:
     return log.withWatermark("at", late).groupBy(F.window("at", "1 day"), "state").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sessions(log: DataFrame, gap: str, late: str = "2 days") -> DataFrame:
+    """natural_key, start, end, records: visits of an address, cut where it is silent for ``gap``; ``end`` is its last record's time and the gap.
+
+    In a stream a session is said once, when the newest record is ``late`` after its end: a record that comes later than that is no
+    part of any. A batch says all sessions, open ones too. Records without a time or an address are of no session.
+    State holds open sessions, not their records.
+    """
+    rows = log.where("at is not null and natural_key is not null").withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late)
+    found = rows.groupBy("natural_key", F.session_window("at", gap).alias("w")).agg(F.count(F.lit(1)).alias("records"))
+    return found.select("natural_key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "records")
+
+
 def resumed(stream: DataFrame, output: str, checkpoint: str, shape: Callable[[DataFrame], DataFrame] = lambda df: df, mode: str = "append") -> None:
     """Processes what has arrived since the last call, and ends.
 
