@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators import segments
 from lodestone.shipping import ship
+from lodestone.sources.log import checkpointed
 
-GAP_MS, ENOUGH_BYTES, MOST_BYTES = 10_000, 600, 1_200
+#: Copies of one cue that travel as one row.
+REPEATS = 64
 JSON3 = "events array<struct<tStartMs:long,dDurationMs:long,segs:array<struct<utf8:string>>>>"
 
 
@@ -36,30 +38,31 @@ def json3_cues(body: Column) -> Column:
 
 
 def caption_paragraphs(cues: DataFrame) -> DataFrame:
-    """track, session, paragraph, start_ms, text: from cues (track, start_ms, end_ms, text), blank ones left out.
+    """track, session, paragraph, start_ms, text: from cues (track, start_ms, end_ms, text), blank ones and those without a time left out.
 
-    A silence over 10 s ends a paragraph, and so does the end of a sentence after 600 bytes, or 1,200 bytes.
-    Silences are found by a window, the byte rules one session at a time: a session is speech without a 10 s pause.
+    A silence over 10 s ends a paragraph, and so does the end of a sentence after 600 bytes, or 1,200 bytes. A session is speech
+    without such a silence. Cues that repeat are each said; a null track is one of its own. Cues are put in order over all
+    partitions by ranges, so a track may lie in many tasks; see segments for how they are cut. A paragraph's stretches in several
+    batches are then joined; it has 1,200 bytes and one cue at most.
     """
-    text = F.regexp_replace("text", r"^\s+|\s+$", "")
-    order = Window.partitionBy("track").orderBy("start_ms", "end_ms", "text")
-    spoken = cues.select("track", "start_ms", "end_ms", text.alias("text")).where("text <> ''")
-    broken = F.coalesce(F.col("start_ms") - F.lag("end_ms").over(order) > GAP_MS, F.lit(True)).cast("int")
-    sessions = spoken.withColumn("broken", broken).withColumn("session", F.sum("broken").over(order).cast("long"))
-
-    def joined(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start_ms", "end_ms", "text"])
-        out, words, begin = [], "", None
-        for start, said in zip(rows["start_ms"], rows["text"]):
-            begin, words = (start, said) if begin is None else (begin, f"{words} {said}")
-            size = len(words.encode())
-            if size >= MOST_BYTES or (size >= ENOUGH_BYTES and words[-1] in ".?!"):
-                out.append((key[0], key[1], len(out), begin, words))
-                words, begin = "", None
-        if begin is not None:
-            out.append((key[0], key[1], len(out), begin, words))
-        return pd.DataFrame(out, columns=["track", "session", "paragraph", "start_ms", "words"])
-
-    ship(cues.sparkSession)
-    pieces = sessions.groupBy("track", "session").applyInPandas(joined, "track long, session long, paragraph long, start_ms long, words string")
-    return pieces.select("track", "session", "paragraph", "start_ms", F.concat(F.lit("["), hms(F.col("start_ms")), F.lit("] "), "words").alias("text"))
+    spark = ship(cues.sparkSession)
+    order = ["track", "start_ms", "end_ms", "text"]
+    times = [F.col(c).cast("long").alias(c) for c in order[1:3]]
+    spoken = cues.select("track", *times, F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).where("text <> '' and start_ms is not null and end_ms is not null")
+    counted = spoken.groupBy(*order).agg(F.count(F.lit(1)).alias("n"))
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / REPEATS))))
+    rows = blocks.select(*order, "block", F.least(F.lit(REPEATS), F.col("n") - F.col("block") * REPEATS).cast("int").alias("times"))
+    ranges = rows.repartitionByRange(*order, "block").sortWithinPartitions(*order, "block")
+    stop = F.substring("text", -1, 1).isin(".", "?", "!")
+    ordered = checkpointed(ranges.select(*order, F.octet_length("text").cast("long").alias("size"), stop.alias("stop"), "times", F.spark_partition_id().cast("long").alias("span")))
+    levels = [checkpointed(segments.spans(ordered))]
+    while levels[-1].count() > segments.FAN:
+        levels.append(checkpointed(segments.composed(levels[-1])))
+    states = None
+    for level in reversed(levels):
+        states = segments.entered(level, states)
+    # Five numbers of each partition: what its tasks begin with.
+    starts = {r["span"]: segments.State(*r[2:]) if r["known"] else None for r in states.toLocalIterator()}
+    pieces = segments.cut(ordered, starts).groupBy("track", "session", "paragraph").agg(F.min("start_ms").alias("start_ms"), F.array_sort(F.collect_list(F.struct("place", "words"))).alias("words"))
+    said = F.array_join(F.transform("words", lambda w: w["words"]), " ")
+    return pieces.select("track", "session", "paragraph", "start_ms", F.concat(F.lit("["), hms(F.col("start_ms")), F.lit("] "), said).alias("text"))

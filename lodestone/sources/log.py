@@ -27,6 +27,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once, its partitions and their order kept under the folder of `scratch`."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)
+
+
 def append_log(records: DataFrame, folder: str) -> None:
     """Appends records as JSON lines, in a folder for each source and month of `at`."""
     records.withColumn("month", F.date_format("at", "yyyy-MM")).write.mode("append").partitionBy("source", "month").json(folder)

@@ -2,6 +2,7 @@
 
 import datetime
 import gzip
+import random
 import re
 
 import pytest
@@ -388,6 +389,51 @@ def test_caption_paragraphs(spark):
     assert [r.text for r in found] == ["[00:00:00] one two", "[00:00:15] after " + "x" * 600 + ".", "[00:00:17] end", "[00:00:00] z"]
 
 
+def paragraphs_by_hand(cues):
+    """Sessions and paragraphs of cues, one after the other."""
+    out, before = [], None
+    for track, start, end, said in sorted((t, s, e, x.strip()) for t, s, e, x in cues if x and x.strip() and s is not None and e is not None):
+        if before is None or before[0] != track:
+            session, paragraph, words = 1, 0, None
+        elif start - before[1] > 10_000:
+            session, paragraph, words = session + 1, 0, None
+        if words is None:
+            out.append([track, session, paragraph, start, said])
+        else:
+            out[-1][4] += " " + said
+        words = out[-1][4]
+        size = len(words.encode())
+        if size >= 1200 or (size >= 600 and words[-1] in ".?!"):
+            paragraph, words = paragraph + 1, None
+        before = (track, end)
+    return sorted(tuple(r) for r in out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_caption_paragraphs_by_spans(spark, seed, monkeypatch):
+    """A hot track over many partitions and a tree of several levels, cues that repeat, and many small tracks."""
+    monkeypatch.setattr(captions.segments, "FAN", 3)
+    dice = random.Random(seed)
+    cues, at = [], 0
+    for _ in range(3000):
+        at += dice.choice([500, 500, 500, 2000]) if dice.random() > 0.004 else 30_000
+        cues.append((7 if dice.random() > 0.3 else dice.randrange(12), at, at + dice.randrange(1500), "wörd " * dice.randrange(0, 30) + dice.choice(["end.", "more", "so?", " ", "x" * 1300 if dice.random() < 0.02 else "y"])))
+    cues += [(7, 40_000, 40_100, "again and again.")] * 700 + [(7, 1, None, "never"), (3, None, 5, "never"), (4, 5, 6, None)]
+    df = spark.createDataFrame(cues, "track long, start_ms long, end_ms long, text string").repartition(5)
+    for parts in ("1", "16"):
+        before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+        try:
+            for k, v in zip(before, (parts, "false", "50" if parts == "16" else "10000")):
+                spark.conf.set(k, v)
+            found = captions.caption_paragraphs(df).collect()
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        assert all(r.text.startswith("[") for r in found)
+        assert sorted((r.track, r.session, r.paragraph, r.start_ms, r.text.split("] ", 1)[1]) for r in found) == paragraphs_by_hand(cues)
+    assert captions.caption_paragraphs(df.where("false")).count() == 0
+
+
 def test_readers():
     text, title, tool, notes, fallback = reader.read_html("<title>T &amp; U</title><nav>menu</nav><main><nav>sub</nav><h2>Head</h2><p>a <a href='/x'>link</a></p><ul><li>i<li>j</ul></main>")
     assert (text, title, tool, notes, fallback) == ("# T & U\n\n## Head\n\na link\n\n- i\n\n- j", "T & U", "marked", "", False)
