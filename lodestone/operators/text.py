@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.records import is_records
+from lodestone.sources.log import scratch
 
 LEAST_CHARS, LEAST_DOCS = 12, 5
 #: Tasks among which a frequent line's places are dealt where they meet what was learnt.
@@ -13,7 +16,7 @@ SALTS = 16
 
 
 def trimmed_line(raw: Column) -> Column:
-    return F.regexp_replace(raw, r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", "")
+    return F.btrim(raw, F.lit(" \t\r\n\f"))
 
 
 def prose_lines(text: Column) -> Column:
@@ -26,15 +29,37 @@ def prose_lines(text: Column) -> Column:
     return F.flatten(F.transform(F.split(text, "\n\n", -1), one))
 
 
-def boilerplate_lines(documents: DataFrame, sample_docs: int | None = None) -> DataFrame:
+def _learnable(documents: DataFrame) -> DataFrame:
+    """source, doc_id, line, k: the trimmed lines that teach, with a hash of source and line."""
+    # Outer, as Spark works out twice more whether the array of an inner one is empty; a null is no line of 12 characters.
+    lines = documents.select("source", "doc_id", F.explode_outer(prose_lines(F.col("text"))).alias("raw")).select("source", "doc_id", trimmed_line(F.col("raw")).alias("line"))
+    return lines.where(F.length("line") >= LEAST_CHARS).withColumn("k", F.xxhash64("source", "line"))
+
+
+def line_counts(documents: DataFrame) -> DataFrame:
+    """k, n: how often the hash of a source and line occurs, a fold to keep: counts of more documents join it by `merged_counts`."""
+    return _learnable(documents).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged_counts(*folds: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, folds).groupBy("k").agg(F.sum("n").alias("n"))
+
+
+def boilerplate_lines(documents: DataFrame, sample_docs: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """source, line, n_docs: trimmed lines of 12 characters or more that 5 or more documents of a source share.
 
-    Lines of paragraphs that hold records teach nothing. ``sample_docs`` learns from a source's first documents by id
-    only; without it every document counts.
+    Lines of paragraphs that hold records teach nothing. Hashes are counted first (``counts``: a kept fold over all these documents
+    in its place), and only lines whose hash is frequent enough travel as text, where their documents are counted exactly.
+    ``sample_docs`` learns from a source's first documents by id only; without it every document counts.
     """
     if sample_docs is not None:
         documents = documents.withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where(F.col("_n") <= sample_docs)
-    lines = documents.select("source", "doc_id", F.explode(prose_lines(F.col("text"))).alias("raw")).select("source", "doc_id", trimmed_line(F.col("raw")).alias("line")).where(F.length("line") >= LEAST_CHARS).distinct()
+    counts = line_counts(documents) if counts is None else counts
+    # Kept, so that its size is known when Spark chooses how to join.
+    path = scratch(documents.sparkSession, "frequent-lines")
+    counts.where(F.col("n") >= LEAST_DOCS).select("k").write.parquet(path)
+    frequent = documents.sparkSession.read.schema("k long").parquet(path)
+    lines = _learnable(documents).join(frequent, "k", "left_semi").select("source", "doc_id", "line").distinct()
     return lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= LEAST_DOCS)
 
 
@@ -46,7 +71,7 @@ def dropped_lines(documents: DataFrame, learnt: DataFrame | None = None) -> Data
     learnt = boilerplate_lines(documents) if learnt is None else learnt
     line = trimmed_line(F.col("raw"))
     keys = [F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2")]
-    rows = documents.select("source", "doc_id", F.posexplode(prose_lines(F.col("text"))).alias("n", "raw")).select("source", "doc_id", "n", line.alias("line")).where(F.length("line") >= LEAST_CHARS)
+    rows = documents.select("source", "doc_id", F.posexplode_outer(prose_lines(F.col("text"))).alias("n", "raw")).select("source", "doc_id", "n", line.alias("line")).where(F.length("line") >= LEAST_CHARS)
     rows = rows.select("source", "doc_id", "n", *keys, F.pmod(F.xxhash64("doc_id", "n"), F.lit(SALTS)).cast("int").alias("salt"))
     known = learnt.select(F.col("source").alias("of"), *keys, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     same = (rows["k1"] == known["k1"]) & (rows["k2"] == known["k2"]) & (rows["salt"] == known["salt"]) & rows["source"].eqNullSafe(known["of"])

@@ -389,6 +389,29 @@ def test_caption_paragraphs(spark):
     assert [r.text for r in found] == ["[00:00:00] one two", "[00:00:15] after " + "x" * 600 + ".", "[00:00:17] end", "[00:00:00] z"]
 
 
+def test_line_counts_are_a_fold(spark):
+    """Counts of two builds joined teach what all documents do; copies of a line within a document, and of its id, count once."""
+    lines = ["a line that some share", "another line of theirs", "short"]
+    docs = spark.createDataFrame([(i % 11, f"s{i % 2}" if i % 5 else None, "\n".join([lines[i % 2], lines[i % 3], lines[0], f"its own line {i % 13}"])) for i in range(40)] + [(99, "s0", None)], "doc_id long, source string, text string")
+    want = {}
+    for r in docs.collect():
+        for line in (r.text or "").split("\n"):
+            if len(line) >= 12:
+                want.setdefault((r.source, line), set()).add(r.doc_id)
+    want = {k: len(v) for k, v in want.items() if len(v) >= 5}
+    first, rest = text.line_counts(docs.where("doc_id % 3 = 0")), text.line_counts(docs.where("doc_id % 3 <> 0"))
+    for found in (text.boilerplate_lines(docs), text.boilerplate_lines(docs, counts=text.merged_counts(first, rest))):
+        assert {(r.source, r.line): r.n_docs for r in found.collect()} == want and want
+
+
+@pytest.mark.parametrize("blank", ["", "\n \t\n", "\n" * 20_000])
+def test_records_behind_blank_lines(spark, blank):
+    rows = ["a,b,c", blank + "1,2,3", "4,5,6"]
+    cases = ["\n".join(rows), "\n".join([*rows, "7,8,9", "1,1,1", "2,2,2", "not a record", "x" * 100_000]), "\n".join([*rows[:2], "no"]), "a,b,c" + blank, "| a |" + blank + "\n|---|"]
+    found = [r[0] for r in spark.createDataFrame([(c,) for c in cases], "t string").select(is_records(F.col("t"))).collect()]
+    assert found == [True, True, False, False, blank == ""]
+
+
 def paragraphs_by_hand(cues):
     """Sessions and paragraphs of cues, one after the other."""
     out, before = [], None
