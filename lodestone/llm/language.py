@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,8 @@ from lodestone.llm.textcore import CONTINUATION, batches, code_points, column_by
 DIMENSIONS, BITS = 1024, 16
 UNDETERMINED = "und"
 _HELD = 2
-#: N-grams that are bundled at once.
-_RUN = 8192
+#: N-grams that are bundled at once, and those of a batch whose vectors are kept while its documents are bundled.
+_RUN, _KEPT = 8192, 32_768
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -64,6 +64,14 @@ def gram_counts(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
     keep[1:] = (s[1:] > 0) | (s[:-1] > 0)
     s, d = s[keep], d[keep]
     middle = np.flatnonzero(s > 0)
+    used = np.flatnonzero(np.bincount(s.astype(np.int64), minlength=1))
+    if n_docs * len(used) ** 3 < 1 << 62:  # a document and its trigram in one number, by the symbols that the batch has: one sort
+        small = np.zeros(1 << BITS, np.int64)
+        small[used] = np.arange(len(used))
+        t = small[s.astype(np.int64)]
+        key, count = np.unique(((d[middle] * len(used) + t[middle - 1]) * len(used) + t[middle]) * len(used) + t[middle + 1], return_counts=True)
+        of, a, b, c = key // len(used) ** 3, *(used[key // len(used) ** k % len(used)].astype(np.uint64) for k in (2, 1, 0))
+        return of, a << np.uint64(2 * BITS) | b << np.uint64(BITS) | c, count
     codes = s[middle - 1] << np.uint64(2 * BITS) | s[middle] << np.uint64(BITS) | s[middle + 1]
     distinct, back = np.unique(codes, return_inverse=True)
     key, count = np.unique(d[middle] * max(1, len(distinct)) + back, return_counts=True)
@@ -87,10 +95,37 @@ class Letters:
 
     def bundled(self, codes: np.ndarray, counts: np.ndarray, kind: type = np.float32) -> np.ndarray:
         """The sum of the n-gram vectors, each as often as it was counted."""
-        total = np.zeros(DIMENSIONS, kind)
-        for i in range(0, len(codes), _RUN):
-            total += counts[i : i + _RUN].astype(kind) @ self.grams(codes[i : i + _RUN]).astype(kind)
-        return total
+        return _summed(lambda i: self.grams(codes[i : i + _RUN]), counts, kind)
+
+
+def _summed(vectors: Callable[[int], np.ndarray], counts: np.ndarray, kind: type) -> np.ndarray:
+    """The sum of vectors as often as they were counted; ``vectors(i)`` are _RUN of them from i."""
+    total = np.zeros(DIMENSIONS, kind)
+    for i in range(0, len(counts), _RUN):
+        total += counts[i : i + _RUN].astype(kind) @ vectors(i).astype(kind)
+    return total
+
+
+class Bundles:
+    """Documents' bundles within a batch: the vectors of its n-grams that most documents have are made once."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        self.letters, self.codes, self.counts = Letters(codes), codes, counts
+        distinct, back = np.unique(codes, return_inverse=True)
+        often = np.sort(np.argsort(-np.bincount(back, minlength=len(distinct)), kind="stable")[:_KEPT])
+        self.kept = self.letters.grams(distinct[often])
+        place = np.full(len(distinct), -1)
+        place[often] = np.arange(len(often))
+        self.place = place[back]
+
+    def of(self, first: int, upto: int) -> np.ndarray:
+        """The bundle of the n-grams of a document, which are these of the batch."""
+        place, codes, counts = self.place[first:upto], self.codes[first:upto], self.counts[first:upto]
+        rare = place < 0
+        if not rare.any():
+            return _summed(lambda i: self.kept[place[i : i + _RUN]], counts, np.float32)
+        near = place[~rare]
+        return _summed(lambda i: self.kept[near[i : i + _RUN]], counts[~rare], np.float32) + self.letters.bundled(codes[rare], counts[rare])
 
 
 @released
@@ -125,7 +160,7 @@ def _predicted(languages: list[str], vectors: np.ndarray):
         for batch in batches(stream, "text"):
             symbols, bounds, lettered = symbols_of(*column_bytes(batch.column("text")))
             doc, codes, counts = gram_counts(symbols, bounds)
-            letters = Letters(codes)
+            bundles = Bundles(codes, counts)
             cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1)).tolist()
             names, scores = [], []
             for d in range(batch.num_rows):
@@ -133,7 +168,7 @@ def _predicted(languages: list[str], vectors: np.ndarray):
                     names.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                total = letters.bundled(codes[cuts[d] : cuts[d + 1]], counts[cuts[d] : cuts[d + 1]]).astype(np.float64)
+                total = bundles.of(cuts[d], cuts[d + 1]).astype(np.float64)
                 cosines = vectors @ total / max(np.linalg.norm(total), 1e-30)
                 best = int(np.argmax(cosines))
                 names.append(languages[best])
