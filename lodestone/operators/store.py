@@ -7,7 +7,7 @@ import re
 import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -44,7 +44,7 @@ def derivations(documents: DataFrame, at: Column | None = None) -> DataFrame:
     )
 
 
-def _cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(records: bool, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passages of stripped texts; their spans lie in the texts as they were."""
     names = [c.split()[0] for c in _PLACED.split(", ")]
     schema = pa.schema([(n, {"long": pa.int64(), "timestamp": pa.timestamp("us", "UTC")}.get(k, pa.string())) for n, k in (c.split() for c in _PLACED.split(", "))])
@@ -57,7 +57,7 @@ def _cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 k = bisect_right(kept, at) - 1
                 return origin[k] + at - kept[k]
 
-            for i, (path, a, b, piece) in enumerate(chunker.chunked(r["text"])):
+            for i, (path, a, b, piece) in enumerate(chunker.chunked(r["text"], records=records)):
                 rows.append((r["source"], r["resource"], r["blob_sha"], r["derived_sha"], r["doc_id"], r["at"], r["title"], i, path, source(a), source(b - 1) + 1, hashlib.sha256(piece.encode()).hexdigest(), piece))
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -68,13 +68,13 @@ def _of_blobs(derived: DataFrame) -> DataFrame:
     return derived if "blob_sha" in derived.columns else derived.withColumn("blob_sha", F.col("derived_sha"))
 
 
-def passages(derived: DataFrame, learnt: DataFrame | None = None) -> DataFrame:
-    """The placements of derivations, with their passages' texts: boilerplate of the source stripped, the rest chunked."""
+def passages(derived: DataFrame, learnt: DataFrame | None = None, records: bool = True) -> DataFrame:
+    """The placements of derivations, with their passages' texts: boilerplate of the source stripped, the rest chunked (``records``: see the chunker)."""
     ship(derived.sparkSession)
     derived = _of_blobs(derived)
     stripped = text.boilerplate_text(derived, learnt)
     marks = [F.transform("marks", lambda m: m["kept_from"]).alias("kept_from"), F.transform("marks", lambda m: m["source_from"]).alias("source_from")]
-    return stripped.select("source", "resource", "blob_sha", "derived_sha", "doc_id", "at", "title", "text", *marks).mapInArrow(_cut, _PLACED)
+    return stripped.select("source", "resource", "blob_sha", "derived_sha", "doc_id", "at", "title", "text", *marks).mapInArrow(partial(_cut, records), _PLACED)
 
 
 def _posted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,11 +171,12 @@ class IndexStore:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def build(self, derived: DataFrame, learnt: DataFrame | None = None) -> None:
+    def build(self, derived: DataFrame, learnt: DataFrame | None = None, records: bool = True) -> None:
         """Adds the derivations (see ``derivations``) that have no placement yet; bodies that are stored stay one.
 
         Of several derivations of one blob (``blob_sha``, where the column is there) at an address only the newest by time, then
         hash, is in the index: an older one is not added, and one that is stored is taken out, with passages that nothing else has.
+        Without ``records`` all texts are prose: see the chunker.
         """
         key, derived, now = ["source", "resource", "derived_sha"], _of_blobs(derived), self.snapshot()
         name = uuid.uuid4().hex
@@ -190,7 +191,7 @@ class IndexStore:
         few = n * 2 > n_all  # texts are matched with the shorter list, of what is added or of what isn't
         listed = judged.where(~add if few else add).select(F.col("source").alias("s"), F.col("resource").alias("r"), F.col("derived_sha").alias("d"))
         missing = derived.join(listed, derived["source"].eqNullSafe(F.col("s")) & (derived["resource"] == F.col("r")) & (derived["derived_sha"] == F.col("d")), "left_anti" if few else "left_semi")
-        cut = self._stored(f"{name}/passage", passages(missing, learnt))
+        cut = self._stored(f"{name}/passage", passages(missing, learnt, records))
         fresh = cut.select("chunk_hash", "chunk_text").dropDuplicates(["chunk_hash"]).join(now.table("chunk").select("chunk_hash"), "chunk_hash", "left_anti")
         fresh = self._stored(f"{name}/fresh", fresh.select("*", F.length("chunk_text").cast("long").alias("chars"), F.size(terms(F.col("chunk_text"))).cast("long").alias("dl")))
         # Sorted by stem over all files, so a search reads the few row groups of its stems; a frequent stem spans several files.

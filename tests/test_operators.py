@@ -2,6 +2,7 @@
 
 import datetime
 import gzip
+import hashlib
 import random
 import re
 
@@ -16,7 +17,7 @@ from lodestone.functions.records import is_records
 from lodestone.functions.stem import stemmed
 from lodestone.operators import addresses, captions, chunker, collect, corpus, crumbs, embed, index, reader, runs, store, strategies, text
 from lodestone.operators.vectors import VectorStore
-from lodestone.plans import stored
+from lodestone.plans import catalog, stored
 from lodestone.sources import log as sources
 from lodestone.streaming import log as streams
 
@@ -47,6 +48,21 @@ def test_chunk_headings_and_rows():
     assert chunker.chunked(None) == chunker.chunked("  \n") == []
 
 
+#: Prose of three lines, each of three clauses: what the chunker would take for rows under a header.
+CLAUSES = "\n".join(", ".join(f"{w} clause {i} " + "of a sentence " * 12 for w in ("one", "two", "three")) + "." for i in range(3))
+
+
+def test_prose_with_even_commas_is_cut_as_prose(spark, tmp_path):
+    want = [CLAUSES[:1200], CLAUSES[1200:]]
+    assert len(CLAUSES) > 1280 and chunker.header_length(CLAUSES) and [c[3] for c in chunker.chunked(CLAUSES)] != want
+    assert [c[3] for c in chunker.chunked(CLAUSES, records=False)] == want
+    docs = spark.createDataFrame([(i, CLAUSES, f"src{i}") for i in range(2)], "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    hashes = {hashlib.sha256(x.encode()).hexdigest() for x in want}
+    for name in ("chunk_markdown", "chunk_documents", "chunk_dedup", "chunks_in_source"):
+        assert {r.chunk_hash for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()} == hashes, name
+
+
 def test_chunk_nulls_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, None, "s"), (2, "", "s"), (3, "x", None)], "doc_id long, text string, source string").withColumn("ordinal", F.lit(9))
     assert [(r.doc_id, r.chunk_text) for r in chunker.chunk_markdown(docs).collect()] == [(3, "x")]
