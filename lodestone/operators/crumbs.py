@@ -33,18 +33,22 @@ def absolute(href: Column, page: Column) -> Column:
     return F.when(origin != "", F.concat(F.lower(origin), F.when(rest.startswith("/"), F.lit("")).otherwise(F.lit("/")), rest))
 
 
-def crumb_rows(pages: DataFrame) -> DataFrame:
+def crumb_rows(pages: DataFrame, *by: str) -> DataFrame:
     """url, host, links, example for each page and each foreign host it links to; a page with none has one row with null host.
 
-    A null html is a page without links.
+    A null html is a page without links. Pages of one address count together; ``by`` names columns (not null) that tell them apart.
     """
-    links = pages.select("url", F.explode_outer(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), 1)).alias("href"))
+    links = pages.select("url", *by, F.explode_outer(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), 1)).alias("href"))
     to = links.withColumn("to", absolute(unescaped(F.col("href")), F.col("url"))).withColumn("host", host_of(F.col("to")))
-    foreign = to.select("url", F.when((F.col("host") != "") & (F.col("host") != host_of(F.col("url"))), F.struct("host", "to")).alias("f"))
-    found = foreign.groupBy("url", "f.host").agg(F.count("f").alias("links"), F.min("f.to").alias("example"))
+    foreign = to.select("url", *by, F.when((F.col("host") != "") & (F.col("host") != host_of(F.col("url"))), F.struct("host", "to")).alias("f"))
+    return _by_host(foreign.groupBy("url", *by, "f.host").agg(F.count("f").alias("links"), F.min("f.to").alias("example")), *by)
+
+
+def _by_host(found: DataFrame, *by: str) -> DataFrame:
+    """Rows of hosts, and one with a null host for each page that has no other."""
     marked = F.max(F.when(F.col("host").isNotNull(), F.lit(1)))
-    lone = found.groupBy("url").agg(marked.alias("any")).where("any is null").select("url")
-    return found.where("host is not null").unionByName(lone.select("url", F.lit(None).cast("string").alias("host"), F.lit(0).cast("long").alias("links"), F.lit(None).cast("string").alias("example")))
+    lone = found.groupBy("url", *by).agg(marked.alias("any")).where("any is null").select("url", *by)
+    return found.where("host is not null").unionByName(lone.select("url", *by, F.lit(None).cast("string").alias("host"), F.lit(0).cast("long").alias("links"), F.lit(None).cast("string").alias("example")))
 
 
 def tally(rows: DataFrame, most: int = CARRIERS) -> DataFrame:
@@ -95,12 +99,17 @@ def rewrite_ledger(rows: DataFrame, folder: str) -> None:
 
 
 def with_ledger(pages: DataFrame, ledger: DataFrame) -> DataFrame:
-    """The crumbs of pages (url, html, blob_sha): recorded ones from the ledger by the blob's short hash, the others scanned.
+    """The crumbs of pages (url, html, blob_sha): recorded ones from the ledger by address and the blob's short hash, the others scanned.
 
-    Only the short hashes of the ledger meet the pages; bodies that are recorded aren't read again.
+    Only the names of the ledger meet the pages; bodies that are recorded aren't read again. Pages of one address count
+    together, whichever of them are recorded.
     """
+    key = ["short", "url"]
     keyed = pages.withColumn("short", short_sha(F.col("blob_sha")))
-    known = ledger.select("short").distinct()
-    missing = keyed.join(known, "short", "left_anti")
-    recorded = keyed.select("short", F.col("url").alias("page")).join(ledger, "short").where("url = page")
-    return recorded.select("url", "host", "links", "example").union(crumb_rows(missing).select("url", "host", "links", "example"))
+    missing = keyed.join(ledger.select(*key).distinct(), key, "left_anti")
+    # Pages alike are counted before they meet the ledger, so an address that comes very often multiplies nothing.
+    times = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("times"))
+    lines = ledger.select(*key, "host", "links", "example").dropDuplicates([*key, "host"])
+    recorded = times.join(lines, key).select("url", "host", (F.col("links") * F.col("times")).alias("links"), "example")
+    found = recorded.unionByName(crumb_rows(missing).select("url", "host", "links", "example"))
+    return _by_host(found.groupBy("url", "host").agg(F.sum("links").alias("links"), F.min("example").alias("example")))

@@ -136,9 +136,9 @@ def corpus_status(spark: SparkSession, folder: str) -> DataFrame:
 def crumbs_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's crumbs: those of every second page from the ledger, the others scanned."""
     pages = table(spark, folder, "pages").select("page_id", "url", "html", F.sha2(F.col("html").cast("binary"), 256).alias("blob_sha"))
-    ledger, store = crumbs.crumb_rows(pages.where("page_id % 2 = 0")), scratch(spark, "ledger")
-    keyed = pages.select("url", crumbs.short_sha(F.col("blob_sha")).alias("short"), F.lit("pages").alias("source"))
-    crumbs.append_ledger(ledger.join(keyed, "url"), store)
+    scanned = pages.where("page_id % 2 = 0 and url is not null and html is not null").withColumn("short", crumbs.short_sha(F.col("blob_sha"))).dropDuplicates(["url", "short"])
+    store = scratch(spark, "ledger")
+    crumbs.append_ledger(crumbs.crumb_rows(scanned, "short").withColumn("source", F.lit("pages")), store)
     return crumbs.with_ledger(pages, spark.read.parquet(store))
 
 

@@ -298,6 +298,17 @@ def test_ledger_and_decisions(spark, tmp_path):
     assert [r.host for r in crumbs.decisions_current(collect.read_decisions(spark, str(tmp_path / "d"))).collect()] == ["i"]
 
 
+def test_ledger_counts_pages_of_one_address_together(spark, tmp_path):
+    """Pages at one address, of which some are recorded, and a body that is at two addresses."""
+    link = lambda *hosts: "".join(f'<a href="https://{h}.org/x">x</a>' for h in hosts)
+    rows = [(2, "https://h.org/1", link("o", "p")), (3, "https://h.org/1", link("o", "o")), (4, "https://h.org/1", link("o", "p")), (5, "https://h.org/2", link("o", "p")), (6, "https://h.org/3", "none"), (7, "https://h.org/3", "no"), (8, "https://h.org/4", "none"), (9, "https://h.org/4", link("q"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalog.QUERIES["crumbs_ledger"](spark, str(tmp_path)).collect()
+    want = {("https://h.org/1", "o.org", 4), ("https://h.org/1", "p.org", 2), ("https://h.org/2", "o.org", 1), ("https://h.org/2", "p.org", 1), ("https://h.org/3", None, 0), ("https://h.org/4", "q.org", 1)}
+    assert {(r.url, r.host, r.links) for r in got} == want and len(got) == len(want)
+
+
 def test_enabled_sources():
     configured = [{"id": "a"}, {"id": "b", "enabled": False}, {"id": "c", "enabled": True}]
     assert collect.enabled_sources(configured) == ["a", "c"] and collect.enabled_sources(configured, ["b"]) == ["b"]
