@@ -21,7 +21,7 @@ from lodestone.operators.vectors import VectorStore, ranked
 from lodestone.shipping import ship
 from lodestone.sources.log import exists
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 #: Hits that fusion keeps for the reranker, and further placements that a hit shows.
 KEPT, SHOWN = 40, 8
 #: Stems that a worker remembers.
@@ -29,7 +29,8 @@ REMEMBERED = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 
 _PLACED = "source string, resource string, blob_sha string, derived_sha string, doc_id long, at timestamp, title string, ordinal long, heading_path string, char_start long, char_end long, chunk_hash string, chunk_text string"
-_TABLES = {"chunk": "chunk_hash string, chunk_text string, chars long, dl long", "placement": _PLACED.rsplit(", ", 1)[0], "posting": "stem string, term string, chunk_hash string, dl int, positions array<int>"}
+_TABLES = {"chunk": "chunk_hash string, chunk_text string, chars long, dl long", "placement": _PLACED.rsplit(", ", 1)[0], "posting": "stem string, term string, chunk_hash string, dl int, positions array<int>",
+           "bare": "source string, resource string, blob_sha string, derived_sha string, at timestamp"}
 #: What a generation takes out of those before it: placements by key, all of a source, passages without any placement left.
 _REMOVED = {"gone": "source string, resource string, derived_sha string", "cleared": "source string", "dead": "chunk_hash string"}
 _META = "seq long, generation string, full boolean, removes boolean, home string, schema_version int"
@@ -136,7 +137,7 @@ class IndexStore:
         return self.spark.read.schema(schema).parquet(*[f"{g['home']}/{g['generation']}/{name}" for g in generations])
 
     def table(self, name: str) -> DataFrame:
-        """``chunk``, ``placement`` or ``posting``: the rows of all generations in force that no later one takes out.
+        """``chunk``, ``placement``, ``posting`` or ``bare`` (derivations that gave no passage): the rows of all generations in force that no later one takes out.
 
         Generations between two that remove are read together, so plans grow with removals only, until the next compaction.
         """
@@ -150,7 +151,7 @@ class IndexStore:
         parts = []
         for i, run in enumerate(runs):
             rows, later = self._read(run, name, _TABLES[name]), [r[0] for r in runs[i + 1 :]]
-            if later and name == "placement":
+            if later and name in ("placement", "bare"):
                 gone, cleared = (self._read(later, x, _REMOVED[x]).distinct() for x in ("gone", "cleared"))
                 rows = rows.join(gone, rows["source"].eqNullSafe(gone["source"]) & (rows["resource"] == gone["resource"]) & (rows["derived_sha"] == gone["derived_sha"]), "left_anti")
                 rows = rows.join(cleared, rows["source"].eqNullSafe(cleared["source"]), "left_anti")
@@ -181,10 +182,11 @@ class IndexStore:
         key, derived, now = ["source", "resource", "derived_sha"], _of_blobs(derived), self.snapshot()
         name = uuid.uuid4().hex
         placed = now.table("placement")
-        versions = placed.select(*key, "blob_sha", "at", F.lit(True).alias("stored")).unionByName(derived.select(*key, "blob_sha", F.col("at").cast("timestamp").alias("at"), F.lit(False).alias("stored"))).distinct()
+        known = placed.select(*key, "blob_sha", "at").unionByName(now.table("bare"))
+        versions = known.withColumn("stored", F.lit(True)).unionByName(derived.select(*key, "blob_sha", F.col("at").cast("timestamp").alias("at"), F.lit(False).alias("stored"))).distinct()
         one = versions.groupBy("source", "resource", "blob_sha", "derived_sha").agg(F.max("at").alias("at"), F.max("stored").alias("stored"))
-        each = one.groupBy("source", "resource", "blob_sha").agg(F.max(F.struct("at", "derived_sha")).alias("best"), F.collect_list(F.struct("derived_sha", "stored")).alias("all"))
-        judged = each.select("source", "resource", F.col("best.derived_sha").alias("best"), F.explode("all").alias("d")).select("source", "resource", "d.*", (F.col("d.derived_sha") == F.col("best")).alias("newest"))
+        each = one.groupBy("source", "resource", "blob_sha").agg(F.max(F.struct("at", "derived_sha")).alias("best"), F.collect_list(F.struct("derived_sha", "at", "stored")).alias("all"))
+        judged = each.select("source", "resource", "blob_sha", F.col("best.derived_sha").alias("best"), F.explode("all").alias("d")).select("source", "resource", "blob_sha", "d.*", (F.col("d.derived_sha") == F.col("best")).alias("newest"))
         add = F.col("newest") & ~F.col("stored")
         judged = self._stored(f"{name}/judged", judged)  # a row an address and derivation
         n, n_old, n_all = judged.agg(F.count_if(add), F.count_if(F.col("stored") & ~F.col("newest")), F.count(F.lit(1))).first()
@@ -202,6 +204,10 @@ class IndexStore:
             "posting": posted.repartitionByRange("stem", "term", "chunk_hash").sortWithinPartitions("stem", "term", "chunk_hash"),
             "placement": cut.drop("chunk_text").dropDuplicates([*key, "ordinal", "chunk_hash"]).repartitionByRange("chunk_hash", "source", "resource").sortWithinPartitions("chunk_hash"),
         }
+        # A derivation without a passage is known all the same: an older one of its blob that comes later doesn't take its place.
+        cut_keys, added = cut.select(*(F.col(c).alias(f"_{c}") for c in key)).distinct(), judged.where(add)
+        has = added["source"].eqNullSafe(F.col("_source")) & (added["resource"] == F.col("_resource")) & (added["derived_sha"] == F.col("_derived_sha"))
+        parts["bare"] = added.join(cut_keys, has, "left_anti").select(*(c.split()[0] for c in _TABLES["bare"].split(", ")))
         if n_old:
             old = self._stored(f"{name}/gone", judged.where("stored and not newest").select(*key))
             same = placed["source"].eqNullSafe(old["source"]) & (placed["resource"] == old["resource"]) & (placed["derived_sha"] == old["derived_sha"])
@@ -226,7 +232,7 @@ class IndexStore:
     def compact(self) -> None:
         """Writes what is in force as one generation, in the layout of a build."""
         now = self.snapshot()
-        by = {"chunk": ["chunk_hash"], "posting": ["stem", "term", "chunk_hash"], "placement": ["chunk_hash", "source", "resource"]}
+        by = {"chunk": ["chunk_hash"], "posting": ["stem", "term", "chunk_hash"], "placement": ["chunk_hash", "source", "resource"], "bare": ["resource"]}
         self._commit(uuid.uuid4().hex, {x: now.table(x).repartitionByRange(*order).sortWithinPartitions(*order) for x, order in by.items()}, full=True)
 
     def counts(self) -> DataFrame:

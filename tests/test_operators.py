@@ -169,6 +169,21 @@ def test_newer_extractions_supersede(spark, tmp_path):
     assert {x: sorted(map(str, made.table(x).collect())) for x in live} == live and len(made.generations()) == 1
 
 
+def test_an_extraction_without_a_passage_is_not_superseded_by_an_older_one(spark, tmp_path):
+    day = lambda n: datetime.datetime(2026, 1, n, tzinfo=UTC)
+    made = store.IndexStore(spark, str(tmp_path / "index"))
+    texts = lambda: {r.chunk_text for r in made.table("chunk").collect()}
+    made.build(_read(spark, [(1, "", day(2), "x"), (2, " \n", day(2), "y"), (3, "kept", day(2), "z")]))
+    made.build(_read(spark, [(1, "older", day(1), "x"), (2, "newer", day(3), "y"), (3, "older too", day(1), "z")]))
+    assert texts() == {"newer", "kept"}
+    made.compact()
+    made.build(_read(spark, [(1, "older", day(1), "x"), (2, "older", day(2), "y")]))
+    assert texts() == {"newer", "kept"} and made.table("bare").count() == 1
+    made.clear("a")
+    made.build(_read(spark, [(1, "older", day(1), "x")]))
+    assert texts() == {"newer", "older"}
+
+
 def test_clearing_a_source_writes_names_alone(spark, tmp_path):
     rows = [(i, f"text number {i // 2} " * 40, datetime.datetime(2026, 1, 1, tzinfo=UTC), f"b{i}") for i in range(60)] + [(100, "only here", None, "c")]
     made = store.IndexStore(spark, str(tmp_path / "index"))
