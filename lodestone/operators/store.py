@@ -9,6 +9,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial, reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,10 +22,10 @@ from lodestone.operators.vectors import VectorStore, ranked
 from lodestone.shipping import ship
 from lodestone.sources.log import exists
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
 #: Hits that fusion keeps for the reranker, and further placements that a hit shows.
 KEPT, SHOWN = 40, 8
-#: Stems that a worker remembers.
+#: Stems, and passages' hashes, that a task remembers.
 REMEMBERED = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 
@@ -33,8 +34,12 @@ _TABLES = {"chunk": "chunk_hash string, chunk_text string, chars long, dl long",
            "bare": "source string, resource string, blob_sha string, derived_sha string, at timestamp"}
 #: What a generation takes out of those before it: placements by key, all of a source, passages without any placement left.
 _REMOVED = {"gone": "source string, resource string, derived_sha string", "cleared": "source string", "dead": "chunk_hash string"}
+#: Tables as they are stored where that is another form: a passage has a number (born, id) of its own, and a row of postings is a word with
+#: the passages of one batch that hold it.
+_STORED = _TABLES | {"chunk": f"{_TABLES['chunk']}, born int, id long", "posting": "stem string, term string, born int, low long, ids array<long>, positions array<array<int>>"}
+_ORDER = {"chunk": ["chunk_hash"], "posting": ["stem", "term", "born", "low"], "placement": ["chunk_hash", "source", "resource"], "bare": ["resource"]}
 _META = "seq long, generation string, full boolean, removes boolean, home string, schema_version int"
-_POSTED = "stem string, term string, chunk_hash string, dl int, positions array<int>"
+_POSTED = _STORED["posting"]
 
 
 def derivations(documents: DataFrame, at: Column | None = None) -> DataFrame:
@@ -46,7 +51,8 @@ def derivations(documents: DataFrame, at: Column | None = None) -> DataFrame:
 
 
 def _cut(records: bool, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages of stripped texts; their spans lie in the texts as they were."""
+    """Passages of stripped texts; their spans lie in the texts as they were. A task gives the text of a passage that repeats once (while it remembers it)."""
+    seen: set[str] = set()
     names = [c.split()[0] for c in _PLACED.split(", ")]
     schema = pa.schema([(n, {"long": pa.int64(), "timestamp": pa.timestamp("us", "UTC")}.get(k, pa.string())) for n, k in (c.split() for c in _PLACED.split(", "))])
     for batch in stream:
@@ -59,7 +65,11 @@ def _cut(records: bool, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                 return origin[k] + at - kept[k]
 
             for i, (path, a, b, piece) in enumerate(chunker.chunked(r["text"], records=records)):
-                rows.append((r["source"], r["resource"], r["blob_sha"], r["derived_sha"], r["doc_id"], r["at"], r["title"], i, path, source(a), source(b - 1) + 1, hashlib.sha256(piece.encode()).hexdigest(), piece))
+                key = hashlib.sha256(piece.encode()).hexdigest()
+                rows.append((r["source"], r["resource"], r["blob_sha"], r["derived_sha"], r["doc_id"], r["at"], r["title"], i, path, source(a), source(b - 1) + 1, key, None if key in seen else piece))
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                seen.add(key)
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -79,24 +89,33 @@ def passages(derived: DataFrame, learnt: DataFrame | None = None, records: bool
 
 
 def _posted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each passage's words with their stems and places."""
+    """Each word of a batch of passages with its stem, the passages that hold it, and its places in each."""
     stems: dict[str, str] = {}
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32())]
     for batch in stream:
-        rows: list[tuple] = []
-        for key, body in zip(batch.column("chunk_hash").to_pylist(), batch.column("chunk_text").to_pylist(), strict=True):
-            places: dict[str, list[int]] = {}
-            words = _WORD.findall(body.lower())
-            for i, word in enumerate(words):
-                places.setdefault(word, []).append(i)
-            if len(stems) > REMEMBERED:
-                stems.clear()
-            for word, at in places.items():
-                if (stem := stems.get(word)) is None:
-                    stem = stems[word] = stemmed(word)
-                rows.append((stem, word, key, len(words), at))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _POSTED.split(", ")])
+        if not batch.num_rows:
+            continue
+        words = [_WORD.findall(body.lower()) for body in batch.column("chunk_text").to_pylist()]
+        sizes = np.array([len(x) for x in words])
+        terms: dict[str, int] = {}
+        flat = np.fromiter((terms.setdefault(w, len(terms)) for x in words for w in x), np.int64, sizes.sum())
+        row = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = np.argsort(flat, kind="stable")  # places of a word stay in order of passages
+        flat, row, place = flat[order], row[order], place[order]
+        fresh = np.flatnonzero(np.append(True, (flat[1:] != flat[:-1]) | (row[1:] != row[:-1]))[: len(flat)])  # a word in a passage
+        heads = np.searchsorted(flat[fresh], np.arange(len(terms) + 1))  # a word
+        ids = batch.column("id").to_numpy()[row[fresh]]
+        if len(stems) > REMEMBERED:
+            stems.clear()
+        for word in terms:
+            if word not in stems:
+                stems[word] = stemmed(word)
+        ends = pa.array(heads, pa.int32())
+        places = pa.ListArray.from_arrays(pa.array(np.append(fresh, len(flat)), pa.int32()), pa.array(place, pa.int32()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([stems[w] for w in terms], pa.string()), pa.array(list(terms), pa.string()), pa.array(np.full(len(terms), batch.column("born")[0].as_py()), pa.int32()), pa.array(ids[heads[:-1]], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(ids, pa.int64())), pa.ListArray.from_arrays(ends, places)],
+            names=[c.split()[0] for c in _POSTED.split(", ")],
+        )
 
 
 class IndexStore:
@@ -141,23 +160,50 @@ class IndexStore:
 
         Generations between two that remove are read together, so plans grow with removals only, until the next compaction.
         """
+        columns = [c.split()[0] for c in _TABLES[name].split(", ")]
+        if name == "posting":
+            return self.places(self.blocks()).join(self.numbered("chunk_hash", F.col("dl").cast("int").alias("dl")), ["born", "id"]).select(*columns)
+        return self._in_force(name).select(*columns)
+
+    def numbered(self, *columns: Column | str) -> DataFrame:
+        """born, id and more columns of the passages in force."""
+        return self._in_force("chunk").select("born", "id", *columns)
+
+    def blocks(self) -> DataFrame:
+        """Rows of postings as they are stored, those of passages that are out of force among them: stem, term, born, low (the first of ids), ids, positions."""
+        found = self.generations()
+        return self._read(found, "posting", _STORED["posting"]) if found else self.spark.createDataFrame([], _STORED["posting"])
+
+    @staticmethod
+    def places(blocks: DataFrame) -> DataFrame:
+        """A row for each word and passage: stem, term, born, id, positions."""
+        return blocks.select("stem", "term", "born", F.explode(F.arrays_zip("ids", "positions")).alias("p")).select("stem", "term", "born", F.col("p.ids").alias("id"), F.col("p.positions").alias("positions"))
+
+    def words(self) -> DataFrame:
+        """term, passages, places: in how many passages each word is, and how often. Rows are met with passages only where some are out of force."""
+        posted = self.blocks().select("term", F.size("ids").cast("long").alias("n"), F.size(F.flatten("positions")).cast("long").alias("m"))
+        if any(g["removes"] for g in self.generations()[1:]):
+            posted = self.places(self.blocks()).join(self.numbered(), ["born", "id"], "left_semi").select("term", F.lit(1).cast("long").alias("n"), F.size("positions").cast("long").alias("m"))
+        return posted.groupBy("term").agg(F.sum("n").alias("passages"), F.sum("m").alias("places"))
+
+    def _in_force(self, name: str) -> DataFrame:
         runs: list[list] = []
         for g in self.generations():
             if not runs or g["removes"]:
                 runs.append([])
             runs[-1].append(g)
         if not runs:
-            return self.spark.createDataFrame([], _TABLES[name])
+            return self.spark.createDataFrame([], _STORED[name])
         parts = []
         for i, run in enumerate(runs):
-            rows, later = self._read(run, name, _TABLES[name]), [r[0] for r in runs[i + 1 :]]
+            rows, later = self._read(run, name, _STORED[name]), [r[0] for r in runs[i + 1 :]]
             if later and name in ("placement", "bare"):
                 gone, cleared = (self._read(later, x, _REMOVED[x]).distinct() for x in ("gone", "cleared"))
                 rows = rows.join(gone, rows["source"].eqNullSafe(gone["source"]) & (rows["resource"] == gone["resource"]) & (rows["derived_sha"] == gone["derived_sha"]), "left_anti")
                 rows = rows.join(cleared, rows["source"].eqNullSafe(cleared["source"]), "left_anti")
             elif later:
                 rows = rows.join(self._read(later, "dead", _REMOVED["dead"]).distinct(), "chunk_hash", "left_anti")
-            parts.append(rows.select(*[c.split()[0] for c in _TABLES[name].split(", ")]))
+            parts.append(rows.select(*[c.split()[0] for c in _STORED[name].split(", ")]))
         return reduce(DataFrame.unionByName, parts)
 
     def _commit(self, name: str, parts: dict[str, DataFrame], full: bool = False, removes: bool = False) -> None:
@@ -194,15 +240,20 @@ class IndexStore:
         listed = judged.where(~add if few else add).select(F.col("source").alias("s"), F.col("resource").alias("r"), F.col("derived_sha").alias("d"))
         missing = derived.join(listed, derived["source"].eqNullSafe(F.col("s")) & (derived["resource"] == F.col("r")) & (derived["derived_sha"] == F.col("d")), "left_anti" if few else "left_semi")
         cut = self._stored(f"{name}/passage", passages(missing, learnt, records))
-        fresh = cut.select("chunk_hash", "chunk_text").dropDuplicates(["chunk_hash"]).join(now.table("chunk").select("chunk_hash"), "chunk_hash", "left_anti")
-        fresh = self._stored(f"{name}/fresh", fresh.select("*", F.length("chunk_text").cast("long").alias("chars"), F.size(terms(F.col("chunk_text"))).cast("long").alias("dl")))
+        fresh = cut.where("chunk_text is not null").select("chunk_hash", "chunk_text")
+        if now.generations():
+            fresh = self._stored(f"{name}/fresh", fresh.join(now.table("chunk").select("chunk_hash"), "chunk_hash", "left_anti"))
+        # Dealt by ranges of hashes, in which equal ones meet, so texts travel once for telling them apart and for the order.
+        fresh = fresh.repartitionByRange("chunk_hash").dropDuplicates(["chunk_hash"]).sortWithinPartitions("chunk_hash")
+        born = F.lit(uuid.uuid4().int >> 97).cast("int")
+        fresh = self._stored(f"{name}/chunk", fresh.select("*", F.length("chunk_text").cast("long").alias("chars"), F.size(terms(F.col("chunk_text"))).cast("long").alias("dl"), born.alias("born"), F.monotonically_increasing_id().alias("id")))
         # Sorted by stem over all files, so a search reads the few row groups of its stems; a frequent stem spans several files.
         # Sorting by ranges reads its input twice, so what is costly to make is stored first.
-        posted = self._stored(f"{name}/posted", fresh.select("chunk_hash", "chunk_text").mapInArrow(_posted, _POSTED))
+        posted = self._stored(f"{name}/posted", fresh.select("born", "id", "chunk_text").mapInArrow(_posted, _POSTED))
+        by = _ORDER["posting"]
         parts = {
-            "chunk": fresh.repartitionByRange("chunk_hash").sortWithinPartitions("chunk_hash"),
-            "posting": posted.repartitionByRange("stem", "term", "chunk_hash").sortWithinPartitions("stem", "term", "chunk_hash"),
-            "placement": cut.drop("chunk_text").dropDuplicates([*key, "ordinal", "chunk_hash"]).repartitionByRange("chunk_hash", "source", "resource").sortWithinPartitions("chunk_hash"),
+            "posting": posted.repartitionByRange(*by).sortWithinPartitions(*by),
+            "placement": cut.drop("chunk_text").repartitionByRange(*_ORDER["placement"]).dropDuplicates([*key, "ordinal", "chunk_hash"]).sortWithinPartitions("chunk_hash"),
         }
         # A derivation without a passage is known all the same: an older one of its blob that comes later doesn't take its place.
         cut_keys, added = cut.select(*(F.col(c).alias(f"_{c}") for c in key)).distinct(), judged.where(add)
@@ -218,7 +269,7 @@ class IndexStore:
 
     def clear(self, *source: str | None) -> None:
         """Takes out a source's placements (None: those without a source) and the passages that have none left, by names alone; without a source all."""
-        none = {x: self.spark.createDataFrame([], schema) for x, schema in _TABLES.items()}
+        none = {x: self.spark.createDataFrame([], schema) for x, schema in _STORED.items()}
         if not source:
             self._commit(uuid.uuid4().hex, none, full=True)
             return
@@ -231,9 +282,13 @@ class IndexStore:
 
     def compact(self) -> None:
         """Writes what is in force as one generation, in the layout of a build."""
-        now = self.snapshot()
-        by = {"chunk": ["chunk_hash"], "posting": ["stem", "term", "chunk_hash"], "placement": ["chunk_hash", "source", "resource"], "bare": ["resource"]}
-        self._commit(uuid.uuid4().hex, {x: now.table(x).repartitionByRange(*order).sortWithinPartitions(*order) for x, order in by.items()}, full=True)
+        now, name = self.snapshot(), uuid.uuid4().hex
+        parts = {x: now._in_force(x) for x in ("chunk", "placement", "bare")}
+        live = now.places(now.blocks()).join(now.numbered(), ["born", "id"], "left_semi")
+        # In blocks again: those of a word and 8,192 numbers in a row.
+        blocks = live.groupBy("stem", "term", "born", F.shiftright("id", 13).alias("_run")).agg(F.array_sort(F.collect_list(F.struct("id", "positions"))).alias("p"))
+        parts["posting"] = self._stored(f"{name}/posted", blocks.select("stem", "term", "born", F.col("p.id")[0].alias("low"), F.col("p.id").alias("ids"), F.col("p.positions").alias("positions")))
+        self._commit(name, {x: rows.repartitionByRange(*_ORDER[x]).sortWithinPartitions(*_ORDER[x]) for x, rows in parts.items()}, full=True)
 
     def counts(self) -> DataFrame:
         """chunks, chars, placements, sources of the index."""
@@ -258,8 +313,8 @@ def word_search(store: IndexStore, query: str, depth: int = DEPTH, source: str |
     if not wanted:
         return spark.createDataFrame([], "chunk_hash string, score double, rank long")
     key = F.col("stem" if stems else "term")
-    posted = store.table("posting").where(F.col("stem").isin(sorted({stemmed(w) for w in wanted}) if not stems else wanted) & key.isin(wanted))
-    places = posted.groupBy("chunk_hash").agg(F.first("dl").alias("dl"), *[F.flatten(F.collect_list(F.when(key == w, F.col("positions")))).alias(f"at{i}") for i, w in enumerate(wanted)])
+    posted = store.blocks().where(F.col("stem").isin(sorted({stemmed(w) for w in wanted}) if not stems else wanted) & key.isin(wanted))
+    places = store.places(posted).groupBy("born", "id").agg(*[F.flatten(F.collect_list(F.when(key == w, F.col("positions")))).alias(f"at{i}") for i, w in enumerate(wanted)])
     column = {w: f"at{i}" for i, w in enumerate(wanted)}
 
     def count(phrase: list[str]) -> Column:
@@ -269,7 +324,7 @@ def word_search(store: IndexStore, query: str, depth: int = DEPTH, source: str |
         return F.size(starts)
 
     numbers = range(len(phrases))
-    hits = places.select("chunk_hash", "dl", *[count(p).alias(f"tf{i}") for i, p in enumerate(phrases)])
+    hits = places.select("born", "id", *[count(p).alias(f"tf{i}") for i, p in enumerate(phrases)]).join(store.numbered("chunk_hash", "dl"), ["born", "id"])  # those in force
     df = hits.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in numbers])
     total = store.table("chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words"))
     scored = hits.where(" and ".join(f"tf{i} > 0" for i in numbers)).join(F.broadcast(df)).join(F.broadcast(total))  # one row each

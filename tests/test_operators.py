@@ -184,6 +184,22 @@ def test_an_extraction_without_a_passage_is_not_superseded_by_an_older_one(spark
     assert texts() == {"newer", "older"}
 
 
+def test_postings_are_stored_by_batches(spark, tmp_path):
+    """A stored row of postings is a word with all passages of a batch that hold it; read, it is a row each, and words count live passages."""
+    texts = ["the budget and the review", "the", "review of reviews", "the budget and the review"]
+    made = _indexed(spark, tmp_path / "index", texts)
+    (g,) = made.generations()
+    assert spark.read.parquet(f"{g['home']}/{g['generation']}/posting").count() < made.table("posting").count() == 8
+    bodies = {r.chunk_hash: r.chunk_text for r in made.table("chunk").collect()}
+    for r in made.table("posting").collect():
+        words = bodies[r.chunk_hash].split()
+        assert r.dl == len(words) and r.positions == [i for i, w in enumerate(words) if w == r.term] and r.stem == stemmed(r.term)
+    assert {tuple(r) for r in made.words().collect()} == {("the", 2, 3), ("budget", 1, 1), ("and", 1, 1), ("review", 2, 2), ("of", 1, 1), ("reviews", 1, 1)}
+    source = made.table("placement").first().source
+    made.clear(source)
+    assert made.words().count() == made.table("posting").count() == 0
+
+
 def test_clearing_a_source_writes_names_alone(spark, tmp_path):
     rows = [(i, f"text number {i // 2} " * 40, datetime.datetime(2026, 1, 1, tzinfo=UTC), f"b{i}") for i in range(60)] + [(100, "only here", None, "c")]
     made = store.IndexStore(spark, str(tmp_path / "index"))
