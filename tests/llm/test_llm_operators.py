@@ -206,6 +206,29 @@ def test_models_discount_by_all_counts(spark, most_grams):
     assert least == 1 or len(np.unique(mine)) > sum(c >= least for c in Counter(mine.tolist()).values()) > 0  # something is left out, and something isn't
 
 
+@pytest.mark.parametrize("most_filed", [1 << 21, 300, 1])
+def test_quality_scores_by_all_ngrams(spark, most_filed):
+    """Perplexities are those of brute force in which every n-gram teaches, however few have their scores in the file."""
+    from pyarrow import array
+
+    from lodestone.llm.textcore import Words, column_bytes
+
+    rng = np.random.default_rng(6)
+    pool = ["".join(rng.choice(list("abcdé東"), rng.integers(1, 6))) for _ in range(60)]
+    texts = [" ".join(rng.choice(pool, 25, p=1 / np.arange(1, 61) / sum(1 / np.arange(1, 61)))) for _ in range(40)] + ["", None, "zz yy"]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(100 + i, texts[i], "xx") for i in range(20)] + [(200, texts[0], "one")] * 2
+    got = perplexity.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_filed=most_filed, spread=False).collect()
+    assert len(got) == len(rows) and all(r.perplexity is None for r in got if r.doc_id == 200)  # no other half
+    for lang, first, mine in (("en", 0, texts), ("xx", 100, texts[:20])):
+        words = Words(*column_bytes(array(mine)))
+        codes, doc = perplexity.gram_codes(*perplexity.folded(words), 4)
+        half, found = perplexity.halves(words, words.hashes()), {r.doc_id - first: r.perplexity for r in got if r.lang == lang}
+        p = [brute_kneser_ney(Counter(split(c, 4) for c in codes[(half == h)[doc]]), 4, 2**16) for h in (0, 1)]
+        for i in (0, 1, 5, 12, 19, *((40, 41, 42) if lang == "en" else ())):
+            each = [np.log10(p[1 - half[i]](split(c, 4))) for c in codes[doc == i]]
+            assert np.isclose(found[i], 10 ** -np.mean(each or [0]), rtol=1e-9)
+
+
 def test_symbols_of_every_script():
     texts = ["Ab 12", "Где Ñu", "東京", "a😀b", "", None, "x"]
     from pyarrow import array
