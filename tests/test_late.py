@@ -35,6 +35,36 @@ def test_late_records_correct_what_was_said(spark, tmp_path):
     assert results.where("op = -1").count() > 0  # something was taken back
 
 
+def test_addresses_share_keys_of_state(spark, tmp_path):
+    """Keys follow buckets and spans, not addresses; records without a fingerprint, with one seq at two times, and twice in a batch."""
+    rng = np.random.default_rng(4)
+    at = lambda n: datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=int(n))
+    rows = [(int(rng.integers(-150, 150)), n // 2, at(rng.integers(4000)), [None, "live", "live", "gone"][rng.integers(4)], [None, "a", "b"][rng.integers(3)]) for n in range(3000)]
+    rows = list({(r[0], r[2], r[1]): r for r in rows}.values())
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (rows[:1000] + rows[:200], rows[800:1900], rows[1900:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        streams.resumed(late.spans_in_order(spark.readStream.schema(SCHEMA).parquet(folder), buckets=4), f"{out}/rows", f"{out}/checkpoint")
+    results, log = spark.read.parquet(f"{out}/rows").drop("batch"), spark.createDataFrame(rows, SCHEMA)
+    columns = ["natural_key", "state", "since_seq", "consecutive_failures"]
+    assert _key(late.liveness(results), columns) == _brute_liveness(rows)
+    columns = ["natural_key", "seq", "kind", "from_fp", "to_fp"]
+    assert _key(late.changes(results), columns) == _key(corpus.change_events(log), columns)
+    kept = spark.read.format("statestore").option("path", f"{out}/checkpoint").option("stateVarName", "kept").load()
+    assert kept.count() <= 4 * len({r[2].date() for r in rows}) < len({(r[0], r[2].date()) for r in rows})
+
+
+def _brute_liveness(rows):
+    found = []
+    for key in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1]))
+        states = [r[3] for r in mine]
+        entered = next(i for i in range(len(mine)) if all(s == states[-1] for s in states[i:]))
+        failures = next((n for n, s in enumerate(reversed(states)) if s == "live"), len(states))
+        found.append((key, states[-1], mine[entered][1], failures))
+    return sorted(found, key=repr)
+
+
 def test_no_record(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "in"))
     results = spark.createDataFrame([], late.RESULTS)
