@@ -63,6 +63,33 @@ def test_prose_with_even_commas_is_cut_as_prose(spark, tmp_path):
         assert {r.chunk_hash for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()} == hashes, name
 
 
+@pytest.mark.parametrize(
+    ("header", "row"),
+    [("id,name,note", '{},"Doe, Jane of {}",A remark on it.'), ("id\tname\twhy?", "{}\tname of {}\tyes"), ("Id;Name;Amt.", "{};name of {};12.50"), ("| id | name |\n|---|:--|", "| {} | A name of {}. |"), ("| Id, no. |\n|---|", "| {}, {}, it. |")],
+)
+def test_query_cuts_records_at_rows(spark, tmp_path, header, row):
+    """Packed by hand: whole rows under the header, beside prose in the same section."""
+    rows = [row.format(i, f"a place that has the number {i * 7919}") for i in range(80)]
+    pieces, held = [], []
+    for r in rows:
+        if held and len("\n".join([*held, r])) + 1 + len(header) > 1200:
+            pieces.append("\n".join([header, *held]))
+            held = []
+        held.append(r)
+    pieces.append("\n".join([header, *held]))
+    assert len(pieces) > 2 and len(held) > 3
+    texts = ["\n".join([header, *rows]), f"# Filed\n\n{CLAUSES}\n\n" + "\n".join([header, *rows])]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.QUERIES["chunk_markdown"](spark, str(tmp_path)).orderBy("doc_id", "ordinal").collect()
+    under = [f"Filed\n\n{p}" for p in [CLAUSES[:1200], CLAUSES[1200:], *pieces]]
+    assert [(r.doc_id, r.ordinal, r.chunk_hash) for r in found] == [(d, i, hashlib.sha256(p.encode()).hexdigest()) for d, ps in enumerate((pieces, under)) for i, p in enumerate(ps)]
+
+
+def test_ends_of_sentences():
+    assert all(map(chunker.ends_sentence, ["so it is.", "is it?!\r\n", '"It is."', "it is (so.) \n", "ends!! with.###", "."]))
+    assert not any(map(chunker.ends_sentence, ["", " \n", "id,name,note", "12.50", "No. of it", '1,2,"x"', "..." * 200_000 + "x" + "#" * 200_000 + " " * 200_000]))
+
+
 def test_chunk_nulls_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, None, "s"), (2, "", "s"), (3, "x", None)], "doc_id long, text string, source string").withColumn("ordinal", F.lit(9))
     assert [(r.doc_id, r.chunk_text) for r in chunker.chunk_markdown(docs).collect()] == [(3, "x")]
